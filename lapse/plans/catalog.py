@@ -36,12 +36,20 @@ def register(name: str):
     return deco
 
 
+def round6(c):
+    """Round half up on the binary value: floor(x * 1e6 + 0.5) / 1e6.  Plain IEEE
+    arithmetic, so every engine gives the same double (``round`` differs
+    between engines on exact halves)."""
+    x = c.cast("double")
+    return F.when(F.abs(x) < F.lit(1e15), F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).otherwise(x)
+
+
 def for_oracle(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, 6)
+            c = round6(c)
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(f.name))
@@ -134,3 +142,156 @@ def q_churn_labels(spark, sf_dir):
 @register("class_balance")
 def q_class_balance(spark, sf_dir):
     return for_oracle(lb.class_balance(tv.train(spark, sf_dir)))
+
+
+# ------------------------------------------------- phase 3: value and serving
+
+from lapse.operators import cohort as ch  # noqa: E402
+from lapse.operators import rank as rk  # noqa: E402
+from lapse.operators import serve as sv  # noqa: E402
+from lapse.operators.value import estimated_clv_flat  # noqa: E402
+
+ACTION_COLUMNS = ("msno", "expected_value", "churn_probability", "estimated_clv")
+
+
+@register("scored_customers")
+def q_scored_customers(spark, sf_dir):
+    return for_oracle(scored_table(spark, sf_dir).select("msno", *sv.PREDICTION_COLUMNS))
+
+
+@register("clv_flat")
+def q_clv_flat(spark, sf_dir):
+    tx = tv.transactions(spark, sf_dir)
+    return for_oracle(tx.select("msno", "seq", estimated_clv_flat(tx, S.business).alias("estimated_clv")))
+
+
+@register("prioritized_actions")
+def q_prioritized_actions(spark, sf_dir):
+    df = scored_table(spark, sf_dir).select("msno", "churn_probability", "plan_list_price", "payment_plan_days")
+    return for_oracle(rk.prioritized_action_list(df, S.business).select(*ACTION_COLUMNS))
+
+
+@register("top_actions")
+def q_top_actions(spark, sf_dir):
+    return for_oracle(rk.top_n(scored_table(spark, sf_dir), 10).select(*ACTION_COLUMNS))
+
+
+@register("top_actions_repriced")
+def q_top_actions_repriced(spark, sf_dir):
+    df = rk.reprice(scored_table(spark, sf_dir), S.business, discount_cost=0.1, retention_rate=0.5)
+    return for_oracle(rk.top_n(df, 10).select(*ACTION_COLUMNS))
+
+
+@register("top_actions_segment")
+def q_top_actions_segment(spark, sf_dir):
+    df = ch.segment_filter(scored_table(spark, sf_dir), plan_type=30, tenure="old")
+    return for_oracle(rk.top_n(df, 10).select(*ACTION_COLUMNS))
+
+
+@register("diversified_actions")
+def q_diversified_actions(spark, sf_dir):
+    return for_oracle(rk.diversified_top_n(scored_table(spark, sf_dir), 10, S.thresholds, S.quotas)
+                      .select(*ACTION_COLUMNS))
+
+
+@register("diversified_actions_wide")
+def q_diversified_actions_wide(spark, sf_dir):
+    df = ch.segment_filter(scored_table(spark, sf_dir), plan_type=30)
+    return for_oracle(rk.diversified_top_n(df, 25, S.thresholds, S.quotas).select(*ACTION_COLUMNS))
+
+
+def _cohort(spark, sf_dir, plan_type=None, tenure=None):
+    out = ch.cohort_stats(scored_table(spark, sf_dir), plan_type, tenure, S.thresholds)
+    return for_oracle(out.drop("risk_tier_distribution"))
+
+
+@register("cohort_stats_all")
+def q_cohort_stats_all(spark, sf_dir):
+    return _cohort(spark, sf_dir)
+
+
+@register("cohort_stats_segment")
+def q_cohort_stats_segment(spark, sf_dir):
+    return _cohort(spark, sf_dir, plan_type=30, tenure="old")
+
+
+@register("cohort_stats_empty")
+def q_cohort_stats_empty(spark, sf_dir):
+    return _cohort(spark, sf_dir, plan_type=-12345)
+
+
+@register("segment_cube")
+def q_segment_cube(spark, sf_dir):
+    return for_oracle(ch.segment_cube(scored_table(spark, sf_dir), S.thresholds))
+
+
+@register("risk_distribution")
+def q_risk_distribution(spark, sf_dir):
+    return for_oracle(ch.risk_distribution(scored_table(spark, sf_dir), S.thresholds))
+
+
+@register("customer_profile")
+def q_customer_profile(spark, sf_dir):
+    return for_oracle(sv.customer_profile(scored_table(spark, sf_dir), "10"))
+
+
+@register("search_ids")
+def q_search_ids(spark, sf_dir):
+    return for_oracle(sv.search_ids(scored_table(spark, sf_dir), "12", 10))
+
+
+@register("url_safe_ids")
+def q_url_safe_ids(spark, sf_dir):
+    return for_oracle(sv.url_safe_ids(scored_table(spark, sf_dir), 50))
+
+
+@register("seeded_sample")
+def q_seeded_sample(spark, sf_dir):
+    return for_oracle(sv.seeded_sample(scored_table(spark, sf_dir).select("msno"), 50, 42))
+
+
+def member_requests(spark, sf_dir) -> DataFrame:
+    """Every member id as a batch request: batches of 1000 ids by customer key."""
+    c = tv.table(spark, sf_dir, "customer")
+    return c.select(F.floor(F.col("c_custkey") / 1000).cast("long").alias("request_id"),
+                    (F.col("c_custkey") % 1000).cast("int").alias("pos"),
+                    F.col("c_custkey").cast("string").alias("msno"))
+
+
+@register("batch_lookup")
+def q_batch_lookup(spark, sf_dir):
+    return for_oracle(sv.batch_lookup(member_requests(spark, sf_dir), scored_table(spark, sf_dir)))
+
+
+@register("usage_history")
+def q_usage_history(spark, sf_dir):
+    return for_oracle(sv.usage_history(tv.user_logs(spark, sf_dir)))
+
+
+@register("usage_share_of_max")
+def q_usage_share_of_max(spark, sf_dir):
+    return for_oracle(sv.usage_share_of_max(tv.user_logs(spark, sf_dir)))
+
+
+def what_if_scenarios(scored: DataFrame) -> DataFrame:
+    """Three scenarios for every scored customer (one projection each)."""
+    ids = scored.select("msno")
+    null_d, null_i = F.lit(None).cast("double"), F.lit(None).cast("int")
+    return (ids.select(F.lit("auto_renew_on").alias("scenario_id"), "msno", null_d.alias("plan_list_price"),
+                       null_i.alias("payment_plan_days"), F.lit(1).alias("is_auto_renew"),
+                       null_i.alias("days_since_registration"))
+               .unionByName(ids.select(F.lit("annual_plan_99").alias("scenario_id"), "msno",
+                                       F.lit(99.0).alias("plan_list_price"), F.lit(410).alias("payment_plan_days"),
+                                       null_i.alias("is_auto_renew"), null_i.alias("days_since_registration")))
+               .unionByName(ids.select(F.lit("new_member").alias("scenario_id"), "msno", null_d.alias("plan_list_price"),
+                                       null_i.alias("payment_plan_days"), null_i.alias("is_auto_renew"),
+                                       F.lit(7).alias("days_since_registration"))))
+
+
+@register("what_if")
+def q_what_if(spark, sf_dir):
+    scored = scored_table(spark, sf_dir)
+    out = sv.simulate(what_if_scenarios(scored), scored,
+                      lambda df: df.withColumn("churn_probability", tv.stand_in_probability()),
+                      S.business, S.thresholds, S.serve)
+    return for_oracle(out)

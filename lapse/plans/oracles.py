@@ -17,7 +17,36 @@ REF = f"DATE '{REFERENCE_DATE}'"
 
 
 def r6(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6)"
+    x = f"CAST({expr} AS DOUBLE)"
+    return f"(CASE WHEN abs({x}) < 1e15 THEN floor({x} * 1e6 + 0.5) / 1e6 ELSE {x} END)"
+
+
+def _round_to_r6(sql: str) -> str:
+    """Rewrite every ``round(expr, 6)`` into :func:`r6` (balanced-paren scan)."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k, comma = 1, j + len(key), -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = sql[j + len(key):comma]
+        out.append(sql[i:j])
+        out.append(r6(_round_to_r6(inner)))
+        i = k
 
 
 def logs_agg_cte(cfg: FeatureConfig = CFG) -> str:
@@ -170,6 +199,10 @@ scored_ev AS (
 )"""
 
 
+def all_oracles() -> dict[str, str]:
+    return {k: _round_to_r6(v) for k, v in ORACLES.items()}
+
+
 def with_prefix(ctes: str, final: str) -> str:
     return ORACLE_PREFIX + ctes + "\n" + final
 
@@ -258,3 +291,147 @@ SELECT count(*) AS n, CAST(sum(is_churn) AS BIGINT) AS n_pos, CAST(count(*) - su
        round(sum(is_churn) / count(*), 6) AS positive_rate,
        round(coalesce((count(*) - sum(is_churn)) / NULLIF(sum(is_churn), 0), 1.0), 6) AS scale_pos_weight
 FROM train""")
+
+
+# ------------------------------------------------- phase 3: value and serving
+
+_PRED = ("msno, round(churn_probability, 6) AS churn_probability, risk_tier, round(estimated_clv, 6) AS estimated_clv, "
+         "round(expected_value, 6) AS expected_value, low_confidence")
+_ACT = ("msno, round(expected_value, 6) AS expected_value, round(churn_probability, 6) AS churn_probability, "
+        "round(estimated_clv, 6) AS estimated_clv")
+_EVORD = "expected_value DESC NULLS LAST, msno"
+_B, _T, _Q = SET.business, SET.thresholds, SET.quotas
+
+ORACLES["scored_customers"] = with_prefix(scored_cte(), f"SELECT {_PRED} FROM scored_ev")
+
+ORACLES["clv_flat"] = with_prefix("", f"""
+SELECT msno, seq, round(actual_amount_paid * {_B.avg_customer_lifespan_months}, 6) AS estimated_clv FROM transactions""")
+
+ORACLES["prioritized_actions"] = with_prefix(scored_cte(), f"SELECT {_ACT} FROM scored_ev")
+
+ORACLES["top_actions"] = with_prefix(scored_cte(), f"SELECT {_ACT} FROM scored_ev ORDER BY {_EVORD} LIMIT 10")
+
+ORACLES["top_actions_repriced"] = with_prefix(scored_cte() + """,
+repriced AS (SELECT * REPLACE (churn_probability * 0.5 * estimated_clv - 0.1 * estimated_clv AS expected_value)
+             FROM scored_ev)""", f"SELECT {_ACT} FROM repriced ORDER BY {_EVORD} LIMIT 10")
+
+ORACLES["top_actions_segment"] = with_prefix(scored_cte(), f"""
+SELECT {_ACT} FROM scored_ev WHERE payment_plan_days = 30 AND days_since_registration >= 30
+ORDER BY {_EVORD} LIMIT 10""")
+
+
+def diversified_sql(n: int, where: str = "TRUE") -> str:
+    return with_prefix(scored_cte() + f""",
+pool AS (SELECT * FROM scored_ev WHERE {where}),
+strata AS (
+  SELECT *, CASE WHEN churn_probability >= {_T.high} THEN 0 WHEN churn_probability >= {_T.medium} THEN 1
+                 WHEN days_since_registration < {_Q.low_new_max_tenure_days} THEN 2 END AS stratum
+  FROM pool),
+picked AS (
+  SELECT * EXCLUDE (rn, stratum) FROM (
+    SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_EVORD}) AS rn FROM strata WHERE stratum IS NOT NULL)
+  WHERE rn <= CASE stratum WHEN 0 THEN {_Q.high} WHEN 1 THEN {_Q.medium} ELSE {_Q.low_new} END),
+fill AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (ORDER BY {_EVORD}) AS rn FROM pool WHERE msno NOT IN (SELECT msno FROM picked))
+  WHERE rn <= {n} - (SELECT count(*) FROM picked))""",
+        f"SELECT {_ACT} FROM picked UNION ALL SELECT {_ACT} FROM fill")
+
+
+ORACLES["diversified_actions"] = diversified_sql(10)
+ORACLES["diversified_actions_wide"] = diversified_sql(25, "payment_plan_days = 30")
+
+
+def _tier_sql(where: str = "TRUE") -> str:
+    return f"""
+SELECT count(*) AS total_customers, round(coalesce(avg(churn_probability), 0.0), 6) AS churn_rate,
+  round(coalesce(avg(CAST(churn_probability >= {_T.high} AS DOUBLE)), 0.0), 6) AS high_share,
+  round(coalesce(avg(CAST(churn_probability >= {_T.medium} AND churn_probability < {_T.high} AS DOUBLE)), 0.0), 6) AS medium_share,
+  round(coalesce(avg(CAST(churn_probability < {_T.medium} AS DOUBLE)), 0.0), 6) AS low_share
+FROM scored_ev WHERE {where}"""
+
+
+ORACLES["cohort_stats_all"] = with_prefix(scored_cte(), _tier_sql())
+ORACLES["cohort_stats_segment"] = with_prefix(scored_cte(), _tier_sql("payment_plan_days = 30 AND days_since_registration >= 30"))
+ORACLES["cohort_stats_empty"] = with_prefix(scored_cte(), _tier_sql("payment_plan_days = -12345"))
+
+ORACLES["segment_cube"] = with_prefix(scored_cte() + """,
+bucketed AS (SELECT *, CASE WHEN days_since_registration < 30 THEN 'new'
+                            WHEN days_since_registration >= 30 THEN 'old' END AS tenure_bucket FROM scored_ev)""",
+                                      f"""
+SELECT payment_plan_days, tenure_bucket, grouping_id(payment_plan_days, tenure_bucket) AS grouping_id,
+  count(*) AS total_customers, round(coalesce(avg(churn_probability), 0.0), 6) AS churn_rate,
+  round(coalesce(avg(CAST(churn_probability >= {_T.high} AS DOUBLE)), 0.0), 6) AS high_share,
+  round(coalesce(avg(CAST(churn_probability >= {_T.medium} AND churn_probability < {_T.high} AS DOUBLE)), 0.0), 6) AS medium_share,
+  round(coalesce(avg(CAST(churn_probability < {_T.medium} AS DOUBLE)), 0.0), 6) AS low_share
+FROM bucketed GROUP BY CUBE (payment_plan_days, tenure_bucket)""")
+
+ORACLES["risk_distribution"] = with_prefix(scored_cte(), f"""
+SELECT count(*) AS total_customers,
+  round(avg(CAST(churn_probability >= {_T.high} AS DOUBLE)) * 100, 6) AS high_pct,
+  round(avg(CAST(churn_probability >= {_T.medium} AND churn_probability < {_T.high} AS DOUBLE)) * 100, 6) AS medium_pct
+FROM scored_ev""")
+
+ORACLES["customer_profile"] = with_prefix(scored_cte(), """
+SELECT msno, city, gender, age_clean, registered_via_clean, round(plan_list_price, 6) AS plan_list_price,
+       payment_plan_days, is_auto_renew, days_since_registration
+FROM scored_ev WHERE msno = '10'""")
+
+ORACLES["search_ids"] = with_prefix(scored_cte(), """
+SELECT msno FROM scored_ev WHERE contains(lower(msno), '12') ORDER BY msno LIMIT 10""")
+
+ORACLES["url_safe_ids"] = with_prefix(scored_cte(), """
+SELECT msno FROM scored_ev WHERE NOT contains(msno, '/') ORDER BY msno LIMIT 50""")
+
+ORACLES["seeded_sample"] = with_prefix(scored_cte(), """
+SELECT msno FROM scored_ev ORDER BY md5(msno || ':42'), msno LIMIT 50""")
+
+ORACLES["batch_lookup"] = with_prefix(scored_cte() + """,
+requests AS (SELECT CAST(floor(c_custkey / 1000) AS BIGINT) AS request_id, CAST(c_custkey % 1000 AS INTEGER) AS pos,
+                    CAST(c_custkey AS VARCHAR) AS msno FROM customer)""", f"""
+SELECT r.request_id, r.pos, r.msno, s.msno IS NOT NULL AS success,
+       CASE WHEN s.msno IS NULL THEN 'Customer not found' END AS error_message,
+       round(s.churn_probability, 6) AS churn_probability, s.risk_tier, round(s.estimated_clv, 6) AS estimated_clv,
+       round(s.expected_value, 6) AS expected_value, s.low_confidence
+FROM requests r LEFT JOIN scored_ev s ON r.msno = s.msno""")
+
+ORACLES["usage_history"] = with_prefix("", """
+SELECT msno, strftime(log_date, '%Y-%m-%d') AS date, round(total_secs, 6) AS total_secs, num_unq FROM user_logs""")
+
+ORACLES["usage_share_of_max"] = with_prefix("", """
+SELECT msno, strftime(log_date, '%Y-%m-%d') AS log_date, round(total_secs, 6) AS total_secs,
+       round(total_secs / CASE WHEN max(total_secs) OVER (PARTITION BY msno) > 0
+                               THEN max(total_secs) OVER (PARTITION BY msno) ELSE 1.0 END * 100.0, 6) AS pct_of_max
+FROM user_logs""")
+
+ORACLES["what_if"] = with_prefix(scored_cte() + f""",
+scen AS (
+  SELECT 'auto_renew_on' AS scenario_id, msno, CAST(NULL AS DOUBLE) AS o_price, CAST(NULL AS INTEGER) AS o_days,
+         1 AS o_auto, CAST(NULL AS INTEGER) AS o_tenure FROM scored_ev
+  UNION ALL
+  SELECT 'annual_plan_99', msno, 99.0, 410, NULL, NULL FROM scored_ev
+  UNION ALL
+  SELECT 'new_member', msno, NULL, NULL, NULL, 7 FROM scored_ev),
+sim AS (
+  SELECT s.scenario_id, f.msno,
+         coalesce(s.o_price, f.plan_list_price) AS plan_list_price,
+         coalesce(s.o_days, f.payment_plan_days) AS payment_plan_days,
+         coalesce(s.o_auto, f.is_auto_renew) AS is_auto_renew,
+         coalesce(s.o_tenure, f.days_since_registration) AS days_since_registration,
+         f.churn_probability
+  FROM scen s JOIN scored_ev f ON s.msno = f.msno),
+sim2 AS (
+  SELECT *,
+    CASE WHEN churn_probability >= {_T.high} THEN 'High' WHEN churn_probability >= {_T.medium} THEN 'Medium'
+         ELSE 'Low' END AS risk_tier,
+    CASE WHEN plan_list_price IS NULL OR payment_plan_days IS NULL OR payment_plan_days <= 0
+         THEN CAST({_B.default_monthly_revenue} AS DOUBLE) * {_B.avg_customer_lifespan_months}
+         ELSE plan_list_price * (30.0 / payment_plan_days) * {_B.avg_customer_lifespan_months} END AS estimated_clv,
+    (days_since_registration IS NULL OR days_since_registration < {SET.serve.low_confidence_threshold_days}) AS low_confidence
+  FROM sim)""", f"""
+SELECT scenario_id, msno, round(plan_list_price, 6) AS plan_list_price, payment_plan_days, is_auto_renew,
+       days_since_registration, round(churn_probability, 6) AS churn_probability, risk_tier,
+       round(estimated_clv, 6) AS estimated_clv,
+       round(churn_probability * {_B.retention_success_rate} * estimated_clv - {_B.discount_cost_percentage} * estimated_clv, 6) AS expected_value,
+       low_confidence
+FROM sim2""")
