@@ -295,3 +295,119 @@ def q_what_if(spark, sf_dir):
                       lambda df: df.withColumn("churn_probability", tv.stand_in_probability()),
                       S.business, S.thresholds, S.serve)
     return for_oracle(out)
+
+
+# ----------------------------------------------- phase 4: profiles and EDA
+
+from lapse.operators import evaluate as ev  # noqa: E402
+from lapse.operators import profile as pf  # noqa: E402
+from lapse.sources.readers import sample_rows  # noqa: E402
+
+
+@register("null_percent_members")
+def q_null_percent_members(spark, sf_dir):
+    return for_oracle(pf.null_percent(tv.members(spark, sf_dir)))
+
+
+@register("null_percent_transactions")
+def q_null_percent_transactions(spark, sf_dir):
+    return for_oracle(pf.null_percent(tv.raw_transactions(spark, sf_dir)))
+
+
+@register("duplicate_transactions")
+def q_duplicate_transactions(spark, sf_dir):
+    return for_oracle(pf.duplicate_count(tv.raw_transactions(spark, sf_dir), ["msno", "transaction_date"]))
+
+
+@register("transaction_date_range")
+def q_transaction_date_range(spark, sf_dir):
+    return for_oracle(pf.date_range(tv.raw_transactions(spark, sf_dir), ["transaction_date", "membership_expire_date"]))
+
+
+@register("monthly_transactions")
+def q_monthly_transactions(spark, sf_dir):
+    return for_oracle(pf.monthly_counts(tv.raw_transactions(spark, sf_dir), "transaction_date"))
+
+
+@register("key_coverage")
+def q_key_coverage(spark, sf_dir):
+    others = {"members": tv.members(spark, sf_dir), "transactions": tv.raw_transactions(spark, sf_dir),
+              "user_logs": tv.user_logs(spark, sf_dir)}
+    return for_oracle(pf.key_coverage(tv.train(spark, sf_dir), others))
+
+
+@register("distinct_log_ids")
+def q_distinct_log_ids(spark, sf_dir):
+    return for_oracle(pf.distinct_ids(tv.user_logs(spark, sf_dir)))
+
+
+@register("listening_by_label")
+def q_listening_by_label(spark, sf_dir):
+    return for_oracle(pf.listening_by_label(tv.user_logs(spark, sf_dir), tv.train(spark, sf_dir)))
+
+
+@register("churn_rate_by_city")
+def q_churn_rate_by_city(spark, sf_dir):
+    return for_oracle(pf.churn_rate_by(tv.train(spark, sf_dir), tv.members(spark, sf_dir), "city"))
+
+
+@register("member_profile")
+def q_member_profile(spark, sf_dir):
+    return for_oracle(pf.table_profile(tv.members(spark, sf_dir)))
+
+
+@register("log_sample")
+def q_log_sample(spark, sf_dir):
+    return for_oracle(sample_rows(tv.user_logs(spark, sf_dir), 5000))
+
+
+@register("score_histogram")
+def q_score_histogram(spark, sf_dir):
+    return for_oracle(ev.score_histogram(scored_table(spark, sf_dir), "churn_probability", 50))
+
+
+# ---------------------------------------------------- phase 5: evaluation
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return for_oracle(ev.roc_auc(scored_table(spark, sf_dir)))
+
+
+@register("average_precision")
+def q_average_precision(spark, sf_dir):
+    return for_oracle(ev.average_precision(scored_table(spark, sf_dir)))
+
+
+@register("confusion_at_half")
+def q_confusion_at_half(spark, sf_dir):
+    return for_oracle(ev.confusion(scored_table(spark, sf_dir), 0.5))
+
+
+@register("confusion_report")
+def q_confusion_report(spark, sf_dir):
+    return for_oracle(ev.confusion(scored_table(spark, sf_dir), 0.245))
+
+
+@register("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    return for_oracle(ev.roc_curve(scored_table(spark, sf_dir), 100))
+
+
+@register("pr_curve")
+def q_pr_curve(spark, sf_dir):
+    return for_oracle(ev.pr_curve(scored_table(spark, sf_dir), 100))
+
+
+@register("calibration_curve")
+def q_calibration_curve(spark, sf_dir):
+    return for_oracle(ev.calibration_curve(scored_table(spark, sf_dir), 10))
+
+
+@register("score_percentiles")
+def q_score_percentiles(spark, sf_dir):
+    return for_oracle(ev.exact_percentiles(scored_table(spark, sf_dir), "churn_probability", [0.95, 0.85]))
+
+
+@register("tier_thresholds")
+def q_tier_thresholds(spark, sf_dir):
+    return for_oracle(ev.tier_thresholds(scored_table(spark, sf_dir)))

@@ -435,3 +435,167 @@ SELECT scenario_id, msno, round(plan_list_price, 6) AS plan_list_price, payment_
        round(churn_probability * {_B.retention_success_rate} * estimated_clv - {_B.discount_cost_percentage} * estimated_clv, 6) AS expected_value,
        low_confidence
 FROM sim2""")
+
+
+# ----------------------------------------------- phase 4: profiles and EDA
+
+def _null_pct_sql(view: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", round(avg(CAST({c} IS NULL AS DOUBLE)) * 100, 6) AS null_pct FROM {view}"
+        for c in cols)
+
+
+_MEMBER_COLS = ["msno", "city", "bd", "gender", "registered_via", "registration_init_time"]
+_RAW_TX_COLS = ["msno", "payment_method_id", "payment_plan_days", "plan_list_price", "actual_amount_paid",
+                "is_auto_renew", "transaction_date", "membership_expire_date", "is_cancel", "seq"]
+
+ORACLES["null_percent_members"] = with_prefix("", _null_pct_sql("members", _MEMBER_COLS))
+ORACLES["null_percent_transactions"] = with_prefix("", _null_pct_sql("raw_transactions", _RAW_TX_COLS))
+
+ORACLES["duplicate_transactions"] = with_prefix("", """
+SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS n FROM raw_transactions GROUP BY msno, transaction_date)""")
+
+ORACLES["transaction_date_range"] = with_prefix("", """
+SELECT 'transaction_date' AS "column", strftime(min(transaction_date), '%Y-%m-%d') AS min_date,
+       strftime(max(transaction_date), '%Y-%m-%d') AS max_date FROM raw_transactions
+UNION ALL
+SELECT 'membership_expire_date', strftime(min(membership_expire_date), '%Y-%m-%d'),
+       strftime(max(membership_expire_date), '%Y-%m-%d') FROM raw_transactions""")
+
+ORACLES["monthly_transactions"] = with_prefix(""",
+counts AS (SELECT date_trunc('month', transaction_date) AS month, count(*) AS n
+           FROM raw_transactions WHERE transaction_date IS NOT NULL GROUP BY 1),
+cal AS (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM counts)""", """
+SELECT strftime(cal.month, '%Y-%m-%d') AS month, CAST(coalesce(counts.n, 0) AS BIGINT) AS n
+FROM cal LEFT JOIN counts ON CAST(cal.month AS DATE) = CAST(counts.month AS DATE)""")
+
+ORACLES["key_coverage"] = with_prefix(""",
+ids AS (SELECT DISTINCT msno FROM train)""", """
+SELECT 'members' AS "table", count(*) AS found,
+       round(count(*) / (SELECT count(*) FROM ids) * 100, 6) AS coverage_pct
+FROM ids WHERE msno IN (SELECT msno FROM members)
+UNION ALL
+SELECT 'transactions', count(*), round(count(*) / (SELECT count(*) FROM ids) * 100, 6)
+FROM ids WHERE msno IN (SELECT msno FROM raw_transactions)
+UNION ALL
+SELECT 'user_logs', count(*), round(count(*) / (SELECT count(*) FROM ids) * 100, 6)
+FROM ids WHERE msno IN (SELECT msno FROM user_logs)""")
+
+ORACLES["distinct_log_ids"] = with_prefix("", "SELECT DISTINCT msno FROM user_logs")
+
+ORACLES["listening_by_label"] = with_prefix("", """
+SELECT t.is_churn, round(avg(l.total_secs), 6) AS avg_secs
+FROM user_logs l JOIN train t ON l.msno = t.msno GROUP BY t.is_churn""")
+
+ORACLES["churn_rate_by_city"] = with_prefix("", """
+SELECT m.city, count(*) AS n, round(avg(CAST(t.is_churn AS DOUBLE)), 6) AS churn_rate
+FROM train t LEFT JOIN members m ON t.msno = m.msno GROUP BY m.city""")
+
+
+def _profile_sql(view: str, num_cols: list[str]) -> str:
+    parts = [f"SELECT '*' AS \"column\", 'rows' AS stat, CAST(count(*) AS DOUBLE) AS value FROM {view}"]
+    for c in num_cols:
+        x = f"CAST({c} AS DOUBLE)"
+        for stat, expr in (("count", f"CAST(count({x}) AS DOUBLE)"), ("mean", f"avg({x})"),
+                           ("std", f"stddev_samp({x})"), ("min", f"min({x})"), ("max", f"max({x})"),
+                           ("25%", f"quantile_cont({x}, 0.25)"), ("50%", f"quantile_cont({x}, 0.5)"),
+                           ("75%", f"quantile_cont({x}, 0.75)")):
+            parts.append(f"SELECT '{c}', '{stat}', {expr} FROM {view}")
+    return f"SELECT \"column\", stat, round(value, 6) AS value FROM ({' UNION ALL '.join(parts)})"
+
+
+ORACLES["member_profile"] = with_prefix("", _profile_sql("members", ["city", "bd", "registered_via"]))
+
+ORACLES["score_histogram"] = with_prefix(scored_cte() + """,
+mm AS (SELECT min(churn_probability) AS lo, max(churn_probability) AS hi,
+              (max(churn_probability) - min(churn_probability)) / CAST(50 AS DOUBLE) AS step FROM scored_ev),
+binned AS (
+  SELECT least(len(list_filter(list_transform(range(1, 50), lambda j: mm.lo + CAST(j AS DOUBLE) * mm.step),
+                               lambda e: e <= s.churn_probability)), 49) AS bin
+  FROM scored_ev s, mm),
+counts AS (SELECT bin, count(*) AS n FROM binned GROUP BY bin),
+bins AS (SELECT unnest(range(0, 50)) AS bin)""", """
+SELECT CAST(b.bin AS INTEGER) AS bin, round(mm.lo + CAST(b.bin AS DOUBLE) * mm.step, 6) AS bin_lo,
+       round(CASE WHEN b.bin = 49 THEN mm.hi ELSE mm.lo + CAST(b.bin + 1 AS DOUBLE) * mm.step END, 6) AS bin_hi,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM bins b CROSS JOIN mm LEFT JOIN counts c ON b.bin = c.bin""")
+
+
+# ---------------------------------------------------- phase 5: evaluation
+
+def _eval_cte() -> str:
+    return scored_cte() + """,
+g AS (SELECT CAST(churn_probability AS DOUBLE) AS score, CAST(sum(is_churn) AS BIGINT) AS pos,
+             CAST(sum(1 - is_churn) AS BIGINT) AS neg
+      FROM scored_ev WHERE churn_probability IS NOT NULL AND is_churn IS NOT NULL GROUP BY 1),
+tot AS (SELECT CAST(sum(pos) AS DOUBLE) AS P, CAST(sum(neg) AS DOUBLE) AS N, count(*) AS G FROM g),
+t AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, row_number() OVER w AS idx
+      FROM g WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+ORACLES["roc_auc"] = with_prefix(_eval_cte(), """
+SELECT round(sum(neg * ((tp - pos) + pos / 2.0)) / ((SELECT P FROM tot) * (SELECT N FROM tot)), 6) AS roc_auc FROM t""")
+
+ORACLES["average_precision"] = with_prefix(_eval_cte(), """
+SELECT round(sum(pos * (CAST(tp AS DOUBLE) / (tp + fp))) / (SELECT P FROM tot), 6) AS average_precision FROM t""")
+
+
+def _confusion_sql(th: float) -> str:
+    return with_prefix(scored_cte() + f""",
+c AS (SELECT count(CASE WHEN churn_probability < {th} AND is_churn = 0 THEN 1 END) AS tn,
+             count(CASE WHEN churn_probability >= {th} AND is_churn = 0 THEN 1 END) AS fp,
+             count(CASE WHEN churn_probability < {th} AND is_churn = 1 THEN 1 END) AS fn,
+             count(CASE WHEN churn_probability >= {th} AND is_churn = 1 THEN 1 END) AS tp,
+             avg(pow(churn_probability - is_churn, 2)) AS brier_score
+      FROM scored_ev WHERE churn_probability IS NOT NULL AND is_churn IS NOT NULL)""", """
+SELECT tn, fp, fn, tp,
+       round(coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 0.0), 6) AS precision,
+       round(coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0.0), 6) AS recall,
+       round(coalesce(CAST(2 * tp AS DOUBLE) / NULLIF(2 * tp + fp + fn, 0), 0.0), 6) AS f1_score,
+       round(brier_score, 6) AS brier_score
+FROM c""")
+
+
+ORACLES["confusion_at_half"] = _confusion_sql(0.5)
+ORACLES["confusion_report"] = _confusion_sql(0.245)
+
+
+def _thin_sel(n: int = 100) -> str:
+    # length - 1 = G (one point more than distinct scores)
+    return f"""sel AS (SELECT CAST(r.range AS INTEGER) AS j,
+       CAST(CASE WHEN r.range = {n - 1} THEN (SELECT G FROM tot)
+            ELSE floor(CAST(r.range AS DOUBLE) * (CAST((SELECT G FROM tot) AS DOUBLE) / CAST({n - 1} AS DOUBLE))) END AS BIGINT) AS idx
+  FROM range({n}) r)"""
+
+
+ORACLES["roc_curve"] = with_prefix(_eval_cte() + f""",
+pts AS (SELECT CAST(idx AS BIGINT) AS idx, fp / (SELECT N FROM tot) AS fpr, tp / (SELECT P FROM tot) AS tpr FROM t
+        UNION ALL SELECT 0, 0.0, 0.0),
+{_thin_sel()}""", """
+SELECT sel.j, sel.idx, round(pts.fpr, 6) AS fpr, round(pts.tpr, 6) AS tpr FROM sel JOIN pts ON sel.idx = pts.idx""")
+
+ORACLES["pr_curve"] = with_prefix(_eval_cte() + f""",
+pts AS (SELECT CAST((SELECT G FROM tot) - idx AS BIGINT) AS idx, CAST(tp AS DOUBLE) / (tp + fp) AS precision,
+               coalesce(tp / NULLIF((SELECT P FROM tot), 0), 1.0) AS recall FROM t
+        UNION ALL SELECT (SELECT G FROM tot), 1.0, 0.0),
+{_thin_sel()}""", """
+SELECT sel.j, sel.idx, round(pts.precision, 6) AS precision, round(pts.recall, 6) AS recall
+FROM sel JOIN pts ON sel.idx = pts.idx""")
+
+_EDGES = ", ".join(f"CAST('{j * (1.0 / 10)!r}' AS DOUBLE)" for j in range(1, 10))
+
+ORACLES["calibration_curve"] = with_prefix(scored_cte(), f"""
+SELECT CAST(len(list_filter([{_EDGES}], lambda e: e < churn_probability)) AS INTEGER) AS bin, count(*) AS n,
+       round(avg(churn_probability), 6) AS prob_pred, round(avg(CAST(is_churn AS DOUBLE)), 6) AS prob_true
+FROM scored_ev WHERE churn_probability IS NOT NULL AND is_churn IS NOT NULL GROUP BY 1""")
+
+ORACLES["score_percentiles"] = with_prefix(scored_cte(), """
+SELECT round(quantile_cont(churn_probability, 0.95), 6) AS q_95, round(quantile_cont(churn_probability, 0.85), 6) AS q_85
+FROM scored_ev""")
+
+ORACLES["tier_thresholds"] = with_prefix(scored_cte() + """,
+pc AS (SELECT quantile_cont(churn_probability, 0.95) AS hi, quantile_cont(churn_probability, 0.85) AS md FROM scored_ev)""", """
+SELECT 'High' AS tier, round(hi, 6) AS min_prob, CAST(NULL AS DOUBLE) AS max_prob FROM pc
+UNION ALL SELECT 'Medium', round(md, 6), round(hi, 6) FROM pc
+UNION ALL SELECT 'Low', 0.0, round(md, 6) FROM pc""")
