@@ -158,18 +158,22 @@ def build_customer_feature_table(members: DataFrame, tx: DataFrame, logs: DataFr
 
     ``tx`` must be cutoff-filtered D1 output; ``logs`` are daily rows (or the
     A6 aggregate when ``logs_aggregated``).  Each fact is aggregated once:
-    transactions feed both the transaction and tenure families.
+    transactions feed both the transaction and tenure families.  When the
+    cohort is the label table itself (unique ids carrying ``is_churn``), pass
+    it as ``base`` and the label join (J6) costs nothing extra.
     """
     m = member_attributes(members, cfg, reference_date)
     hist = transaction_history(tx)
     agg = logs if logs_aggregated else aggregate_logs(logs, reference_date, cfg)
+    labelled = labels is not None or "is_churn" in base.columns
+    start = base.select("msno", "is_churn") if "is_churn" in base.columns else base.select("msno")
     parts = [m, hist, agg] + ([labels.select("msno", "is_churn")] if labels is not None else [])
-    joined = reduce(lambda left, right: left.join(right, "msno", "left"), parts, base.select("msno"))
+    joined = reduce(lambda left, right: left.join(right, "msno", "left"), parts, start)
     cols = ["msno", *_demographic_select(), *_transaction_select(reference_date),
             *_tenure_select(reference_date), *_engagement_select(cfg)]
-    if labels is not None:
+    if labelled:
         cols.append(F.col("is_churn").cast("int").alias("is_churn"))
     table = joined.select(*cols)
     table = table.select("*", *_trend_select(cfg))
-    order = ["msno", *feature_columns(cfg)] + (["is_churn"] if labels is not None else [])
+    order = ["msno", *feature_columns(cfg)] + (["is_churn"] if labelled else [])
     return table.select(*order)

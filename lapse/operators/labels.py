@@ -23,15 +23,15 @@ def label_churn(tx: DataFrame, cutoff, gap_days: int = 30, key: str = "msno") ->
     before the cutoff get no label.
     """
     c = date_lit(cutoff)
-    before = F.col("transaction_date") <= c
-    latest = F.struct(F.col("transaction_date"), F.col("membership_expire_date"))
-    per = (tx.filter(F.col("transaction_date").isNotNull())
+    d = F.col("transaction_date")
+    before = d <= c
+    per = (tx.filter(d.isNotNull())
              .groupBy(key)
-             .agg(F.max(F.when(before, latest)).alias("_last"),
-                  F.min(F.when((F.col("transaction_date") > c) & (F.col("is_cancel") == 0),
-                               F.col("transaction_date"))).alias("next_renewal_date"))
-             .filter(F.col("_last").isNotNull()))
-    last_expire = F.col("_last")["membership_expire_date"]
+             .agg(F.max(F.when(before, d)).alias("_last_date"),
+                  F.max_by(F.col("membership_expire_date"), F.when(before, d)).alias("last_expire_date"),
+                  F.min(F.when((d > c) & (F.col("is_cancel") == 0), d)).alias("next_renewal_date"))
+             .filter(F.col("_last_date").isNotNull()))
+    last_expire = F.col("last_expire_date")
     gap = F.datediff(F.col("next_renewal_date"), last_expire)
     churn = F.when(F.col("next_renewal_date").isNull() | gap.isNull() | (gap >= F.lit(gap_days)), F.lit(1)).otherwise(F.lit(0))
     return per.select(key, last_expire.alias("last_expire_date"), "next_renewal_date",

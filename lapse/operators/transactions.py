@@ -17,27 +17,28 @@ LAST_ROW_COLUMNS = ("plan_list_price", "payment_plan_days", "is_auto_renew", "pa
 
 def plan_change_flags(tx: DataFrame, key: str = "msno", date_col: str = "transaction_date",
                       price: str = "plan_list_price") -> DataFrame:
-    """W1 helper: flag each row whose price differs from the previous row of the
-    same customer in date order; a NULL on either side counts as a change and
-    the first row never counts."""
+    """W1 helper over one date-ordered window per customer: ``_changed`` flags a
+    row whose price differs from the previous row (a NULL on either side
+    counts, the first row never does); ``_is_last`` marks the latest row (D2;
+    a NULL date sorts last, so it counts as latest)."""
     w = Window.partitionBy(key).orderBy(F.col(date_col).asc_nulls_last())
     prev = F.lag(price).over(w)
     first = F.row_number().over(w) == 1
     same = F.coalesce(F.col(price) == prev, F.lit(False))
-    return tx.withColumn("_changed", F.when(first | same, F.lit(0)).otherwise(F.lit(1)))
+    last = F.lead(F.lit(1)).over(w).isNull()
+    return tx.withColumns({"_changed": F.when(first | same, F.lit(0)).otherwise(F.lit(1)), "_is_last": last})
 
 
 def transaction_history(tx: DataFrame, key: str = "msno") -> DataFrame:
     """Per customer: last-row fields (D2), plan changes (W1), distinct payment
-    methods (A7), cancellations (A8) and max expiry (A9)."""
+    methods (A7), cancellations (A8) and max expiry (A9).  The aggregate reuses
+    the window's partitioning (no second exchange) and has primitive buffers
+    only, so it runs as a hash aggregate."""
     flagged = plan_change_flags(tx, key)
-    payload = F.struct(*[F.col(c) for c in LAST_ROW_COLUMNS])
-    latest = F.struct(F.col("transaction_date").isNull(), F.col("transaction_date"))
+    last = F.col("_is_last")
     return (flagged.groupBy(key)
-            .agg(F.max_by(payload, latest).alias("_last"),
+            .agg(*[F.max(F.when(last, F.col(c))).alias(f"last_{c}") for c in LAST_ROW_COLUMNS],
                  F.sum("_changed").cast("long").alias("num_plan_changes"),
                  F.count_distinct("payment_method_id").cast("long").alias("num_payment_methods"),
                  F.coalesce(F.sum("is_cancel"), F.lit(0)).cast("long").alias("num_cancellations"),
-                 F.max("membership_expire_date").alias("max_expire_date"))
-            .select(key, *[F.col("_last")[c].alias(f"last_{c}") for c in LAST_ROW_COLUMNS],
-                    "num_plan_changes", "num_payment_methods", "num_cancellations", "max_expire_date"))
+                 F.max("membership_expire_date").alias("max_expire_date")))

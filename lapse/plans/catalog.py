@@ -60,11 +60,10 @@ def for_oracle(df: DataFrame) -> DataFrame:
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FB5 over the test views: base = labelled customers, ref = REF."""
-    train = tv.train(spark, sf_dir)
-    base = train.select("msno").dropDuplicates(["msno"])
+    train = tv.train(spark, sf_dir)   # one row per customer by construction (a groupBy output)
     return fb.build_customer_feature_table(
         tv.members(spark, sf_dir), tv.transactions(spark, sf_dir), tv.user_logs(spark, sf_dir),
-        base, REF, S.features, labels=train)
+        train, REF, S.features)
 
 
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
