@@ -410,3 +410,104 @@ def q_score_percentiles(spark, sf_dir):
 @register("tier_thresholds")
 def q_tier_thresholds(spark, sf_dir):
     return for_oracle(ev.tier_thresholds(scored_table(spark, sf_dir)))
+
+
+# ------------------------------------------------------- phase 6: modelling
+
+from lapse.operators import attribute as at  # noqa: E402
+from lapse.operators import ml  # noqa: E402
+from lapse.session import ensure_checkpoint_dir, materialize  # noqa: E402
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature table with exact stratified split and folds (M1 + M2)."""
+    return ml.stratified_split(feature_table(spark, sf_dir), 0.2, 3, 42)
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    return for_oracle(split_table(spark, sf_dir).select("msno", "is_churn", "split", "fold"))
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    train = split_table(spark, sf_dir).filter(F.col("split") == "train")
+    return for_oracle(ml.with_class_weights(train).select("msno", "is_churn", "weight"))
+
+
+def _fit_linear(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    data = materialize(split_table(spark, sf_dir))
+    train = materialize(ml.with_class_weights(data.filter(F.col("split") == "train"), mode="balanced"))
+    model = ml.linear_pipeline(reg_param=ml.l2_for_c(train, 1.0)).fit(train)
+    return model, data, train
+
+
+@register("linear_baseline_scores")
+def q_linear_baseline_scores(spark, sf_dir):
+    model, data, _ = _fit_linear(spark, sf_dir)
+    return for_oracle(ml.score(model, data.filter(F.col("split") == "test")))
+
+
+@register("linear_baseline_metrics")
+def q_linear_baseline_metrics(spark, sf_dir):
+    model, data, _ = _fit_linear(spark, sf_dir)
+    scores = ml.score(model, data.filter(F.col("split") == "test"))
+    auc = ev.roc_auc(scores)
+    ap = ev.average_precision(scores)
+    cm = ev.confusion(scores, 0.5)
+    return for_oracle(cm.select("*", auc.select("roc_auc").scalar().alias("roc_auc"),
+                                ap.select("average_precision").scalar().alias("average_precision")))
+
+
+@register("linear_contributions")
+def q_linear_contributions(spark, sf_dir):
+    model, data, train = _fit_linear(spark, sf_dir)
+    contrib = at.linear_contributions(model, data, train)
+    return for_oracle(at.contributions_long(contrib))
+
+
+def _fit_calibrated_trees(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    data = materialize(split_table(spark, sf_dir))
+    train = materialize(ml.with_class_weights(data.filter(F.col("split") == "train")))
+    ens = ml.fit_calibrated(train, lambda: ml.tree_pipeline(ml.TreeParams()), folds=3)
+    return ens, data
+
+
+@register("calibrated_tree_scores")
+def q_calibrated_tree_scores(spark, sf_dir):
+    ens, data = _fit_calibrated_trees(spark, sf_dir)
+    test = data.filter(F.col("split") == "test")
+    return for_oracle(ens.transform(test).select("msno", "is_churn", "churn_probability"))
+
+
+# ---------------------------------------------- phase 7: attribution, actions
+
+def standin_attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at.standin_contributions(scored_table(spark, sf_dir))
+
+
+@register("feature_contributions")
+def q_feature_contributions(spark, sf_dir):
+    return for_oracle(at.contributions_long(standin_attributed(spark, sf_dir)))
+
+
+@register("top_drivers")
+def q_top_drivers(spark, sf_dir):
+    df = standin_attributed(spark, sf_dir)
+    d = at.top_drivers(F.col("contributions"), S.serve.top_drivers_n)
+    return for_oracle(df.select("msno", F.posexplode(at.driver_strings(d)).alias("rank", "driver")))
+
+
+@register("retention_actions")
+def q_retention_actions(spark, sf_dir):
+    df = standin_attributed(spark, sf_dir)
+    d = at.top_drivers(F.col("contributions"), S.serve.top_drivers_n)
+    return for_oracle(df.select("msno", "risk_tier", at.retention_action(F.col("risk_tier"), d).alias("suggested_action")))
+
+
+@register("global_drivers")
+def q_global_drivers(spark, sf_dir):
+    sample = sv.seeded_sample(standin_attributed(spark, sf_dir), 5000, 42)
+    return for_oracle(at.impact_share_of_max(at.global_drivers(at.contributions_long(sample), 15)))

@@ -599,3 +599,86 @@ pc AS (SELECT quantile_cont(churn_probability, 0.95) AS hi, quantile_cont(churn_
 SELECT 'High' AS tier, round(hi, 6) AS min_prob, CAST(NULL AS DOUBLE) AS max_prob FROM pc
 UNION ALL SELECT 'Medium', round(md, 6), round(hi, 6) FROM pc
 UNION ALL SELECT 'Low', 0.0, round(md, 6) FROM pc""")
+
+
+# ------------------------------------------------------- phase 6: modelling
+
+_SPLIT_CTE = features_cte() + """,
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY is_churn ORDER BY substr(md5(msno || ':42'), 1, 15), msno) AS rk,
+         ceil(count(*) OVER (PARTITION BY is_churn) * CAST(0.2 AS DOUBLE)) AS n_test
+  FROM features),
+split AS (
+  SELECT *, CASE WHEN rk <= n_test THEN 'test' ELSE 'train' END AS split,
+         CASE WHEN rk <= n_test THEN NULL ELSE CAST((rk - n_test - 1) % 3 AS INTEGER) END AS fold
+  FROM ranked)"""
+
+ORACLES["train_test_split"] = with_prefix(_SPLIT_CTE, "SELECT msno, is_churn, split, fold FROM split")
+
+ORACLES["class_weights"] = with_prefix(_SPLIT_CTE + """,
+tr AS (SELECT * FROM split WHERE split = 'train'),
+cw AS (SELECT CAST(count(*) - sum(is_churn) AS DOUBLE) AS neg, CAST(sum(is_churn) AS DOUBLE) AS pos FROM tr)""", """
+SELECT msno, is_churn,
+       round(CASE WHEN is_churn = 1 THEN coalesce((SELECT neg FROM cw) / NULLIF((SELECT pos FROM cw), 0), 1.0)
+                  ELSE 1.0 END, 6) AS weight
+FROM tr""")
+
+
+# ---------------------------------------------- phase 7: attribution, actions
+
+def _standin_long_cte() -> str:
+    from lapse.operators.attribute import standin_weights
+    w = standin_weights()
+    parts = []
+    for pos, (f, wt) in enumerate(w.items()):
+        parts.append(f"SELECT msno, risk_tier, '{f}' AS feature, {pos} AS pos, "
+                     f"CAST('{wt!r}' AS DOUBLE) * CAST({f} AS DOUBLE) "
+                     f"AS contribution FROM scored_ev")
+    return scored_cte() + f""",
+contrib AS ({' UNION ALL '.join(parts)}),
+top3 AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY msno ORDER BY abs(contribution) DESC, pos) - 1 AS rk FROM contrib)
+  WHERE rk < {SET.serve.top_drivers_n})"""
+
+
+ORACLES["feature_contributions"] = with_prefix(_standin_long_cte(), """
+SELECT msno, feature, round(contribution, 6) AS contribution FROM contrib""")
+
+ORACLES["top_drivers"] = with_prefix(_standin_long_cte(), """
+SELECT msno, CAST(rk AS INTEGER) AS rank,
+       feature || ' (' || CASE WHEN contribution > 0 THEN 'High' ELSE 'Low' END || ')' AS driver
+FROM top3""")
+
+
+def _family_case(col: str) -> str:
+    from lapse import config as C
+
+    def lst(xs):
+        return ", ".join(f"'{x}'" for x in xs)
+    return (f"CASE WHEN {col} IN ({lst(C.PAYMENT_FRICTION)}) THEN '{C.ACTION_PAYMENT}' "
+            f"WHEN {col} IN ({lst(C.RENEWAL_TIMING)}) THEN '{C.ACTION_RENEWAL}' "
+            f"WHEN {col} IN ({lst(C.PRICE_SENSITIVITY)}) THEN '{C.ACTION_DISCOUNT}' END")
+
+
+def _actions_sql() -> str:
+    from lapse import config as C
+    return with_prefix(_standin_long_cte() + f""",
+hits AS (SELECT msno, rk, {_family_case('feature')} AS action FROM top3 WHERE contribution > 0),
+first_hit AS (SELECT msno, arg_min(action, rk) AS action FROM hits WHERE action IS NOT NULL GROUP BY msno)""", f"""
+SELECT s.msno, s.risk_tier,
+       CASE WHEN s.risk_tier = 'Low' THEN '{C.ACTION_LOW}' WHEN s.risk_tier = 'Medium' THEN '{C.ACTION_MEDIUM}'
+            ELSE coalesce(h.action, '{C.ACTION_FALLBACK_HIGH}') END AS suggested_action
+FROM scored_ev s LEFT JOIN first_hit h ON s.msno = h.msno""")
+
+
+ORACLES["retention_actions"] = _actions_sql()
+
+ORACLES["global_drivers"] = with_prefix(_standin_long_cte() + """,
+sample AS (SELECT msno FROM scored_ev ORDER BY md5(msno || ':42'), msno LIMIT 5000),
+g AS (SELECT feature, avg(abs(contribution)) AS impact, avg(contribution) AS mean_c
+      FROM contrib WHERE msno IN (SELECT msno FROM sample) GROUP BY feature),
+top AS (SELECT * FROM g ORDER BY impact DESC, feature LIMIT 15)""", """
+SELECT feature, round(impact, 6) AS impact, CASE WHEN mean_c > 0 THEN 'High' ELSE 'Low' END AS direction,
+       round(impact / max(impact) OVER (), 6) AS share_of_max
+FROM top""")
