@@ -47,6 +47,8 @@ def linear_contributions(model: PipelineModel, df: DataFrame, reference: DataFra
     for c, size in zip(cats, ohe.categorySizes):
         owner += [c] * (size - 1)          # dropLast=True
     weights = lr.coefficients.toArray().tolist()
+    if len(owner) != len(weights):
+        raise ValueError(f"design width {len(weights)} does not match feature layout {len(owner)}")
     design = model.transform(reference).select(Summarizer.mean(F.col(lr.getFeaturesCol())).alias("m"))
     means = design.first()["m"].toArray().tolist()
     base = float(lr.intercept) + sum(w * m for w, m in zip(weights, means))

@@ -2,59 +2,64 @@
 
 A window with ``orderBy`` and no ``partitionBy`` moves every row into one
 task.  Instead rows are cut into ``buckets`` contiguous value ranges of the
-first order column (``floor((x - lo) / (hi - lo) * buckets)``, fixed once
-lo/hi are known):
+first order column (``floor((x - lo) / (hi - lo) * buckets)``):
 
 1. per-bucket totals: one aggregate, at most ``buckets`` rows per group;
-2. exclusive prefix of those totals: a window over those few rows (bounded
-   by the parameter, not by the data), broadcast back;
+2. exclusive prefix (and grand total) of those totals: windows over those few
+   rows (bounded by the parameter, not by the data), broadcast back;
 3. a running sum inside each bucket (window partitioned by bucket) plus the
    bucket's offset.
 
-Rows are ordered by all ``order_cols`` (give a unique order: ties would get
-an arbitrary but consistent position).  Callers collapse duplicates first
-(an aggregate that combines map-side), as the evaluation operators do.
+lo/hi are literals when the range is known (probabilities, hashes), else the
+min/max of each group from one small aggregate joined back (one row per
+group).  ``by`` is meant for few groups (classes, profiled columns): the
+broadcast tables hold ``groups x buckets`` rows at most.  Rows are ordered by all ``order_cols``; give a unique order (ties
+would get an arbitrary but consistent position).  Callers collapse duplicate
+values first with an aggregate that combines map-side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 4096
 
 
-def _bound(df: DataFrame, x: Column, v, fn) -> Column:
-    if isinstance(v, (int, float)):
-        return F.lit(float(v))
-    if v is not None:
-        return v
-    return df.agg(fn(x)).scalar()
-
-
 def running_totals(df: DataFrame, order_cols: str | list[str], sum_cols: list[str], descending: bool = False,
                    by: list[str] | None = None, buckets: int = DEFAULT_BUCKETS,
-                   lo: Column | float | None = None, hi: Column | float | None = None) -> DataFrame:
+                   lo: float | None = None, hi: float | None = None, with_totals: bool = False) -> DataFrame:
     """Add ``cum_<c>``: the sum of ``c`` over every row of the same ``by``
     group at or before this row in ``order_cols`` order (ascending, or
-    descending)."""
+    descending); with ``with_totals`` also ``total_<c>`` of the group."""
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     by = list(by or [])
     x = F.col(order_cols[0]).cast("double")
-    lo_c, hi_c = _bound(df, x, lo, F.min), _bound(df, x, hi, F.max)
-    frac = F.try_divide(x - lo_c, hi_c - lo_c)
+    if lo is not None and hi is not None:
+        ranged = df.withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
+    else:
+        rng = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))   # one row per group
+        if by:
+            ranged = df.join(F.broadcast(rng), by, "inner")
+        else:   # scalar subqueries over one aggregate (merged into one by the optimizer)
+            ranged = df.withColumns({"_lo": rng.select("_lo").scalar(), "_hi": rng.select("_hi").scalar()})
+    frac = F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     b = F.least(F.greatest(F.floor(F.coalesce(frac, F.lit(0.0)) * F.lit(buckets)), F.lit(0)), F.lit(buckets - 1))
     if descending:
         b = F.lit(buckets - 1) - b
-    keyed = df.withColumn("_bucket", b.cast("int"))
+    keyed = ranged.withColumn("_bucket", b.cast("int")).drop("_lo", "_hi")
 
     totals = keyed.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
-                                              for c in sum_cols])
+    whole = Window.partitionBy(*by)
+    offs = [F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols]
+    if with_totals:
+        offs += [F.sum(f"_t_{c}").over(whole).alias(f"total_{c}") for c in sum_cols]
+    offsets = totals.select(*by, "_bucket", *offs)
 
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     within = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.join(F.broadcast(offsets), [*by, "_bucket"], "inner")
+    extra = [F.col(f"total_{c}") for c in sum_cols] if with_totals else []
     return out.select(*df.columns, *[(F.sum(c).over(within) + F.col(f"_o_{c}")).alias(f"cum_{c}")
-                                     for c in sum_cols])
+                                     for c in sum_cols], *extra)

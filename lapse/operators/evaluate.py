@@ -4,12 +4,13 @@ Scores are first collapsed to distinct values with per-score positive and
 negative counts (an aggregate that combines map-side, so a score shared by a
 third of the rows is one row after the partial aggregate).  Cumulative counts
 in descending score order come from :func:`running_totals`, never from a
-one-partition window.  Totals enter as scalar subqueries.
+one-partition window; the grand totals ride along from its small bucket
+table, so each operator makes one pass over its input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.config import RiskThresholds
@@ -24,37 +25,37 @@ def collapse_scores(df: DataFrame, score: str = "churn_probability", label: str
 
 
 def threshold_table(df: DataFrame, score: str = "churn_probability", label: str = "is_churn",
-                    buckets: int = 4096) -> DataFrame:
+                    buckets: int = 4096, score_range: tuple[float, float] | None = (0.0, 1.0)) -> DataFrame:
     """One row per distinct score, descending: tp = cum_pos, fp = cum_neg
-    (counts at or above the score), and ``idx`` = its 1-based position."""
+    (counts at or above the score), ``idx`` = its 1-based position, and the
+    totals P, N, G (positives, negatives, distinct scores) on every row.
+    ``score_range`` only shapes the buckets (scores outside it stay exact);
+    None derives it from the data."""
     g = collapse_scores(df, score, label).withColumn("one", F.lit(1))
-    cum = running_totals(g, "score", ["pos", "neg", "one"], descending=True, buckets=buckets)
+    lo, hi = score_range if score_range else (None, None)
+    cum = running_totals(g, "score", ["pos", "neg", "one"], descending=True, buckets=buckets, lo=lo, hi=hi,
+                         with_totals=True)
     return cum.select("score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-                      F.col("cum_one").alias("idx"))
-
-
-def _totals(g: DataFrame) -> tuple[Column, Column, Column]:
-    t = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("G"))
-    return (t.select("P").scalar(), t.select("N").scalar(), t.select("G").scalar())
+                      F.col("cum_one").alias("idx"), F.col("total_pos").alias("P"), F.col("total_neg").alias("N"),
+                      F.col("total_one").alias("G"))
 
 
 def roc_auc(df: DataFrame, score: str = "churn_probability", label: str = "is_churn") -> DataFrame:
     """Area under the ROC curve (trapezoids over distinct scores; ties
-    count half).  NULL when one class is absent."""
+    count half).  NULL when one class is absent.  One pass over the
+    threshold table."""
     t = threshold_table(df, score, label)
-    P, N, _ = _totals(collapse_scores(df, score, label))
     above = F.col("tp") - F.col("pos")
     area = F.sum(F.col("neg") * (above + F.col("pos") / F.lit(2.0)))
-    return t.agg(F.try_divide(area, (P * N).cast("double")).alias("roc_auc"))
+    return t.agg(F.try_divide(area, (F.max("P") * F.max("N")).cast("double")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str = "churn_probability", label: str = "is_churn") -> DataFrame:
     """Sum over distinct thresholds of (R_n - R_{n-1}) * P_n (step rule,
     not a trapezoid)."""
     t = threshold_table(df, score, label)
-    P, _, _ = _totals(collapse_scores(df, score, label))
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    return t.agg(F.try_divide(F.sum(F.col("pos") * prec), P.cast("double")).alias("average_precision"))
+    return t.agg(F.try_divide(F.sum(F.col("pos") * prec), F.max("P").cast("double")).alias("average_precision"))
 
 
 def confusion(df: DataFrame, threshold: float = 0.5, score: str = "churn_probability",
@@ -77,14 +78,21 @@ def confusion(df: DataFrame, threshold: float = 0.5, score: str = "churn_probabi
                     "brier_score")
 
 
-def thin_indices(spark: SparkSession, length: Column, n_points: int = 100) -> DataFrame:
-    """``floor(linspace(0, length-1, n_points))`` as rows (j, idx); the last
-    index is exactly length-1, repeated indices are kept (as fancy indexing
-    does)."""
-    step = (length - F.lit(1)).cast("double") / F.lit(float(n_points - 1))
-    j = F.col("id")
-    idx = F.when(j == F.lit(n_points - 1), length - F.lit(1)).otherwise(F.floor(j.cast("double") * step))
-    return spark.range(n_points).select(j.cast("int").alias("j"), idx.cast("long").alias("idx"))
+def thin_indices(lengths: DataFrame, n_points: int = 100) -> DataFrame:
+    """``floor(linspace(0, length-1, n_points))`` as rows (j, idx) from a
+    one-row table holding ``length``; the last index is exactly length-1 and
+    repeated indices are kept (as fancy indexing does)."""
+    step = (F.col("length") - F.lit(1)).cast("double") / F.lit(float(n_points - 1))
+    j = F.col("j")
+    idx = F.when(j == F.lit(n_points - 1), F.col("length") - F.lit(1)).otherwise(F.floor(j.cast("double") * step))
+    return (lengths.select("length", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("j"))
+                   .select(j.cast("int").alias("j"), idx.cast("long").alias("idx")))
+
+
+def _thinned(t: DataFrame, pts: DataFrame, n_points: int) -> DataFrame:
+    # curve length = distinct scores + 1; the index table has n_points rows
+    sel = thin_indices(t.agg((F.max("G") + F.lit(1)).alias("length")), n_points)
+    return F.broadcast(sel).join(pts, "idx", "inner")
 
 
 def roc_curve(df: DataFrame, n_points: int = 100, score: str = "churn_probability",
@@ -92,13 +100,10 @@ def roc_curve(df: DataFrame, n_points: int = 100, score: str = "churn_probabilit
     """ROC points (fpr, tpr): (0, 0) then one per distinct score,
     descending, thinned to ``n_points`` by F12."""
     t = threshold_table(df, score, label)
-    P, N, G = _totals(collapse_scores(df, score, label))
-    pts = t.select("idx", F.try_divide(F.col("fp"), N.cast("double")).alias("fpr"),
-                   F.try_divide(F.col("tp"), P.cast("double")).alias("tpr"))
+    pts = t.select("idx", F.try_divide(F.col("fp"), F.col("N").cast("double")).alias("fpr"),
+                   F.try_divide(F.col("tp"), F.col("P").cast("double")).alias("tpr"))
     origin = t.agg(F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    pts = pts.unionByName(origin)
-    sel = thin_indices(df.sparkSession, G + F.lit(1), n_points)
-    return F.broadcast(sel).join(pts, "idx", "inner").select("j", "idx", "fpr", "tpr")
+    return _thinned(t, pts.unionByName(origin), n_points).select("j", "idx", "fpr", "tpr")
 
 
 def pr_curve(df: DataFrame, n_points: int = 100, score: str = "churn_probability",
@@ -107,14 +112,11 @@ def pr_curve(df: DataFrame, n_points: int = 100, score: str = "churn_probability
     ascending order, then the end point (1, 0); thinned to ``n_points``.
     With no positives, recall is 1 everywhere."""
     t = threshold_table(df, score, label)
-    P, _, G = _totals(collapse_scores(df, score, label))
-    pts = t.select((G - F.col("idx")).alias("idx"),
+    pts = t.select((F.col("G") - F.col("idx")).alias("idx"),
                    (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                   F.coalesce(F.try_divide(F.col("tp"), P.cast("double")), F.lit(1.0)).alias("recall"))
-    end = t.agg(G.cast("long").alias("idx"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    pts = pts.unionByName(end)
-    sel = thin_indices(df.sparkSession, G + F.lit(1), n_points)
-    return F.broadcast(sel).join(pts, "idx", "inner").select("j", "idx", "precision", "recall")
+                   F.coalesce(F.try_divide(F.col("tp"), F.col("P").cast("double")), F.lit(1.0)).alias("recall"))
+    end = t.agg(F.max("G").cast("long").alias("idx"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return _thinned(t, pts.unionByName(end), n_points).select("j", "idx", "precision", "recall")
 
 
 def calibration_curve(df: DataFrame, n_bins: int = 10, score: str = "churn_probability",
@@ -131,38 +133,51 @@ def calibration_curve(df: DataFrame, n_bins: int = 10, score: str = "churn_proba
                    F.avg(F.col(label).cast("double")).alias("prob_true")))
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: list[float], buckets: int = 4096) -> DataFrame:
-    """Exact percentiles with linear interpolation (position (n-1)q),
-    distributed: values collapse to (value, count), positions come from
-    bucketed running totals, and one conditional aggregate picks the two
-    neighbours of every position.  One row, columns ``q_<100q>``."""
-    v = F.col(col).cast("double")
-    g = df.filter(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    cum = running_totals(g, "v", ["cnt"], buckets=buckets)
-    n = g.agg(F.sum("cnt")).scalar()
+def _percentile_columns(probs: list[float]) -> list[str]:
+    return [f"q_{round(q * 100, 6):g}".replace(".", "_") for q in probs]
+
+
+def grouped_percentiles(long_df: DataFrame, by: list[str], value: str, probs: list[float],
+                        buckets: int = 4096, value_range: tuple[float, float] | None = None) -> DataFrame:
+    """A26, per group: exact percentiles with linear interpolation at position
+    (n-1)q.  Values collapse to (group, value, count); positions come from
+    bucketed running totals; one conditional aggregate per group picks the
+    two neighbours of each position.  One row per group, columns q_<100q>."""
+    v = F.col(value).cast("double")
+    g = (long_df.filter(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("cnt")))
+    lo, hi = value_range if value_range else (None, None)
+    cum = running_totals(g, "v", ["cnt"], by=by, buckets=buckets, lo=lo, hi=hi, with_totals=True)
     first = F.col("cum_cnt") - F.col("cnt")           # 0-based position of the value's first copy
-    aggs, names = [], []
-    for q in probs:
-        h = (n - F.lit(1)).cast("double") * F.lit(float(q))
+    h_of = {}
+    aggs = []
+    for q, name in zip(probs, _percentile_columns(probs)):
+        h = (F.col("total_cnt") - F.lit(1)).cast("double") * F.lit(float(q))
+        h_of[name] = float(q)
         lo_i, hi_i = F.floor(h), F.ceil(h)
-        name = f"q_{round(q * 100, 6):g}".replace(".", "_")
-        names.append((name, h))
         aggs += [F.max(F.when((first <= lo_i) & (lo_i < F.col("cum_cnt")), F.col("v"))).alias(f"{name}_a"),
                  F.max(F.when((first <= hi_i) & (hi_i < F.col("cum_cnt")), F.col("v"))).alias(f"{name}_b")]
-    row = cum.agg(*aggs)
+    row = cum.groupBy(*by).agg(F.max("total_cnt").alias("_n"), *aggs)
     out = []
-    for name, h in names:
+    for name, q in h_of.items():
         a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+        h = (F.col("_n") - F.lit(1)).cast("double") * F.lit(q)
         t = h - F.floor(h)
         out.append(F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t).alias(name))
-    return row.select(*out)
+    return row.select(*by, *out)
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: list[float], buckets: int = 4096,
+                      value_range: tuple[float, float] | None = None) -> DataFrame:
+    """Exact percentiles of one column (one row, columns q_<100q>)."""
+    keyed = df.select(F.lit(0).alias("_g"), F.col(col).alias("_v"))
+    return grouped_percentiles(keyed, ["_g"], "_v", probs, buckets, value_range).drop("_g")
 
 
 def tier_thresholds(df: DataFrame, score: str = "churn_probability", high_q: float = 0.95,
                     medium_q: float = 0.85) -> DataFrame:
     """High = p95, Medium = p85 of the scores, as a 3-row table
     (tier, min_prob, max_prob) that :func:`risk_tier_from_table` consumes."""
-    pc = exact_percentiles(df, score, [high_q, medium_q])
+    pc = exact_percentiles(df, score, [high_q, medium_q], value_range=(0.0, 1.0))
     hi_name = pc.columns[0]
     md_name = pc.columns[1]
     rows = F.array(

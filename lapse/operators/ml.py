@@ -101,8 +101,10 @@ def linear_pipeline(features: tuple[str, ...] = MODEL_FEATURES, max_iter: int =
     cats = [c for c in features if c in CATEGORICAL_FEATURES]
     nums = numeric_features(features)
     stages = _indexers(cats)
+    # The indexer puts unseen values in its last slot; dropLast removes that
+    # slot, so an unseen value encodes as all zeros.
     stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cats], outputCols=[f"{c}__ohe" for c in cats],
-                                dropLast=True, handleInvalid="keep"))
+                                dropLast=True, handleInvalid="error"))
     stages.append(VectorAssembler(inputCols=nums, outputCol="num_vec", handleInvalid="keep"))
     stages.append(StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True))
     stages.append(VectorAssembler(inputCols=["num_scaled", *[f"{c}__ohe" for c in cats]], outputCol="features"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.operators.evaluate import exact_percentiles
+from lapse.operators.evaluate import grouped_percentiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -92,8 +92,9 @@ def churn_rate_by(labels: DataFrame, members: DataFrame, col: str = "city", key:
 
 def table_profile(df: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count / mean / std / min / quartiles / max of every numeric column
-    as long rows (column, stat, value), plus the row count.  Quartiles are
-    exact (linear interpolation) and computed distributed."""
+    as long rows (column, stat, value), plus the row count.  One aggregate for
+    the moments; quartiles are exact (linear interpolation) for all columns in
+    one long-form pass grouped by column."""
     num = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in num:
@@ -107,9 +108,12 @@ def table_profile(df: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75
         for s in ("count", "mean", "std", "min", "max"):
             rows.append(F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"{c}__{s}").alias("value")))
     out = wide.select(F.inline(F.array(*rows)))
-    for c in num:
-        pc = exact_percentiles(df, c, list(quantiles))
-        q_rows = [F.struct(F.lit(c).alias("column"), F.lit(f"{int(q * 100)}%").alias("stat"),
-                           F.col(name).alias("value")) for q, name in zip(quantiles, pc.columns)]
-        out = out.unionByName(pc.select(F.inline(F.array(*q_rows))))
-    return out
+    if not num:
+        return out
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                        for c in num])))
+    pc = grouped_percentiles(long, ["column"], "value", list(quantiles))
+    names = [c for c in pc.columns if c != "column"]
+    q_rows = F.array(*[F.struct(F.lit(f"{int(q * 100)}%").alias("stat"), F.col(n).alias("value"))
+                       for q, n in zip(quantiles, names)])
+    return out.unionByName(pc.select("column", F.inline(q_rows)))
