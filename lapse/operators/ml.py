@@ -33,7 +33,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.config import CATEGORICAL_FEATURES, MODEL_FEATURES
+from lapse.config import CATEGORICAL_FEATURES, MODEL_FEATURES, NON_MODEL_COLUMNS
 from lapse.operators.cumulative import running_totals
 
 LABEL = "is_churn"
@@ -83,6 +83,18 @@ def with_class_weights(df: DataFrame, label: str = LABEL, mode: str = "scale_pos
     return df.withColumn("weight", w)
 
 
+def model_input(df: DataFrame, features: tuple[str, ...] = MODEL_FEATURES,
+                exclude: tuple[str, ...] = NON_MODEL_COLUMNS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """P2 + P3 + P4: the model's feature columns in model order (only those
+    present), with id / label / excluded columns dropped unless kept, and
+    numeric NULLs filled with 0 (categoricals stay text)."""
+    present = [c for c in features if c in df.columns and c not in exclude]
+    nums = [c for c in present if c not in CATEGORICAL_FEATURES]
+    cols = [F.col(c) for c in keep if c in df.columns]
+    cols += [F.coalesce(F.col(c), F.lit(0)).alias(c) if c in nums else F.col(c) for c in present]
+    return df.select(*cols)
+
+
 def numeric_features(features: tuple[str, ...] = MODEL_FEATURES) -> list[str]:
     return [c for c in features if c not in CATEGORICAL_FEATURES]
 

@@ -155,7 +155,9 @@ ACTION_COLUMNS = ("msno", "expected_value", "churn_probability", "estimated_clv"
 
 @register("scored_customers")
 def q_scored_customers(spark, sf_dir):
-    return for_oracle(scored_table(spark, sf_dir).select("msno", *sv.PREDICTION_COLUMNS))
+    from lapse.functions.clean import retention_score
+    return for_oracle(scored_table(spark, sf_dir).select("msno", *sv.PREDICTION_COLUMNS,
+                                                         retention_score("churn_probability").alias("retention_score")))
 
 
 @register("clv_flat")
@@ -509,5 +511,12 @@ def q_retention_actions(spark, sf_dir):
 
 @register("global_drivers")
 def q_global_drivers(spark, sf_dir):
+    from lapse.functions.clean import feature_label
     sample = sv.seeded_sample(standin_attributed(spark, sf_dir), 5000, 42)
-    return for_oracle(at.impact_share_of_max(at.global_drivers(at.contributions_long(sample), 15)))
+    g = at.impact_share_of_max(at.global_drivers(at.contributions_long(sample), 15))
+    return for_oracle(g.withColumn("label", feature_label("feature")))
+
+
+@register("model_input")
+def q_model_input(spark, sf_dir):
+    return for_oracle(ml.model_input(scored_table(spark, sf_dir), keep=("msno",)))

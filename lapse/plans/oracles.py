@@ -302,7 +302,8 @@ _ACT = ("msno, round(expected_value, 6) AS expected_value, round(churn_probabili
 _EVORD = "expected_value DESC NULLS LAST, msno"
 _B, _T, _Q = SET.business, SET.thresholds, SET.quotas
 
-ORACLES["scored_customers"] = with_prefix(scored_cte(), f"SELECT {_PRED} FROM scored_ev")
+ORACLES["scored_customers"] = with_prefix(scored_cte(), f"""
+SELECT {_PRED}, round((1.0 - churn_probability) * 100.0, 6) AS retention_score FROM scored_ev""")
 
 ORACLES["clv_flat"] = with_prefix("", f"""
 SELECT msno, seq, round(actual_amount_paid * {_B.avg_customer_lifespan_months}, 6) AS estimated_clv FROM transactions""")
@@ -674,11 +675,33 @@ FROM scored_ev s LEFT JOIN first_hit h ON s.msno = h.msno""")
 
 ORACLES["retention_actions"] = _actions_sql()
 
+def _label_case(col: str) -> str:
+    from lapse.config import FEATURE_LABELS
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FEATURE_LABELS.items())
+    return f"CASE {col} {whens} ELSE {col} END"
+
+
 ORACLES["global_drivers"] = with_prefix(_standin_long_cte() + """,
 sample AS (SELECT msno FROM scored_ev ORDER BY md5(msno || ':42'), msno LIMIT 5000),
 g AS (SELECT feature, avg(abs(contribution)) AS impact, avg(contribution) AS mean_c
       FROM contrib WHERE msno IN (SELECT msno FROM sample) GROUP BY feature),
-top AS (SELECT * FROM g ORDER BY impact DESC, feature LIMIT 15)""", """
+top AS (SELECT * FROM g ORDER BY impact DESC, feature LIMIT 15)""", f"""
 SELECT feature, round(impact, 6) AS impact, CASE WHEN mean_c > 0 THEN 'High' ELSE 'Low' END AS direction,
-       round(impact / max(impact) OVER (), 6) AS share_of_max
+       round(impact / max(impact) OVER (), 6) AS share_of_max, {_label_case('feature')} AS label
 FROM top""")
+
+
+def _model_input_sql() -> str:
+    from lapse import config as C
+    cols = ["msno"]
+    for c in C.MODEL_FEATURES:
+        if c in C.CATEGORICAL_FEATURES:
+            cols.append(c)
+        elif c in _FEATURE_DOUBLES:
+            cols.append(f"round(coalesce({c}, 0), 6) AS {c}")
+        else:
+            cols.append(f"coalesce({c}, 0) AS {c}")
+    return with_prefix(scored_cte(), f"SELECT {', '.join(cols)} FROM scored_ev")
+
+
+ORACLES["model_input"] = _model_input_sql()

@@ -61,3 +61,37 @@ def test_queries_stable_under_repartitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     for n in names:
         assert sorted(map(tuple, a[n]), key=repr) == sorted(map(tuple, b[n]), key=repr), n
+
+
+def test_members_csv_scan_and_base_cohort(spark, tmpdir_path):
+    from lapse.sources import readers
+    p = f"{tmpdir_path}/members.csv"
+    with open(p, "w") as f:
+        f.write("msno,city,bd,gender,registered_via,registration_init_time\n"
+                "A,1,25,male,7,20150101\nB,3,0,,9,2015013x\n")
+    m = {r["msno"]: r for r in readers.load_members(spark, p).collect()}
+    assert m["A"]["registration_init_time"] == dt.date(2015, 1, 1)
+    assert m["B"]["registration_init_time"] is None and m["B"]["gender"] is None
+    labels = spark.createDataFrame([("A", 1), ("A", 1), ("B", 0)], "msno string, is_churn int")
+    assert readers.base_cohort(labels).count() == 2
+    assert readers.base_cohort(spark=spark, msno_list=["x", "x"]).count() == 2
+
+
+def test_threshold_and_curve_sinks(spark, tmpdir_path):
+    from lapse.operators import evaluate as ev
+    df = spark.range(1, 201).select((F.col("id") / 200.0).alias("churn_probability"),
+                                    (F.col("id") % 3 == 0).cast("int").alias("is_churn"))
+    writers.write_thresholds(ev.tier_thresholds(df), f"{tmpdir_path}/thr")
+    assert spark.read.json(f"{tmpdir_path}/thr").count() == 3
+    writers.write_curves({"roc": ev.roc_curve(df), "pr": ev.pr_curve(df),
+                          "calibration": ev.calibration_curve(df)}, f"{tmpdir_path}/curves")
+    back = spark.read.parquet(f"{tmpdir_path}/curves")
+    counts = {r["curve"]: r["count"] for r in back.groupBy("curve").count().collect()}
+    assert counts["roc"] == 100 and counts["pr"] == 100 and counts["calibration"] == 10
+
+
+def test_date_text_helpers(spark):
+    from lapse.functions.dates import iso_date_text, parse_yyyymmdd
+    df = spark.createDataFrame([("20170105",), ("2017-01-05",), ("bad",)], "s string")
+    assert [r[0] for r in df.select(iso_date_text("s")).collect()] == ["2017-01-05", "2017-01-05", "bad"]
+    assert [r[0] for r in df.select(parse_yyyymmdd("s")).collect()] == [dt.date(2017, 1, 5), None, None]
