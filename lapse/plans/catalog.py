@@ -437,7 +437,23 @@ def q_class_weights(spark, sf_dir):
     return for_oracle(ml.with_class_weights(train).select("msno", "is_churn", "weight"))
 
 
+_FITS: dict = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf_dir: str, fit):
+    """One (seeded, deterministic) fit per session, data folder and kind, shared
+    by the queries that read the same model."""
+    k = (kind, id(spark), sf_dir)
+    if k not in _FITS:
+        _FITS[k] = fit()
+    return _FITS[k]
+
+
 def _fit_linear(spark, sf_dir):
+    return _memo("linear", spark, sf_dir, lambda: _fit_linear_now(spark, sf_dir))
+
+
+def _fit_linear_now(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     data = materialize(split_table(spark, sf_dir))
     train = materialize(ml.with_class_weights(data.filter(F.col("split") == "train"), mode="balanced"))
@@ -470,6 +486,10 @@ def q_linear_contributions(spark, sf_dir):
 
 
 def _fit_calibrated_trees(spark, sf_dir):
+    return _memo("trees", spark, sf_dir, lambda: _fit_calibrated_trees_now(spark, sf_dir))
+
+
+def _fit_calibrated_trees_now(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     data = materialize(split_table(spark, sf_dir))
     train = materialize(ml.with_class_weights(data.filter(F.col("split") == "train")))
@@ -484,6 +504,26 @@ def q_calibrated_tree_scores(spark, sf_dir):
     return for_oracle(ens.transform(test).select("msno", "is_churn", "churn_probability"))
 
 
+def _tree_attribution(spark, sf_dir):
+    """X1 (trees) from the first fold's uncalibrated model, on every row."""
+    from lapse.operators.treeshap import tree_contributions
+    ens, data = _fit_calibrated_trees(spark, sf_dir)
+    return tree_contributions(ens.members[0][0], data)
+
+
+@register("tree_drivers")
+def q_tree_drivers(spark, sf_dir):
+    contrib = _tree_attribution(spark, sf_dir)
+    d = at.top_drivers(F.col("contributions"), S.serve.top_drivers_n)
+    return for_oracle(contrib.select("msno", F.posexplode(at.driver_strings(d)).alias("rank", "driver")))
+
+
+@register("tree_global_drivers")
+def q_tree_global_drivers(spark, sf_dir):
+    sample = sv.seeded_sample(_tree_attribution(spark, sf_dir), 5000, 42)
+    return for_oracle(at.impact_share_of_max(at.global_drivers(at.contributions_long(sample), 15)))
+
+
 # ---------------------------------------------- phase 7: attribution, actions
 
 def standin_attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
