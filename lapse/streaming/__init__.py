@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analytics being rebuilt are batch-only: the data is a static snapshot,
+real-time ingestion is declared out of scope, and there are no watermarks,
+event-time windows, stateful operators or late-data rules to reproduce.  The
+closest notion, right-censoring at the reference date, is the batch cutoff
+filter applied by every fact reader (see ``lapse.sources.readers``).  No
+streaming operator is added beyond what the source system does.
+"""
