@@ -61,7 +61,8 @@ def key_coverage(ids: DataFrame, others: dict[str, DataFrame], key: str = "msno"
     total = distinct_ids.agg(F.count(F.lit(1))).scalar()
     parts = []
     for name, other in others.items():
-        hit = distinct_ids.join(other.select(key), key, "left_semi")
+        # distinct keys first: duplicates (a hot key) collapse map-side before the shuffle
+        hit = distinct_ids.join(other.select(key).distinct(), key, "left_semi")
         parts.append(hit.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("found"))
                         .select("table", "found", (F.col("found") / total * 100).alias("coverage_pct")))
     out = parts[0]
@@ -76,11 +77,14 @@ def distinct_ids(df: DataFrame, key: str = "msno") -> DataFrame:
 
 
 def listening_by_label(logs: DataFrame, labels: DataFrame, key: str = "msno") -> DataFrame:
-    """A22 (J8): average daily seconds by churn label over log rows of
-    labelled customers (inner join; labels are per-customer, so they are
-    not broadcast blindly -- the planner picks the strategy from sizes)."""
-    return (logs.join(labels.select(key, "is_churn"), key, "inner")
-                .groupBy("is_churn").agg(F.avg("total_secs").alias("avg_secs")))
+    """A22 (J8): average daily seconds by churn label over the log rows of
+    labelled customers.  Logs are first reduced to one (sum, count) row per
+    customer (partial aggregation before the shuffle), so a customer holding
+    a third of the log rows costs one row per map task; the join is then
+    between per-customer tables."""
+    per = logs.groupBy(key).agg(F.sum("total_secs").alias("_s"), F.count("total_secs").alias("_n"))
+    return (per.join(labels.select(key, "is_churn"), key, "inner")
+               .groupBy("is_churn").agg((F.sum("_s") / F.sum("_n")).alias("avg_secs")))
 
 
 def churn_rate_by(labels: DataFrame, members: DataFrame, col: str = "city", key: str = "msno") -> DataFrame:
