@@ -443,7 +443,7 @@ _FITS: dict = {}
 def _memo(kind: str, spark: SparkSession, sf_dir: str, fit):
     """One (seeded, deterministic) fit per session, data folder and kind, shared
     by the queries that read the same model."""
-    k = (kind, id(spark), sf_dir)
+    k = (kind, spark.sparkContext.applicationId, sf_dir)
     if k not in _FITS:
         _FITS[k] = fit()
     return _FITS[k]

@@ -164,3 +164,19 @@ def test_feature_table_ignores_facts_after_reference(spark):
                                         logs.filter(F.col("log_date") <= ref), train, ref)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert catalog.feature_table(spark, sf).count() == a.count()
+
+
+def test_small_cohort_path_matches_full_table(spark):
+    from lapse.sources import testviews as tv
+    sf = "/root/testdata/sf0.001"
+    ref = tv.REFERENCE_DATE
+    args = (tv.members(spark, sf), tv.transactions(spark, sf), tv.user_logs(spark, sf))
+    full = fb.build_customer_feature_table(*args, tv.train(spark, sf), ref)
+    ids = [r[0] for r in full.select("msno").orderBy("msno").limit(3).collect()] + ["not-a-customer"]
+    base = readers.base_cohort(spark=spark, msno_list=ids)
+    small = fb.build_customer_feature_table(*args, base, ref, small_base=True)
+    assert small.count() == 4
+    expect = full.filter(F.col("msno").isin(ids)).drop("is_churn")
+    assert small.filter(F.col("msno") != "not-a-customer").exceptAll(expect).count() == 0
+    ghost = small.filter(F.col("msno") == "not-a-customer").first()
+    assert ghost["days_since_last_log"] == 999 and ghost["city"] == "Unknown"
