@@ -71,14 +71,21 @@ def diversified_top_n(df: DataFrame, n: int = 10, t: RiskThresholds = RiskThresh
     quota = F.when(F.col("_stratum") == 0, F.lit(q.high)).when(F.col("_stratum") == 1, F.lit(q.medium)) \
              .otherwise(F.lit(q.low_new))
     w = Window.partitionBy("_stratum").orderBy(*_ev_order())
+    # The literal bound lets Spark plan a partial WindowGroupLimit before the
+    # shuffle: each map task sends at most max(quota) rows per stratum, so a
+    # stratum holding a third of the table never lands in one task.
+    cap = max(q.high, q.medium, q.low_new)
     picked = (df.withColumn("_stratum", stratum).filter(F.col("_stratum").isNotNull())
                 .withColumn("_rn", F.row_number().over(w))
-                .filter(F.col("_rn") <= quota)
+                .filter((F.col("_rn") <= F.lit(cap)) & (F.col("_rn") <= quota))
                 .drop("_stratum", "_rn"))
-    # Fillers: at most n candidates (a top-n heap), of which the first
-    # n - |picked| are kept; |picked| <= sum of quotas, a scalar subquery.
+    # Fillers: the best n + sum(quotas) customers by EV (a bounded top-k heap,
+    # no shuffle of the table) contain at least n not already picked; drop the
+    # picked ones (two small sets) and keep the first n - |picked|.
+    total_quota = q.high + q.medium + q.low_new
     missing = F.lit(n) - picked.agg(F.count(F.lit(1))).scalar()
-    candidates = df.join(picked.select("msno"), "msno", "left_anti").orderBy(*_ev_order()).limit(n)
+    top = df.orderBy(*_ev_order()).limit(n + total_quota)
+    candidates = top.join(picked.select("msno"), "msno", "left_anti")
     fillers = (candidates.withColumn("_rn", F.row_number().over(Window.orderBy(*_ev_order())))
                          .filter(F.col("_rn") <= missing).drop("_rn"))
     return picked.unionByName(fillers).orderBy(*_ev_order())
