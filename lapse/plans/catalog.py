@@ -22,6 +22,16 @@ from lapse.operators import logs as lg
 from lapse.operators import categories as cat
 from lapse.operators.value import score_customers
 from lapse.sources import testviews as tv
+from lapse.operators import cohort as ch
+from lapse.operators import rank as rk
+from lapse.operators import serve as sv
+from lapse.operators.value import estimated_clv_flat
+from lapse.operators import evaluate as ev
+from lapse.operators import profile as pf
+from lapse.sources.readers import sample_rows
+from lapse.operators import attribute as at
+from lapse.operators import ml
+from lapse.session import ensure_checkpoint_dir, materialize
 
 S = Settings()
 REF = tv.REFERENCE_DATE
@@ -145,10 +155,6 @@ def q_class_balance(spark, sf_dir):
 
 # ------------------------------------------------- phase 3: value and serving
 
-from lapse.operators import cohort as ch  # noqa: E402
-from lapse.operators import rank as rk  # noqa: E402
-from lapse.operators import serve as sv  # noqa: E402
-from lapse.operators.value import estimated_clv_flat  # noqa: E402
 
 ACTION_COLUMNS = ("msno", "expected_value", "churn_probability", "estimated_clv")
 
@@ -300,9 +306,6 @@ def q_what_if(spark, sf_dir):
 
 # ----------------------------------------------- phase 4: profiles and EDA
 
-from lapse.operators import evaluate as ev  # noqa: E402
-from lapse.operators import profile as pf  # noqa: E402
-from lapse.sources.readers import sample_rows  # noqa: E402
 
 
 @register("null_percent_members")
@@ -416,9 +419,6 @@ def q_tier_thresholds(spark, sf_dir):
 
 # ------------------------------------------------------- phase 6: modelling
 
-from lapse.operators import attribute as at  # noqa: E402
-from lapse.operators import ml  # noqa: E402
-from lapse.session import ensure_checkpoint_dir, materialize  # noqa: E402
 
 
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
