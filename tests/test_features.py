@@ -174,8 +174,10 @@ def test_small_cohort_path_matches_full_table(spark):
     full = fb.build_customer_feature_table(*args, tv.train(spark, sf), ref)
     ids = [r[0] for r in full.select("msno").orderBy("msno").limit(3).collect()] + ["not-a-customer"]
     base = readers.base_cohort(spark=spark, msno_list=ids)
-    small = fb.build_customer_feature_table(*args, base, ref, small_base=True)
+    small = fb.build_customer_feature_table(*args, base, ref, small_base=1000)
     assert small.count() == 4
+    too_small = fb.build_customer_feature_table(*args, base, ref, small_base=2)   # falls back, same rows
+    assert too_small.exceptAll(small).count() == 0
     expect = full.filter(F.col("msno").isin(ids)).drop("is_churn")
     assert small.filter(F.col("msno") != "not-a-customer").exceptAll(expect).count() == 0
     ghost = small.filter(F.col("msno") == "not-a-customer").first()
