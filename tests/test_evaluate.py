@@ -114,3 +114,13 @@ def test_tier_thresholds_table(spark):
     assert abs(t["High"]["min_prob"] - 0.9505) < 1e-12
     assert abs(t["Medium"]["min_prob"] - 0.8515) < 1e-12
     assert t["Low"]["max_prob"] == t["Medium"]["min_prob"]
+
+
+def test_no_positives(spark):
+    df = spark.createDataFrame([(0.2, 0), (0.7, 0), (0.7, 0)], "churn_probability double, is_churn int")
+    assert ev.roc_auc(df).first()[0] is None
+    assert ev.average_precision(df).first()[0] is None
+    pr = ev.pr_curve(df, 5).toPandas()
+    assert set(pr[pr["idx"] < 2]["recall"]) == {1.0}          # recall is 1 with no positives
+    r = ev.confusion(df, 0.5).first()
+    assert (r["tp"], r["precision"], r["recall"], r["f1_score"]) == (0, 0.0, 0.0, 0.0)
