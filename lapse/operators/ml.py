@@ -220,16 +220,25 @@ class CalibratedEnsemble:
         return acc.withColumn(out, mean).drop(*names)
 
 
-def fit_calibrated(train: DataFrame, make_pipeline, folds: int = 3) -> CalibratedEnsemble:
+def fit_calibrated(train: DataFrame, make_pipeline, folds: int = 3, parallelism: int = 3) -> CalibratedEnsemble:
     """M8: for each fold k: base model on the other folds, isotonic regression
     of the label on the base model's held-out probabilities (MLlib clips
-    outside the fitted range and interpolates between boundaries)."""
-    members = []
-    for k in range(folds):
+    outside the fitted range and interpolates between boundaries).  The fold
+    fits are independent Spark jobs and run concurrently (``parallelism``
+    threads, as CrossValidator does), so small per-tree jobs share the
+    cluster instead of queueing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.util import inheritable_thread_target
+
+    def fit_fold(k: int):
         fit_part = train.filter(F.col("fold") != k)
         held = train.filter(F.col("fold") == k)
         base = make_pipeline().fit(fit_part)
         raw = positive_probability(base.transform(held), "_raw").select("_raw", LABEL)
         iso = IsotonicRegression(featuresCol="_raw", labelCol=LABEL, predictionCol="_cal", isotonic=True).fit(raw)
-        members.append((base, iso))
+        return base, iso
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, folds))) as pool:
+        members = list(pool.map(inheritable_thread_target(train.sparkSession)(fit_fold), range(folds)))
     return CalibratedEnsemble(members)
