@@ -169,8 +169,8 @@ def grouped_percentiles(long_df: DataFrame, by: list[str], value: str, probs: li
 def exact_percentiles(df: DataFrame, col: str, probs: list[float], buckets: int = 4096,
                       value_range: tuple[float, float] | None = None) -> DataFrame:
     """Exact percentiles of one column (one row, columns q_<100q>)."""
-    keyed = df.select(F.lit(0).alias("_g"), F.col(col).alias("_v"))
-    return grouped_percentiles(keyed, ["_g"], "_v", probs, buckets, value_range).drop("_g")
+    # no grouping key: the value range comes from scalar subqueries, not a join
+    return grouped_percentiles(df.select(F.col(col).alias("_v")), [], "_v", probs, buckets, value_range)
 
 
 def tier_thresholds(df: DataFrame, score: str = "churn_probability", high_q: float = 0.95,
