@@ -140,3 +140,36 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[borders - 1] |= inside[borders - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def sequence_hash(items: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ``items[start:end]`` (uint64 hashes), equal for equal sequences."""
+    prefix = np.zeros(len(items) + 1, np.uint64)
+    np.cumsum(items * powers(len(items) + 1)[0][:len(items)], out=prefix[1:])
+    return span_hash(prefix, start, end)
+
+
+def per_row(row: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Counts (or exact sums of small integers) per row."""
+    if weights is None:
+        return np.bincount(row, minlength=n)
+    return np.bincount(row, weights=weights, minlength=n).astype(np.int64)
+
+
+def lines_of_words(offsets: np.ndarray, data: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each word the running number of its line; a line ends at ``\\n`` or at its text's end."""
+    breaks = np.flatnonzero(data == 10)
+    number = np.searchsorted(breaks, start)
+    return number + row                    # a text's end also starts a new line
+
+
+def repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(in a group of two or more, not the first of its group) for each key."""
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = ranked[1:] == ranked[:-1]
+    many, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    many[order] = same[:-1] | same[1:]
+    later[order] = same[:-1]
+    return many, later
