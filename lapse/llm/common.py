@@ -58,6 +58,29 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``verdict`` (doc_id, text_hash, kept) keeps, with all columns.
+
+    The verdict's exceptions are written first, so that Spark knows their size when it plans
+    the join and moves the texts only where they are many.  Rows equal in id and text stay once."""
+    folder = work_dir(docs.sparkSession, "keep-rows")
+    pairs = verdict.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    pairs = written(pairs.where("not kept or n > 1"), f"{folder}/pairs")
+    gone, twice = (written(pairs.where(c).select("doc_id", "text_hash"), f"{folder}/{n}")
+                   for c, n in (("not kept", "gone"), ("kept", "twice")))
+    marked = docs.withColumns({"__id": F.col(id_col).cast("long"),
+                               "__hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+
+    def match(other: DataFrame) -> Column:
+        return marked["__id"].eqNullSafe(other["doc_id"]) & (marked["__hash"] == other["text_hash"])
+
+    kept = marked.join(gone, match(gone), "left_anti")
+    if not twice.isEmpty():
+        rest = kept.join(twice, match(twice), "left_anti")
+        kept = rest.unionByName(kept.join(twice, match(twice), "left_semi").dropDuplicates(["__id", "__hash"]))
+    return kept.drop("__id", "__hash")
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column without nulls; no copy for a plain array."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column

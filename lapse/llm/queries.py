@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lapse.llm import bpe_stream, line_rules, packing, pu_quality, secret_scan, token_counts
+from lapse.llm import bpe_stream, exact_dedup, line_rules, near_dedup, packing, pu_quality, secret_scan, token_counts
 from lapse.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -37,13 +41,19 @@ def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_line_rules": op6_line_rules,
     "op7_packing": op7_packing,
     "op9_pu_quality": op9_pu_quality,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
