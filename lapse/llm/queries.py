@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lapse.llm import bpe_stream, exact_dedup, line_rules, near_dedup, packing, pu_quality, secret_scan, token_counts
+from lapse.llm import bpe_stream, exact_dedup, line_rules, near_dedup, packing, prefix_free, pu_quality, secret_scan, token_counts
 from lapse.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_line_rules": op6_line_rules,
     "op7_packing": op7_packing,
+    "op8_prefix_free": op8_prefix_free,
     "op9_pu_quality": op9_pu_quality,
     "op10_near_dedup": op10_near_dedup,
 }
