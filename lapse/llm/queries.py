@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lapse.llm import bpe_stream, exact_dedup, line_rules, near_dedup, packing, prefix_free, pu_quality, secret_scan, token_counts
+from lapse.llm import bpe_stream, exact_dedup, line_rules, near_dedup, packing, prefix_free, pu_quality, reply_trees, secret_scan, token_counts
 from lapse.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +26,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+# Fixed value: the text of the two rows that the contract adds as conversation -7.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(PROBE).alias("text"))
+    return reply_trees.conversation_digests(table.unionByName(probe))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.round_trip(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -53,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_reply_trees": op4_reply_trees,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_line_rules": op6_line_rules,
     "op7_packing": op7_packing,
