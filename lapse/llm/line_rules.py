@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import (ASCII_LOWER, column_bytes, drop_dir, lines_of_words, map_batches, mix64, per_row,
-                              prefix_hash, repeated, sequence_hash, slices, span_hash, texts, words, work_dir, written)
+from lapse.llm.common import (ASCII_LOWER, column_bytes, lines_of_words, map_batches, mix64, per_row, prefix_hash,
+                              repeated, sequence_hash, slices, span_hash, texts, words, work_dir, written)
 
 MIN_DOCUMENTS, SHARE, MIN_LEFT, MIN_LEFT_WORDS = 20, 0.05, 0.3, 50
 _SYMBOL = np.zeros(256, bool)

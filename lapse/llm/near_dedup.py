@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import (ASCII_LOWER, column_bytes, keep_rows, map_batches, mix64, prefix_hash, slices, span_hash,
+from lapse.llm.common import (ASCII_LOWER, column_bytes, drop_dir, keep_rows, map_batches, mix64, prefix_hash, slices, span_hash,
                               texts, words, work_dir, written)
 from lapse.llm.components import components
 
@@ -238,7 +238,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, threshold: tuple[int, int]
         node_texts = written(found.join(wanted, found["doc_id"].eqNullSafe(wanted["doc_id"])
                                         & (found["text_hash"] == wanted["text_hash"])).select("node", "text")
                              .dropDuplicates(["node"]), f"{folder}/texts{step}")
-        return written(confirmed(pairs, node_texts, threshold, width), f"{folder}/links{step}")
+        links = written(confirmed(pairs, node_texts, threshold, width), f"{folder}/links{step}")
+        drop_dir(spark, f"{folder}/texts{step}")
+        return links
 
     stars = members.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
     links = confirm(written(close(stars), f"{folder}/pairs1"), "1")
@@ -257,6 +259,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, threshold: tuple[int, int]
     rooted = nodes.select("set_hash", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_set = written(rooted.join(least, "root").select("set_hash", "component_id"), f"{folder}/components")
+    for done in ("nodes", "members", "pairs1", "links1", "roots1", "pairs2", "links2", "roots2"):
+        drop_dir(spark, f"{folder}/{done}")
     out = sketched.select("doc_id", "text_hash", "n_shingles", "set_hash").join(of_set, "set_hash", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import column_bytes, map_batches, mix64, prefix_hash, slices, span_hash, texts, work_dir, written
+from lapse.llm.common import column_bytes, drop_dir, map_batches, mix64, prefix_hash, slices, span_hash, texts, work_dir, written
 
 WINDOW, GRAM, BLOCK, SLICE = 200, 32, 4096, 2 << 20
 _PLACE = np.uint64((1 << 28) - 1)
@@ -226,7 +226,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
                    text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null where
     nothing was removed), one row per input row."""
-    folder = work_dir(docs.sparkSession, "prefix-free")
+    spark = docs.sparkSession
+    folder = work_dir(spark, "prefix-free")
     base = texts(docs, id_col, text_col).withColumn("doc", F.xxhash64("doc_id", "text"))
     keyed = base.select("doc", "text").where(F.octet_length("text") >= window)
 
@@ -243,6 +244,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     marks = (whole.select("doc", "key", "phrase", F.lit(None).cast("array<int>").alias("spans")).unionByName(partly)
              .groupBy("doc").agg(F.collect_list(F.struct("key", "phrase", "spans")).alias("marks")))
     marks = written(marks, f"{folder}/marks")
+    for done in ("parse", "dictionary", "representatives"):
+        drop_dir(spark, f"{folder}/{done}")
 
     rows = base.join(marks, "doc", "left").select("doc_id", "text", "marks")
 

@@ -215,6 +215,19 @@ def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD,
                        "doc_id long, held_out boolean, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all columns."""
+    at, schema = docs.columns.index(text_col), docs.schema
+    model = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch):
+        if model.value is None:
+            return batch
+        return batch.filter(pa.array(model.value.score(measure_batch(batch.column(at).fill_null(""))) >= threshold))
+
+    return map_batches(docs, run, schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds: int) -> DataFrame:
     fitted = train(docs, labels, **bounds)
     return classify(docs, fitted and fitted[0], threshold)
