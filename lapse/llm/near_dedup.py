@@ -10,10 +10,13 @@
    Jaccard similarity closely where it is high; candidates that it puts below the
    threshold by ``sigmas`` standard errors are dropped, the rest are confirmed exactly
    on the full shingle sets.
-3. Buckets whose nodes still lie in several components are compared across those
-   components by sketch in bounded blocks, survivors are confirmed in the same way, and
-   components are formed again.  No pair of a bucket goes unexamined unless its two
-   nodes are connected already, and no bucket is expanded into pairs.
+3. Buckets whose nodes still lie in several components are searched by sketch, breadth
+   first: a node that is reached is not compared again, and at most one edge per node is
+   given out.  The components of these edges are families, which hold every candidate
+   pair that is left.  Within a family links are confirmed in the same way on bitmaps of
+   the full sets, and only links that join components are given out.
+   No bucket or family is expanded into pairs; those of over ``block`` nodes are cut into
+   blocks, and every two blocks meet in a group of their own.
 
 With 32 bands of 4 rows a pair at the threshold 0.8 shares no band with probability
 5e-8.  Documents with fewer words than a shingle take their whole word sequence as one;
@@ -33,7 +36,7 @@ from lapse.llm.common import (ASCII_LOWER, column_bytes, drop_dir, keep_rows, ma
                               texts, words, work_dir, written)
 from lapse.llm.components import components
 
-BANDS, ROWS, SKETCH_BITS, SIGMAS, BLOCK = 32, 4, 1024, 5.0, 2048
+BANDS, ROWS, SKETCH_BITS, SIGMAS, BLOCK, TEXT_BLOCK = 32, 4, 1024, 6.0, 16_384, 4096
 SCHEMA = ("row_id long, doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>, "
           "sketch array<long>")
 
@@ -113,11 +116,13 @@ def sketches(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int = RO
 def largest_distance(threshold: float, values: int, bits: int, sigmas: float) -> int:
     """The most differing sketch bits that ``sigmas`` standard errors below the threshold allow.
 
-    Of ``values`` MinHash pairs a share of 1 - J differs and flips two bits each."""
-    differ = (1 - threshold) * values
-    differ = min(differ + sigmas * np.sqrt(values * threshold * (1 - threshold)), values)
-    mean = bits / 2 * (1 - (1 - 2 / bits) ** (2 * differ))
-    return int(np.ceil(mean + sigmas * np.sqrt(mean)))
+    Of ``values`` MinHash pairs a binomial share of 1 - J differs and flips two bits each;
+    flips that meet cancel, which lowers the mean and adds a little variance."""
+    flips = 2 * (1 - threshold) * values
+    kept = (1 - 2 / bits) ** flips
+    mean = bits / 2 * (1 - kept)
+    variance = (2 * kept) ** 2 * values * threshold * (1 - threshold) + 2 * flips ** 2 / bits
+    return int(np.ceil(mean + sigmas * np.sqrt(variance)))
 
 
 def _distance(a: str, b: str):
@@ -161,57 +166,125 @@ def confirmed(pairs: DataFrame, node_texts: DataFrame, threshold: tuple[int, int
     return rows.mapInArrow(run, "u long, v long")
 
 
-def across(members: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
-    """Pairs of one bucket in different components whose sketches differ in at most ``most`` bits.
-
-    members: (band, node, root, sketch, n) with n the bucket's size.  A bucket of over ``block``
-    nodes is cut into blocks, and every two blocks meet in a group of their own."""
-    cut = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.select("band", "node", "root", "sketch", "own",
-                     F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = cut.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch")
-    rows = keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-
-    def pairs(nodes, roots, own, sketch):
-        first, second = (own == own.min()), (own == own.max())
-        a, b = np.flatnonzero(first), np.flatnonzero(second)
-        same = own.min() == own.max()
-        for k, x in enumerate(a):
-            rest = b[k + 1:] if same else b
-            rest = rest[roots[rest] != roots[x]]
-            if len(rest):
-                near = rest[np.bitwise_count(sketch[rest] ^ sketch[x]).sum(1) <= most]
-                for y in near:
-                    yield min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
+def blocked(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
+    """Rows dealt to bounded groups (key, i, j) in which any two rows of a key meet.
+
+    A key of at most ``block`` rows is one group; a larger one is cut into blocks by the
+    node's hash, and every two blocks are a group."""
+    cut = rows.withColumn("__n", F.ceil(F.col(size) / block).cast("int")).drop(size)
+    cut = cut.withColumn("__own", F.pmod(F.xxhash64("node"), F.col("__n")).cast("int"))
+    other = F.explode(F.when(F.col("__n") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("__n") - 1), lambda x: x != F.col("__own"))))
+    cut = cut.withColumn("__other", other)
+    cut = cut.withColumns({"i": F.least("__own", "__other"), "j": F.greatest("__own", "__other")}).drop("__n", "__own", "__other")
+    return (cut.select(key, "i", "j", *(c for c in cut.columns if c not in (key, "i", "j")))
+            .repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node"))
+
+
+def groups(batches, n_keys: int = 3):
+    """The tables of a stream that is sorted by its first ``n_keys`` integer columns."""
+    held, last = [], None
+    for batch in batches:
+        keys = np.column_stack([batch.column(k).to_numpy() for k in range(n_keys)])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            key = tuple(keys[a])
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def forest(near, roots: np.ndarray) -> list[tuple[int, int, bool]]:
+    """Edges (x, y, new) of a spanning forest, breadth first.  ``near(x, others)`` gives the
+    others that x reaches; nodes of one root are reached as well, with ``new`` false."""
+    left, out = np.arange(len(roots)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            same = roots[left] == roots[x]
+            hit = same.copy()
+            hit[~same] = near(x, left[~same])
+            for y, old in zip(left[hit], same[hit]):
+                out.append((x, y, not old))
+            queue += left[hit].tolist()
+            left = left[~hit]
+    return out
+
+
+def sketch_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks()
+    return values.flatten().to_numpy().view(np.uint64).reshape(len(values), -1)
+
+
+_EDGES = "u long, v long"
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def alike(members: DataFrame, most: int, block: int) -> DataFrame:
+    """Edges that join all nodes of a bucket whose sketches differ in at most ``most`` bits
+    though they lie in different components; at most one edge per node and group.
+
+    members: (band, n, node, root, sketch) with n the bucket's size."""
+    def run(batches):
+        for t in groups(batches):
+            node, root, sketch = t["node"].to_numpy(), t["root"].to_numpy(), sketch_matrix(t["sketch"])
+            found = forest(lambda x, rest: np.bitwise_count(sketch[rest] ^ sketch[x]).sum(1) <= most, root)
+            if any(new for _, _, new in found):
+                yield _edges([(node[x], node[y]) for x, y, _ in found])
+
+    return blocked(members, "band", "n", block).mapInArrow(run, _EDGES).distinct()
+
+
+def linked(families: DataFrame, most: int, threshold: tuple[int, int], width: int, block: int) -> DataFrame:
+    """Links that join the components of a family, confirmed on the full sets.
+
+    families: (family, size, node, root, sketch, text).  The sets of a group are bitmaps over
+    the shingles that two of its texts share, so an intersection is a population count."""
+    num, den = threshold
 
     def run(batches):
-        held, key = [], None
+        for t in groups(batches):
+            root, sketch = t["root"].to_numpy(), sketch_matrix(t["sketch"])
+            node = t["node"].to_numpy()
+            offsets, data = column_bytes(t["text"].combine_chunks())
+            sets = []
+            for a, b in slices(offsets, 2 << 20):
+                hashes, begin = shingles(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]], width)
+                sets += [np.unique(hashes[begin[k]:begin[k + 1]]) for k in range(b - a)]
+            size = np.array([len(x) for x in sets])
+            _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            place = np.cumsum(count > 1) - 1
+            shared = (count > 1)[number]
+            row, bit = np.repeat(np.arange(len(sets)), size)[shared], place[number[shared]]
+            bits = np.zeros((len(sets), (int((count > 1).sum()) + 63) // 64), np.uint64)
+            np.bitwise_or.at(bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
 
-        def flush():
-            own = np.array([h[0] for h in held])
-            return list(pairs(np.array([h[1] for h in held]), np.array([h[2] for h in held]), own,
-                              np.array([h[3] for h in held], np.int64).view(np.uint64)))
+            def near(x, rest):
+                hit = np.bitwise_count(sketch[rest] ^ sketch[x]).sum(1) <= most
+                some = rest[hit]
+                both = np.bitwise_count(bits[some] & bits[x]).sum(1, dtype=np.int64)
+                hit[hit] = den * both >= num * (size[some] + size[x] - both)
+                return hit
 
-        for batch in batches:
-            out = []
-            for band, i, j, own, node, root, sketch in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (band, i, j):
-                    if len(held) > 1:
-                        out += flush()
-                    held, key = [], (band, i, j)
-                held.append((own, node, root, sketch))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
-        if len(held) > 1 and (out := flush()):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
+            if found := [(node[x], node[y]) for x, y, new in forest(near, root) if new]:
+                yield _edges(found)
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return blocked(families, "family", "size", block).mapInArrow(run, _EDGES).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, threshold: tuple[int, int] = (80, 100), bands: int = BANDS,
                     rows: int = ROWS, bits: int = SKETCH_BITS, sigmas: float = SIGMAS, block: int = BLOCK,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    text_block: int = TEXT_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash; one row per input row."""
     spark = docs.sparkSession
     folder = work_dir(spark, "near-dedup")
@@ -231,35 +304,38 @@ def near_duplicates(docs: DataFrame, width: int = 2, threshold: tuple[int, int]
         return (pairs.join(sketch_of, pairs["v"] == sketch_of["node"]).select("u", "v", F.col("sketch").alias("b"))
                 .join(sketch_of, F.col("u") == sketch_of["node"]).where(_distance("sketch", "b") <= most).select("u", "v"))
 
-    def confirm(pairs: DataFrame, step: str) -> DataFrame:
-        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    def fetch(wanted: DataFrame, step: str) -> DataFrame:
         wanted = written(nodes.join(wanted, "node").select("node", "at.doc_id", "at.text_hash"), f"{folder}/wanted{step}")
         found = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-        node_texts = written(found.join(wanted, found["doc_id"].eqNullSafe(wanted["doc_id"])
-                                        & (found["text_hash"] == wanted["text_hash"])).select("node", "text")
-                             .dropDuplicates(["node"]), f"{folder}/texts{step}")
-        links = written(confirmed(pairs, node_texts, threshold, width), f"{folder}/links{step}")
-        drop_dir(spark, f"{folder}/texts{step}")
-        return links
+        return written(found.join(wanted, found["doc_id"].eqNullSafe(wanted["doc_id"])
+                                  & (found["text_hash"] == wanted["text_hash"])).select("node", "text")
+                       .dropDuplicates(["node"]), f"{folder}/texts{step}")
 
     stars = members.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    links = confirm(written(close(stars), f"{folder}/pairs1"), "1")
+    pairs = written(close(stars), f"{folder}/pairs1")
+    node_texts = fetch(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "1")
+    links = written(confirmed(pairs, node_texts, threshold, width), f"{folder}/links1")
+    drop_dir(spark, f"{folder}/texts1")
     roots = written(components(links), f"{folder}/roots1")
 
-    # Buckets that still hold several components.
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = (placed.where("n > 2").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("low != high").select("band"))
-    rest = placed.join(mixed, "band", "left_semi").join(sketch_of, "node")
-    more = written(across(rest, most, block).join(stars, ["u", "v"], "left_anti"), f"{folder}/pairs2")
-    if not more.isEmpty():
-        links = links.unionByName(confirm(more, "2"))
-        roots = written(components(links), f"{folder}/roots2")
+    # Buckets that still hold several components: join what looks alike into families.
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).where("n > 2")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    rest = placed.join(mixed, "band", "left_semi").join(sketch_of, "node").select("band", "n", "node", "root", "sketch")
+    edges = written(alike(rest, most, block), f"{folder}/alike")
+    families = written(components(edges), f"{folder}/families").withColumnRenamed("root", "family")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    node_texts = fetch(families.select("node"), "2")
+    rows = (families.join(sizes, "family").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            .join(sketch_of, "node").join(node_texts, "node").select("family", "size", "node", "root", "sketch", "text"))
+    more = written(linked(rows, most, threshold, width, text_block), f"{folder}/links2")
+    drop_dir(spark, f"{folder}/texts2")
+    roots = written(components(links.unionByName(more)), f"{folder}/roots2")
 
     rooted = nodes.select("set_hash", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_set = written(rooted.join(least, "root").select("set_hash", "component_id"), f"{folder}/components")
-    for done in ("nodes", "members", "pairs1", "links1", "roots1", "pairs2", "links2", "roots2"):
+    for done in ("nodes", "members", "pairs1", "links1", "roots1", "alike", "families", "links2", "roots2"):
         drop_dir(spark, f"{folder}/{done}")
     out = sketched.select("doc_id", "text_hash", "n_shingles", "set_hash").join(of_set, "set_hash", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
