@@ -68,7 +68,7 @@ def test_near_chains_blocks_and_repeats(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     want = near_groups(list(enumerate(texts)), 2)
     for block in (2048, 3):               # blocks of three nodes: every bucket is cut up
-        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, block=block).collect()}
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, block=block, text_block=block).collect()}
         assert got == want
 
 
@@ -83,7 +83,7 @@ def test_near_edges(spark):
 
 def test_odd_sketch_bound_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(4)
-    most, far = near_dedup.largest_distance(0.8, 128, 1024, 5.0), 0
+    most, far = near_dedup.largest_distance(0.8, 128, 1024, 6.0), 0
     for _ in range(200):
         common, own = rng.integers(0, 1 << 60, 800), rng.integers(0, 1 << 60, (2, 100))
         sets = [" ".join(map(str, np.concatenate([common, x]))) for x in own]       # similarity 0.8
