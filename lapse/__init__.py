@@ -7,5 +7,5 @@ Layout
 ``operators``  features, labels, value, ranking, cohorts, serving, profiles,
                evaluation, running totals, ML, attribution
 ``plans``      registered queries and their DuckDB oracles
-``streaming``  none (the source system is batch-only)
+``llm``        text operators of a training-data pipeline (optional)
 """

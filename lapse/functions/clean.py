@@ -49,15 +49,6 @@ def driver_text(feature, contribution) -> Column:
     return F.format_string("%s (%s)", as_col(feature), direction(contribution))
 
 
-def parse_driver(c) -> Column:
-    """'name (High|Low)' -> struct(feature, direction)."""
-    col = as_col(c)
-    return F.struct(
-        F.regexp_extract(col, r"^(.*) \((High|Low)\)$", 1).alias("feature"),
-        F.regexp_extract(col, r"^(.*) \((High|Low)\)$", 2).alias("direction"),
-    )
-
-
 def feature_label(c) -> Column:
     """F8: feature name -> display label, falling back to the name itself."""
     mapping = F.create_map(*[F.lit(x) for x in chain.from_iterable(FEATURE_LABELS.items())])
@@ -68,8 +59,3 @@ def feature_label(c) -> Column:
 def retention_score(p) -> Column:
     """(1 - p) * 100."""
     return (F.lit(1.0) - as_col(p)) * F.lit(100.0)
-
-
-def at_threshold(p, threshold: float) -> Column:
-    """p >= t as 0/1."""
-    return (as_col(p) >= F.lit(float(threshold))).cast("int")

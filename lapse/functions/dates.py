@@ -27,11 +27,6 @@ def parse_yyyymmdd(c) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")
 
 
-def days_between(later, earlier) -> Column:
-    """whole days ``later - earlier`` (NULL if either side is NULL)."""
-    return F.datediff(as_col(later), as_col(earlier))
-
-
 def iso_date_text(c) -> Column:
     """a date, or yyyyMMdd text of length 8, as ``yyyy-MM-dd`` text."""
     col = as_col(c)

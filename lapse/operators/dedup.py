@@ -1,4 +1,4 @@
-"""Same-day dedup (D1) and latest-row selection.
+"""Same-day dedup.
 
 D1 partitions by (customer, day), not by customer: a customer holding a third
 of all rows is spread over its days, and Spark plans a partial
@@ -37,17 +37,3 @@ def dedup_same_day(df: DataFrame, key: str = "msno", day: str = "transaction_dat
         order += [F.col(c).desc_nulls_first() for c in rest]
     w = Window.partitionBy(key, day).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-
-
-def latest_per_key(df: DataFrame, key: str = "msno", order_col: str = "transaction_date",
-                   columns: list[str] | None = None) -> DataFrame:
-    """The latest row per key (a NULL date counts as latest, as a
-    NULL-last ascending sort would give).  Expects D1 output, so the order
-    column is unique within a key.  An aggregate, so it combines map-side.
-    """
-    cols = columns or [c for c in df.columns if c != key]
-    payload = F.struct(*[F.col(c) for c in cols])
-    rank = F.struct(F.col(order_col).isNull(), F.col(order_col))
-    return (df.groupBy(key)
-              .agg(F.max_by(payload, rank).alias("_last"))
-              .select(key, *[F.col("_last")[c].alias(c) for c in cols]))

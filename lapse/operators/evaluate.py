@@ -47,7 +47,7 @@ def roc_auc(df: DataFrame, score: str = "churn_probability", label: str = "is_ch
     t = threshold_table(df, score, label)
     above = F.col("tp") - F.col("pos")
     area = F.sum(F.col("neg") * (above + F.col("pos") / F.lit(2.0)))
-    return t.agg(F.try_divide(area, (F.max("P") * F.max("N")).cast("double")).alias("roc_auc"))
+    return t.agg(F.try_divide(area, F.max("P").cast("double") * F.max("N").cast("double")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str = "churn_probability", label: str = "is_churn") -> DataFrame:

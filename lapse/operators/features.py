@@ -153,32 +153,17 @@ def feature_columns(cfg: FeatureConfig = FeatureConfig()) -> list[str]:
 
 def build_customer_feature_table(members: DataFrame, tx: DataFrame, logs: DataFrame, base: DataFrame,
                                  reference_date, cfg: FeatureConfig = FeatureConfig(),
-                                 labels: DataFrame | None = None, logs_aggregated: bool = False,
-                                 small_base: int | None = None) -> DataFrame:
+                                 labels: DataFrame | None = None) -> DataFrame:
     """FB5 (J5 + J6): one row per base row, 31 features, plus ``is_churn`` if labels given.
 
-    ``tx`` must be cutoff-filtered D1 output; ``logs`` are daily rows (or the
-    A6 aggregate when ``logs_aggregated``).  Each fact is aggregated once:
+    ``tx`` must be cutoff-filtered D1 output; ``logs`` are daily rows.  Each fact is aggregated once:
     transactions feed both the transaction and tenure families.  When the
     cohort is the label table itself (unique ids carrying ``is_churn``), pass
-    it as ``base`` and the label join (J6) costs nothing extra.  With
-    ``small_base = k`` a cohort of at most k ids (verified) is broadcast and
-    every fact is filtered to it before aggregation.
+    it as ``base`` and the label join (J6) costs nothing extra.
     """
-    if small_base is not None and base.select("msno").limit(small_base + 1).count() <= small_base:
-        # Cohort first, for a cohort of proven small size (checked above with a
-        # bounded count; e.g. a validated request): facts are filtered map-side
-        # against the broadcast id list before any shuffle.  Category
-        # frequencies still use all members (A11).  A larger cohort takes the
-        # shuffle path below.
-        ids = F.broadcast(base.select("msno").distinct())
-        tx = tx.join(ids, "msno", "left_semi")
-        logs = logs.join(ids, "msno", "left_semi")
-        m = member_attributes(members, cfg, reference_date).join(ids, "msno", "left_semi")
-    else:
-        m = member_attributes(members, cfg, reference_date)
+    m = member_attributes(members, cfg, reference_date)
     hist = transaction_history(tx)
-    agg = logs if logs_aggregated else aggregate_logs(logs, reference_date, cfg)
+    agg = aggregate_logs(logs, reference_date, cfg)
     labelled = labels is not None or "is_churn" in base.columns
     start = base.select("msno", "is_churn") if "is_churn" in base.columns else base.select("msno")
     parts = [m, hist, agg] + ([labels.select("msno", "is_churn")] if labels is not None else [])

@@ -7,28 +7,35 @@ from pyspark.sql import functions as F
 
 from lapse.functions.dates import date_lit
 
+PRIORITY = ("is_cancel", "plan_list_price")      # D1's order within a day
 
-def label_churn(tx: DataFrame, cutoff, gap_days: int = 30, key: str = "msno") -> DataFrame:
-    """L1: churn label at a cutoff from D1-deduplicated transactions.
 
-    * last expiry = expiry of the latest transaction on or before the cutoff
-      (a cancellation row carries its own, earlier, expiry);
-    * next renewal = earliest non-cancel transaction after the cutoff;
+def label_churn(tx: DataFrame, cutoff, gap_days: int = 30, key: str = "msno", seq_col: str | None = None) -> DataFrame:
+    """L1: churn label at a cutoff from raw transactions (several a day are fine).
+
+    * last expiry = expiry of the row that same-day dedup (D1) keeps of the
+      latest day on or before the cutoff (a cancellation carries its own, earlier,
+      expiry);
+    * next renewal = earliest non-cancel transaction after the cutoff, taken over
+      all rows: a cancel followed by a renewal on one day is a renewal, though D1
+      would keep the cancel;
     * churn = 1 when there is no renewal or ``renewal - expiry >= gap_days``;
       an early renewal (negative gap) is retained.
 
-    One ``groupBy`` over one scan (a next-event / as-of join expressed as
-    conditional aggregates): it combines map-side, so a hot customer costs
-    one row per map task in the shuffle.  Customers with no transaction on or
-    before the cutoff get no label.
+    One ``groupBy`` over one scan: it combines map-side, so a hot customer costs
+    one row per map task in the shuffle.  D1's choice is the greatest struct of day
+    and D1's order.  Customers with no transaction on or before the cutoff get no label.
     """
     c = date_lit(cutoff)
     d = F.col("transaction_date")
     before = d <= c
+    ties = [seq_col] if seq_col else [x for x in tx.columns if x not in (key, "transaction_date", *PRIORITY)]
+    rank = F.struct(d.alias("_d"), *(part for i, x in enumerate((*PRIORITY, *ties))
+                                     for part in (F.col(x).isNull().alias(f"_n{i}"), F.col(x).alias(f"_v{i}"))))
     per = (tx.filter(d.isNotNull())
              .groupBy(key)
              .agg(F.max(F.when(before, d)).alias("_last_date"),
-                  F.max_by(F.col("membership_expire_date"), F.when(before, d)).alias("last_expire_date"),
+                  F.max_by(F.col("membership_expire_date"), F.when(before, rank)).alias("last_expire_date"),
                   F.min(F.when((d > c) & (F.col("is_cancel") == 0), d)).alias("next_renewal_date"))
              .filter(F.col("_last_date").isNotNull()))
     last_expire = F.col("last_expire_date")
@@ -38,6 +45,15 @@ def label_churn(tx: DataFrame, cutoff, gap_days: int = 30, key: str = "msno") ->
                       gap.alias("renewal_gap_days"), churn.cast("int").alias("is_churn"))
 
 
+def agreed_labels(labels: DataFrame, key: str = "msno", label: str = "is_churn") -> DataFrame:
+    """One label per customer; rows that contradict each other stop the job."""
+    per = labels.groupBy(key).agg(F.min(label).alias("_low"), F.max(label).alias("_high"),
+                                  (F.count(F.lit(1)) - F.count(label)).alias("_unknown"))
+    clash = (F.col("_low") != F.col("_high")) | ((F.col("_unknown") > 0) & F.col("_low").isNotNull())
+    text = F.concat(F.lit(f"conflicting {label} for {key} "), F.col(key).cast("string"))
+    return per.select(key, F.when(clash, F.raise_error(text).cast("int")).otherwise(F.col("_low")).alias(label))
+
+
 def class_balance(labels: DataFrame, label: str = "is_churn") -> DataFrame:
     """Counts, positive share, neg/pos ratio (1.0 when no positives)."""
     pos = F.sum(F.col(label)).cast("long")

@@ -21,7 +21,7 @@ names one (see :func:`lapse.session.ensure_checkpoint_dir`).
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -54,7 +54,10 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, folds: int = 3,
     Per label, rows are ranked in seeded hash order; the first
     ``ceil(test_fraction * n_label)`` are test, so the split is exact and
     stratified.  Training rows get folds round-robin on their rank among
-    training rows, so folds are stratified and sizes differ by at most one."""
+    training rows, so folds are stratified and sizes differ by at most one.
+    A row without a label stops the job: it can be neither stratified nor learnt from."""
+    unknown = F.raise_error(F.concat(F.lit(f"no {label} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    df = df.withColumn(label, F.when(F.col(label).isNull(), unknown.cast(df.schema[label].dataType)).otherwise(F.col(label)))
     keyed = df.withColumns({"_h": hash_rank_value(seed, key), "_one": F.lit(1)})
     ranked = running_totals(keyed, ["_h", key], ["_one"], by=[label], lo=0.0, hi=HASH_SPAN)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_label"))   # one row per class
@@ -148,7 +151,8 @@ class TreeParams:
 def tree_pipeline(p: TreeParams = TreeParams(), features: tuple[str, ...] = MODEL_FEATURES,
                   checkpoint_interval: int = 10) -> Pipeline:
     """M6: boosted trees; categoricals enter as indices with nominal metadata,
-    so the trees split them natively (``maxBins`` covers the widest one)."""
+    so the trees split them natively (:func:`with_bins` widens ``maxBins`` to the
+    widest one)."""
     cats = [c for c in features if c in CATEGORICAL_FEATURES]
     stages = _indexers(cats)
     stages.append(VectorAssembler(inputCols=[*numeric_features(features), *[f"{c}__idx" for c in cats]],
@@ -160,6 +164,13 @@ def tree_pipeline(p: TreeParams = TreeParams(), features: tuple[str, ...] = MODE
     return Pipeline(stages=stages)
 
 
+def with_bins(p: TreeParams, train: DataFrame, features: tuple[str, ...] = MODEL_FEATURES) -> TreeParams:
+    """``max_bins`` raised to the widest categorical of ``train`` and one bin for unseen values."""
+    cats = [c for c in features if c in CATEGORICAL_FEATURES]
+    widths = train.agg(*(F.size(F.collect_set(c)).alias(c) for c in cats)).first()
+    return replace(p, max_bins=max(p.max_bins, max(widths, default=0) + 1))
+
+
 def positive_probability(df: DataFrame, out: str = "churn_probability", prob_col: str = "probability") -> DataFrame:
     """M9 helper: P(class 1) out of the probability vector."""
     return df.withColumn(out, vector_to_array(F.col(prob_col))[1])
@@ -193,7 +204,7 @@ def search_tree_params(train: DataFrame, trials: int = 5, folds: int = 3, base:
                        parallelism: int = 2, seed: int = 42):
     """M7: seeded random search maximising mean fold area under PR, folds from
     the ``fold`` column (M2).  Returns the fitted ``CrossValidatorModel``."""
-    pipe = tree_pipeline(base)
+    pipe = tree_pipeline(with_bins(base, train))
     gbt = pipe.getStages()[-1]
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=random_search_grid(gbt, trials, seed),
                         evaluator=BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderPR",

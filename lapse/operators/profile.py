@@ -94,6 +94,21 @@ def churn_rate_by(labels: DataFrame, members: DataFrame, col: str = "city", key:
                   .groupBy(col).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("is_churn").cast("double")).alias("churn_rate")))
 
 
+def column_types(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, position, type, n_null) of several tables; one aggregate each."""
+    parts = []
+    for name, df in tables.items():
+        counts = df.agg(*(F.sum(F.col(c).isNull().cast("long")).alias(f"__{i}") for i, c in enumerate(df.columns)))
+        rows = [F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(i).alias("position"),
+                         F.lit(kind).alias("type"), F.coalesce(F.col(f"__{i}"), F.lit(0)).alias("n_null"))
+                for i, (c, kind) in enumerate(df.dtypes)]
+        parts.append(counts.select(F.inline(F.array(*rows))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def table_profile(df: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count / mean / std / min / quartiles / max of every numeric column
     as long rows (column, stat, value), plus the row count.  One aggregate for

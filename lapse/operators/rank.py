@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.config import BusinessConfig, DiversifyQuotas, RiskThresholds
+from lapse.operators.cumulative import running_totals
 from lapse.operators.value import estimated_clv, expected_value
 
 EV = "expected_value"
@@ -37,6 +38,14 @@ def prioritized_action_list(df: DataFrame, cfg: BusinessConfig = BusinessConfig(
     return with_value(df, cfg).orderBy(*_ev_order())
 
 
+def ranked(df: DataFrame) -> DataFrame:
+    """``rank`` (1 = highest expected value, ties by ``msno``) without a one-partition
+    window: exact running totals over the value order.  A NULL value ranks last."""
+    floor = df.agg(F.min(EV).alias("low")).select(F.coalesce("low", F.lit(0.0)) - 1.0).scalar()
+    keyed = df.withColumns({"_down": -F.coalesce(F.col(EV), floor), "_one": F.lit(1)})
+    return running_totals(keyed, ["_down", "msno"], ["_one"]).withColumnRenamed("cum__one", "rank").drop("_down", "_one")
+
+
 def reprice(df: DataFrame, base: BusinessConfig = BusinessConfig(), discount_cost=None,
             retention_rate=None) -> DataFrame:
     """K4: EV recomputed under overridden cost / success rate (pure: ``base`` is unchanged)."""

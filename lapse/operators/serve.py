@@ -81,26 +81,29 @@ def batch_lookup(requests: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def usage_history(logs: DataFrame, msno: str | None = None) -> DataFrame:
-    """K5: daily usage rows, date ascending, ``yyyy-MM-dd`` text, secs double,
-    unq int.  With ``msno`` one customer; without, every customer as a long
-    table sorted by (msno, date) -- never collected into one row per customer."""
+    """K5: daily usage rows with ``day_no`` (1, 2, ... in date order per customer),
+    ``yyyy-MM-dd`` text, secs double, unq int.  With ``msno`` one customer; without, every
+    customer, hashed by customer and sorted within partitions by date -- no global sort,
+    and never collected into one row per customer."""
     if msno is not None:
         logs = logs.filter(F.col("msno") == F.lit(msno))
+    by_day = Window.partitionBy("msno").orderBy(F.col("log_date").asc_nulls_first(), "total_secs", "num_unq")
     return (logs.select("msno", "log_date", F.col("total_secs").cast("double").alias("total_secs"),
                         F.col("num_unq").cast("int").alias("num_unq"))
-                .orderBy("msno", "log_date")
-                .select("msno", F.date_format("log_date", "yyyy-MM-dd").alias("date"),
+                .withColumn("day_no", F.row_number().over(by_day))
+                .select("msno", "day_no", F.date_format("log_date", "yyyy-MM-dd").alias("date"),
                         "total_secs", "num_unq"))
 
 
 def usage_share_of_max(logs: DataFrame) -> DataFrame:
     """Each day's secs as a percent of the customer's maximum (max 0 -> 1).
-    Daily rows are at most one per customer and day, so the per-customer
-    window is bounded by the calendar."""
-    mx = F.max("total_secs").over(Window.partitionBy("msno"))
-    denom = F.when(mx > 0, mx).otherwise(F.lit(1.0))
-    return logs.select("msno", "log_date", "total_secs",
-                       (F.col("total_secs") / denom * F.lit(100.0)).alias("pct_of_max"))
+    The maxima are partial aggregates and joined back by customer, a join that Spark
+    can split where one customer holds a large share of the rows."""
+    top = logs.groupBy("msno").agg(F.max("total_secs").alias("_max"))
+    denom = F.when(F.col("_max") > 0, F.col("_max")).otherwise(F.lit(1.0))
+    return (logs.select("msno", "log_date", "total_secs").join(top, "msno", "left")
+                .select("msno", "log_date", "total_secs",
+                        (F.col("total_secs") / denom * F.lit(100.0)).alias("pct_of_max")))
 
 
 def simulate(scenarios: DataFrame, base: DataFrame, score: Callable[[DataFrame], DataFrame],

@@ -28,7 +28,6 @@ from lapse.operators import serve as sv
 from lapse.operators.value import estimated_clv_flat
 from lapse.operators import evaluate as ev
 from lapse.operators import profile as pf
-from lapse.sources.readers import sample_rows
 from lapse.operators import attribute as at
 from lapse.operators import ml
 from lapse.session import ensure_checkpoint_dir, materialize
@@ -144,8 +143,8 @@ def q_customer_feature_table(spark, sf_dir):
 
 @register("churn_labels")
 def q_churn_labels(spark, sf_dir):
-    tx = tv.transactions(spark, sf_dir, reference_date=None)
-    return for_oracle(lb.label_churn(tx, tv.LABEL_CUTOFF, tv.LABEL_GAP_DAYS))
+    tx = tv.raw_transactions(spark, sf_dir)
+    return for_oracle(lb.label_churn(tx, tv.LABEL_CUTOFF, tv.LABEL_GAP_DAYS, seq_col="seq"))
 
 
 @register("class_balance")
@@ -175,7 +174,7 @@ def q_clv_flat(spark, sf_dir):
 @register("prioritized_actions")
 def q_prioritized_actions(spark, sf_dir):
     df = scored_table(spark, sf_dir).select("msno", "churn_probability", "plan_list_price", "payment_plan_days")
-    return for_oracle(rk.prioritized_action_list(df, S.business).select(*ACTION_COLUMNS))
+    return for_oracle(rk.ranked(rk.prioritized_action_list(df, S.business)).select("rank", *ACTION_COLUMNS))
 
 
 @register("top_actions")
@@ -209,7 +208,9 @@ def q_diversified_actions_wide(spark, sf_dir):
 
 def _cohort(spark, sf_dir, plan_type=None, tenure=None):
     out = ch.cohort_stats(scored_table(spark, sf_dir), plan_type, tenure, S.thresholds)
-    return for_oracle(out.drop("risk_tier_distribution"))
+    tiers = F.array_sort(F.map_entries("risk_tier_distribution"))     # the map as comparable text, in tier order
+    text = F.array_join(F.transform(tiers, lambda e: F.concat_ws("=", e["key"], F.floor(e["value"] * 1e6 + 0.5).cast("long").cast("string"))), ",")
+    return for_oracle(out.withColumn("risk_tier_distribution", text))
 
 
 @register("cohort_stats_all")
@@ -360,9 +361,25 @@ def q_member_profile(spark, sf_dir):
     return for_oracle(pf.table_profile(tv.members(spark, sf_dir)))
 
 
-@register("log_sample")
-def q_log_sample(spark, sf_dir):
-    return for_oracle(sample_rows(tv.user_logs(spark, sf_dir), 5000))
+@register("transaction_profile")
+def q_transaction_profile(spark, sf_dir):
+    return for_oracle(pf.table_profile(tv.raw_transactions(spark, sf_dir)))
+
+
+@register("log_profile")
+def q_log_profile(spark, sf_dir):
+    return for_oracle(pf.table_profile(tv.user_logs(spark, sf_dir)))
+
+
+@register("label_profile")
+def q_label_profile(spark, sf_dir):
+    return for_oracle(pf.table_profile(tv.train(spark, sf_dir)))
+
+
+@register("table_types")
+def q_table_types(spark, sf_dir):
+    views = {"members": tv.members, "transactions": tv.raw_transactions, "user_logs": tv.user_logs, "train": tv.train}
+    return pf.column_types({name: view(spark, sf_dir) for name, view in views.items()})
 
 
 @register("score_histogram")
@@ -493,7 +510,8 @@ def _fit_calibrated_trees_now(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     data = materialize(split_table(spark, sf_dir))
     train = materialize(ml.with_class_weights(data.filter(F.col("split") == "train")))
-    ens = ml.fit_calibrated(train, lambda: ml.tree_pipeline(ml.TreeParams()), folds=3)
+    params = ml.with_bins(ml.TreeParams(), train)
+    ens = ml.fit_calibrated(train, lambda: ml.tree_pipeline(params), folds=3)
     return ens, data
 
 
@@ -520,8 +538,8 @@ def q_tree_drivers(spark, sf_dir):
 
 @register("tree_global_drivers")
 def q_tree_global_drivers(spark, sf_dir):
-    sample = sv.seeded_sample(_tree_attribution(spark, sf_dir), 5000, 42)
-    return for_oracle(at.impact_share_of_max(at.global_drivers(at.contributions_long(sample), 15)))
+    contrib = _tree_attribution(spark, sf_dir)
+    return for_oracle(at.impact_share_of_max(at.global_drivers(at.contributions_long(contrib), 15)))
 
 
 # ---------------------------------------------- phase 7: attribution, actions
@@ -552,8 +570,8 @@ def q_retention_actions(spark, sf_dir):
 @register("global_drivers")
 def q_global_drivers(spark, sf_dir):
     from lapse.functions.clean import feature_label
-    sample = sv.seeded_sample(standin_attributed(spark, sf_dir), 5000, 42)
-    g = at.impact_share_of_max(at.global_drivers(at.contributions_long(sample), 15))
+    contrib = standin_attributed(spark, sf_dir)
+    g = at.impact_share_of_max(at.global_drivers(at.contributions_long(contrib), 15))
     return for_oracle(g.withColumn("label", feature_label("feature")))
 
 

@@ -26,9 +26,10 @@ from lapse.config import BusinessConfig, FeatureConfig, RiskThresholds, ServeCon
 from lapse.operators import evaluate as ev
 from lapse.operators import ml
 from lapse.operators.features import build_customer_feature_table
+from lapse.operators.labels import agreed_labels
 from lapse.operators.value import score_customers
 from lapse.session import materialize
-from lapse.sources import writers
+from lapse.sources import readers, schemas, writers
 from lapse.sources.readers import prepare_transactions
 
 
@@ -36,9 +37,10 @@ def feature_job(spark: SparkSession, members: DataFrame, transactions: DataFrame
                 labels: DataFrame, reference_date, out_dir: str, cfg: FeatureConfig = FeatureConfig(),
                 pipeline_version: str = "0.1.0", is_synthetic: bool = False, seq_col: str | None = None) -> str:
     """Entry point 1.  ``transactions`` are typed but not yet cut off or
-    deduplicated; ``labels`` (msno, is_churn) define the cohort."""
+    deduplicated; ``labels`` (msno, is_churn) define the cohort; contradicting labels of
+    one customer stop the job."""
     tx = prepare_transactions(transactions, reference_date, seq_col=seq_col)
-    base = labels.select("msno", "is_churn").dropDuplicates(["msno"])
+    base = agreed_labels(labels)
     table = build_customer_feature_table(members, tx, logs, base, reference_date, cfg)
     path = f"{out_dir}/customer_features"
     writers.write_feature_table(table, path, reference_date)
@@ -47,6 +49,15 @@ def feature_job(spark: SparkSession, members: DataFrame, transactions: DataFrame
     return path
 
 
+def feature_job_from_files(spark: SparkSession, members_path: str, transactions_path: str, logs_path: str,
+                           labels_path: str, reference_date, out_dir: str, **options) -> str:
+    """Entry point 1 from the four raw CSV files to the table and its sidecar."""
+    transactions = readers.parse_transactions(readers.read_named_csv(spark, transactions_path, schemas.TRANSACTIONS_RAW))
+    return feature_job(spark, readers.load_members(spark, members_path), transactions,
+                       readers.load_user_logs(spark, logs_path), readers.load_labels(spark, labels_path),
+                       reference_date, out_dir, **options)
+
+
 def save_ensemble(ens: ml.CalibratedEnsemble, path: str) -> None:
     for k, (base, iso) in enumerate(ens.members):
         base.write().overwrite().save(f"{path}/fold_{k}/base")
@@ -89,6 +100,7 @@ def training_job(spark: SparkSession, features_path: str, out_dir: str, trials:
         params = ml.TreeParams(**{**asdict(tree_params), "max_depth": best.getMaxDepth(),
                                   "step_size": best.getStepSize(), "subsampling_rate": best.getSubsamplingRate(),
                                   "feature_subset": best.getFeatureSubsetStrategy()})
+    params = ml.with_bins(params, train)
     ens = ml.fit_calibrated(train, lambda: ml.tree_pipeline(params), folds)
     save_ensemble(ens, f"{out_dir}/models/calibrated_trees")
     scores = materialize(ens.transform(test).select("msno", "is_churn", "churn_probability"))
@@ -110,8 +122,9 @@ def scoring_job(spark: SparkSession, features_path: str, model_path: str, out_pa
                 folds: int = 3) -> str:
     """Entry point 3: the scored table every serving query reads."""
     if thresholds is None:
-        thresholds = (ev.thresholds_from_table(spark.read.json(thresholds_path)) if thresholds_path
-                      else RiskThresholds())
+        if not thresholds_path:
+            raise ValueError("give this model's thresholds or the path of its threshold table")
+        thresholds = ev.thresholds_from_table(spark.read.json(thresholds_path))
     features = spark.read.parquet(features_path)
     scored = load_ensemble(model_path, folds).transform(features)
     scored = score_customers(scored, business, thresholds, serve)

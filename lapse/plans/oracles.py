@@ -14,6 +14,8 @@ from lapse.sources.testviews import ORACLE_PREFIX, REFERENCE_DATE
 CFG = FeatureConfig()
 SET = Settings()
 REF = f"DATE '{REFERENCE_DATE}'"
+# Days before the reference date of the two trend windows.
+TREND_RECENT, TREND_PRIOR = "age <= 14", "age > 14 AND age <= 28"
 
 
 def r6(expr: str) -> str:
@@ -49,35 +51,23 @@ def _round_to_r6(sql: str) -> str:
         i = k
 
 
-def logs_agg_cte(cfg: FeatureConfig = CFG) -> str:
-    da = "days_ago"
-
-    def avg(v, cond):
-        return (f"SUM(CASE WHEN {cond} THEN {v} ELSE 0 END) / "
-                f"NULLIF(COUNT(CASE WHEN {cond} THEN 1 END), 0)")
-
-    cols = [f"MIN({da}) AS days_since_last_log"]
-    for w in cfg.windows_days:
-        cond = f"{da} <= {w}"
-        cols += [f"COUNT(CASE WHEN {cond} THEN 1 END) AS active_days_{w}",
-                 f"{avg('num_100', cond)} AS avg_songs_100_{w}",
-                 f"{avg('total_secs', cond)} AS avg_secs_{w}"]
-        if w in cfg.unq_windows:
-            cols.append(f"{avg('num_unq', cond)} AS avg_unq_{w}")
-    r, p = cfg.trend_window_recent, cfg.trend_window_prior
-    rc, pc = f"{da} <= {r}", f"{da} > {r} AND {da} <= {r + p}"
-    cols += [f"{avg('total_secs', rc)} AS recent_avg_secs", f"{avg('num_100', rc)} AS recent_avg_songs",
-             f"{avg('total_secs', pc)} AS prior_avg_secs", f"{avg('num_100', pc)} AS prior_avg_songs"]
-    body = ",\n    ".join(cols)
+def logs_agg_cte() -> str:
+    """One row per customer; the windows are spelled out, independent of the Spark side."""
+    def mean(value: str, days: str) -> str:
+        return f"(sum(coalesce({value}, 0)) FILTER (WHERE {days})) / nullif(count(*) FILTER (WHERE {days}), 0)"
+
+    spans = {"7": "age <= 7", "14": "age <= 14", "30": "age <= 30"}
+    columns = [f"count(*) FILTER (WHERE {days}) AS active_days_{n}" for n, days in spans.items()]
+    columns += [f"{mean('num_100', days)} AS avg_songs_100_{n}" for n, days in spans.items()]
+    columns += [f"{mean('total_secs', days)} AS avg_secs_{n}" for n, days in spans.items()]
+    columns.append(f"{mean('num_unq', spans['7'])} AS avg_unq_7")
+    for name, days in (("recent", TREND_RECENT), ("prior", TREND_PRIOR)):
+        columns += [f"{mean('num_100', days)} AS {name}_avg_songs", f"{mean('total_secs', days)} AS {name}_avg_secs"]
     return f""",
-filtered_logs AS (
-  SELECT msno, num_100, num_unq, total_secs, date_diff('day', log_date, {REF}) AS days_ago
-  FROM user_logs WHERE log_date <= {REF}
-),
 logs_agg AS (
-  SELECT msno,
-    {body}
-  FROM filtered_logs GROUP BY msno
+  SELECT msno, min(age) AS days_since_last_log,
+    {", ".join(columns)}
+  FROM (SELECT *, date_diff('day', log_date, {REF}) AS age FROM user_logs) WHERE age >= 0 GROUP BY msno
 )"""
 
 
@@ -171,13 +161,23 @@ features_raw AS (
 features AS (SELECT *, {TREND} FROM features_raw)"""
 
 
+# The stand-in score before squaring: a hash fraction of the id and the four fields of a scenario.
+_D = "CAST('{}' AS DOUBLE)".format
+STAND_IN = (f"({_D(0.55)} * (CAST('0x' || substr(md5(msno), 1, 8) AS BIGINT) / {_D(4294967296.0)})"
+            f" + {_D(0.15)} * CAST(1 - is_auto_renew AS DOUBLE)"
+            f" + {_D(0.1)} * (least(CAST(plan_list_price AS DOUBLE), {_D(150.0)}) / {_D(150.0)})"
+            f" + {_D(0.1)} * (CAST(least(payment_plan_days, 410) AS DOUBLE) / {_D(410.0)})"
+            f" + {_D(0.1)} * (CAST(greatest(days_since_registration, 0) AS DOUBLE)"
+            f" / (CAST(greatest(days_since_registration, 0) AS DOUBLE) + {_D(365.0)})))")
+
+
 def scored_cte(s: Settings = SET) -> str:
     """CTE ``scored``: features + stand-in p + tier + CLV + EV + low-confidence."""
     b, t = s.business, s.thresholds
     life, dflt = b.avg_customer_lifespan_months, b.default_monthly_revenue
     return features_cte() + f""",
 scored_x AS (
-  SELECT *, ((CAST(msno AS BIGINT) * 7919) % 1000 + 0.5) / 1000.0 AS _x FROM features
+  SELECT *, {STAND_IN} AS _x FROM features
 ),
 scored_p AS (
   SELECT * EXCLUDE (_x), _x * _x AS churn_probability FROM scored_x
@@ -308,7 +308,8 @@ SELECT {_PRED}, round((1.0 - churn_probability) * 100.0, 6) AS retention_score F
 ORACLES["clv_flat"] = with_prefix("", f"""
 SELECT msno, seq, round(actual_amount_paid * {_B.avg_customer_lifespan_months}, 6) AS estimated_clv FROM transactions""")
 
-ORACLES["prioritized_actions"] = with_prefix(scored_cte(), f"SELECT {_ACT} FROM scored_ev")
+ORACLES["prioritized_actions"] = with_prefix(scored_cte(), f"""
+SELECT row_number() OVER (ORDER BY {_EVORD}) AS rank, {_ACT} FROM scored_ev""")
 
 ORACLES["top_actions"] = with_prefix(scored_cte(), f"SELECT {_ACT} FROM scored_ev ORDER BY {_EVORD} LIMIT 10")
 
@@ -345,11 +346,13 @@ ORACLES["diversified_actions_wide"] = diversified_sql(25, "payment_plan_days = 3
 
 def _tier_sql(where: str = "TRUE") -> str:
     return f"""
-SELECT count(*) AS total_customers, round(coalesce(avg(churn_probability), 0.0), 6) AS churn_rate,
+SELECT *, 'High=' || CAST(floor(high_share * 1e6 + 0.5) AS BIGINT) || ',Low=' || CAST(floor(low_share * 1e6 + 0.5) AS BIGINT)
+          || ',Medium=' || CAST(floor(medium_share * 1e6 + 0.5) AS BIGINT) AS risk_tier_distribution
+FROM (SELECT count(*) AS total_customers, round(coalesce(avg(churn_probability), 0.0), 6) AS churn_rate,
   round(coalesce(avg(CAST(churn_probability >= {_T.high} AS DOUBLE)), 0.0), 6) AS high_share,
   round(coalesce(avg(CAST(churn_probability >= {_T.medium} AND churn_probability < {_T.high} AS DOUBLE)), 0.0), 6) AS medium_share,
   round(coalesce(avg(CAST(churn_probability < {_T.medium} AS DOUBLE)), 0.0), 6) AS low_share
-FROM scored_ev WHERE {where}"""
+FROM scored_ev WHERE {where})"""
 
 
 ORACLES["cohort_stats_all"] = with_prefix(scored_cte(), _tier_sql())
@@ -397,7 +400,8 @@ SELECT r.request_id, r.pos, r.msno, s.msno IS NOT NULL AS success,
 FROM requests r LEFT JOIN scored_ev s ON r.msno = s.msno""")
 
 ORACLES["usage_history"] = with_prefix("", """
-SELECT msno, strftime(log_date, '%Y-%m-%d') AS date, round(total_secs, 6) AS total_secs, num_unq FROM user_logs""")
+SELECT msno, CAST(row_number() OVER (PARTITION BY msno ORDER BY log_date, total_secs, num_unq) AS INTEGER) AS day_no,
+       strftime(log_date, '%Y-%m-%d') AS date, round(total_secs, 6) AS total_secs, num_unq FROM user_logs""")
 
 ORACLES["usage_share_of_max"] = with_prefix("", """
 SELECT msno, strftime(log_date, '%Y-%m-%d') AS log_date, round(total_secs, 6) AS total_secs,
@@ -414,13 +418,13 @@ scen AS (
   UNION ALL
   SELECT 'new_member', msno, NULL, NULL, NULL, 7 FROM scored_ev),
 sim AS (
+  SELECT * EXCLUDE (_x), _x * _x AS churn_probability FROM (SELECT *, {STAND_IN} AS _x FROM (
   SELECT s.scenario_id, f.msno,
          coalesce(s.o_price, f.plan_list_price) AS plan_list_price,
          coalesce(s.o_days, f.payment_plan_days) AS payment_plan_days,
          coalesce(s.o_auto, f.is_auto_renew) AS is_auto_renew,
-         coalesce(s.o_tenure, f.days_since_registration) AS days_since_registration,
-         f.churn_probability
-  FROM scen s JOIN scored_ev f ON s.msno = f.msno),
+         coalesce(s.o_tenure, f.days_since_registration) AS days_since_registration
+  FROM scen s JOIN scored_ev f ON s.msno = f.msno))),
 sim2 AS (
   SELECT *,
     CASE WHEN churn_probability >= {_T.high} THEN 'High' WHEN churn_probability >= {_T.medium} THEN 'Medium'
@@ -507,6 +511,24 @@ def _profile_sql(view: str, num_cols: list[str]) -> str:
 
 
 ORACLES["member_profile"] = with_prefix("", _profile_sql("members", ["city", "bd", "registered_via"]))
+ORACLES["transaction_profile"] = with_prefix("", _profile_sql("raw_transactions", [
+    "payment_method_id", "payment_plan_days", "plan_list_price", "actual_amount_paid", "is_auto_renew", "is_cancel", "seq"]))
+ORACLES["log_profile"] = with_prefix("", _profile_sql("user_logs", ["num_25", "num_100", "num_unq", "total_secs"]))
+ORACLES["label_profile"] = with_prefix("", _profile_sql("train", ["is_churn"]))
+
+# The columns and Spark types of the four views.
+_TYPES = {
+    "members": "msno string, city int, bd int, gender string, registered_via int, registration_init_time date",
+    "transactions": "msno string, payment_method_id int, payment_plan_days int, plan_list_price double, "
+                    "actual_amount_paid double, is_auto_renew int, transaction_date date, "
+                    "membership_expire_date date, is_cancel int, seq bigint",
+    "user_logs": "msno string, log_date date, num_25 int, num_100 int, num_unq int, total_secs double",
+    "train": "msno string, is_churn int",
+}
+ORACLES["table_types"] = with_prefix("", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{c.split()[0]}' AS \"column\", {i} AS position, '{c.split()[1]}' AS type, "
+    f"CAST(count(*) FILTER (WHERE {c.split()[0]} IS NULL) AS BIGINT) AS n_null FROM {'raw_transactions' if t == 'transactions' else t}"
+    for t, columns in _TYPES.items() for i, c in enumerate(columns.split(", "))))
 
 ORACLES["score_histogram"] = with_prefix(scored_cte() + """,
 mm AS (SELECT min(churn_probability) AS lo, max(churn_probability) AS hi,
@@ -682,9 +704,7 @@ def _label_case(col: str) -> str:
 
 
 ORACLES["global_drivers"] = with_prefix(_standin_long_cte() + """,
-sample AS (SELECT msno FROM scored_ev ORDER BY md5(msno || ':42'), msno LIMIT 5000),
-g AS (SELECT feature, avg(abs(contribution)) AS impact, avg(contribution) AS mean_c
-      FROM contrib WHERE msno IN (SELECT msno FROM sample) GROUP BY feature),
+g AS (SELECT feature, avg(abs(contribution)) AS impact, avg(contribution) AS mean_c FROM contrib GROUP BY feature),
 top AS (SELECT * FROM g ORDER BY impact DESC, feature LIMIT 15)""", f"""
 SELECT feature, round(impact, 6) AS impact, CASE WHEN mean_c > 0 THEN 'High' ELSE 'Low' END AS direction,
        round(impact / max(impact) OVER (), 6) AS share_of_max, {_label_case('feature')} AS label

@@ -10,20 +10,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapse.functions.dates import date_lit, parse_yyyymmdd
 from lapse.operators.dedup import dedup_same_day
 from lapse.sources import schemas
 
 
-def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+def read_named_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Columns are bound by the header's names, in any order; further ones are left out
+    and a missing one is an error.  Only the header line is read for that."""
+    header = spark.read.option("header", True).csv(path).columns
+    if missing := [c for c in schema.names if c not in header]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    kinds = {f.name: f.dataType for f in schema.fields}
+    wide = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+    return (spark.read.schema(wide).option("header", True).option("enforceSchema", False)
+            .option("mode", "PERMISSIVE").csv(path).select(*schema.names))
+
+
+def parse_members(raw: DataFrame) -> DataFrame:
+    """IO1 on text columns: the registration date parsed (bad -> NULL)."""
+    return raw.withColumn("registration_init_time", parse_yyyymmdd("registration_init_time"))
+
+
+def parse_transactions(raw: DataFrame) -> DataFrame:
+    """IO2 on text columns: both dates parsed (bad -> NULL)."""
+    return raw.withColumns({c: parse_yyyymmdd(c) for c in ("transaction_date", "membership_expire_date")})
+
+
+def parse_user_logs(raw: DataFrame) -> DataFrame:
+    """IO3 on text columns: ``date`` as ``log_date``."""
+    return raw.withColumn("log_date", parse_yyyymmdd("date")).drop("date")
 
 
 def load_members(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: members, registration date parsed (bad -> NULL)."""
-    df = _csv(spark, path, schemas.MEMBERS_RAW)
-    return df.withColumn("registration_init_time", parse_yyyymmdd("registration_init_time"))
+    """IO1: members."""
+    return parse_members(read_named_csv(spark, path, schemas.MEMBERS_RAW))
 
 
 def prepare_transactions(df: DataFrame, reference_date=None, seq_col: str | None = None) -> DataFrame:
@@ -39,10 +62,7 @@ def prepare_transactions(df: DataFrame, reference_date=None, seq_col: str | None
 
 def load_transactions(spark: SparkSession, path: str, reference_date=None) -> DataFrame:
     """IO2: transactions, 2 dates parsed, cutoff-filtered, deduplicated per day."""
-    df = _csv(spark, path, schemas.TRANSACTIONS_RAW)
-    df = (df.withColumn("transaction_date", parse_yyyymmdd("transaction_date"))
-            .withColumn("membership_expire_date", parse_yyyymmdd("membership_expire_date")))
-    return prepare_transactions(df, reference_date)
+    return prepare_transactions(parse_transactions(read_named_csv(spark, path, schemas.TRANSACTIONS_RAW)), reference_date)
 
 
 def load_user_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -51,12 +71,11 @@ def load_user_logs(spark: SparkSession, path: str) -> DataFrame:
     The per-customer aggregate is :func:`lapse.operators.logs.aggregate_logs`,
     which requires an explicit reference date (no 'today' default).
     """
-    df = _csv(spark, path, schemas.USER_LOGS_RAW)
-    return df.withColumn("log_date", parse_yyyymmdd("date")).drop("date")
+    return parse_user_logs(read_named_csv(spark, path, schemas.USER_LOGS_RAW))
 
 
 def load_labels(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, schemas.LABELS_RAW)
+    return read_named_csv(spark, path, schemas.LABELS_RAW)
 
 
 def base_cohort(labels: DataFrame | None = None, spark: SparkSession | None = None,
@@ -80,5 +99,6 @@ def read_feature_table(spark: SparkSession, path: str, columns: list[str] | None
 
 
 def sample_rows(df: DataFrame, n: int = 5000) -> DataFrame:
-    """IO8: first ``n`` rows of a scan, for inspection only (a sampling op)."""
+    """IO8: some ``n`` rows of a scan for a look at the data; which ones is not defined,
+    so no query is registered on it (``profile.table_profile`` covers the whole table)."""
     return df.limit(n)

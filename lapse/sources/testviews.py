@@ -81,13 +81,20 @@ def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = transactions(spark, sf_dir, reference_date=None)
-    return label_churn(tx, LABEL_CUTOFF, LABEL_GAP_DAYS).select("msno", "is_churn")
+    tx = raw_transactions(spark, sf_dir)
+    return label_churn(tx, LABEL_CUTOFF, LABEL_GAP_DAYS, seq_col="seq").select("msno", "is_churn")
 
 
 def stand_in_probability(msno_col="msno"):
-    """Deterministic stand-in score until a model scores the table."""
-    x = ((F.col(msno_col).cast("long") * 7919) % 1000 + F.lit(0.5)) / F.lit(1000.0)
+    """Deterministic stand-in score until a model scores the table: nearly unique (a hash
+    fraction of the id) and dependent on the four fields that a scenario can override."""
+    fraction = F.conv(F.substring(F.md5(F.col(msno_col)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    days = F.greatest(F.col("days_since_registration"), F.lit(0)).cast("double")
+    x = (F.lit(0.55) * fraction
+         + F.lit(0.15) * (F.lit(1) - F.col("is_auto_renew")).cast("double")
+         + F.lit(0.1) * (F.least(F.col("plan_list_price").cast("double"), F.lit(150.0)) / F.lit(150.0))
+         + F.lit(0.1) * (F.least(F.col("payment_plan_days"), F.lit(410)).cast("double") / F.lit(410.0))
+         + F.lit(0.1) * (days / (days + F.lit(365.0))))
     return x * x
 
 
@@ -139,21 +146,22 @@ user_logs AS (
   FROM events
   GROUP BY 1, 2
 ),
-label_parts AS (
-  SELECT msno,
-         arg_max(membership_expire_date, transaction_date) FILTER (WHERE transaction_date <= DATE '{LABEL_CUTOFF}') AS last_expire_date,
-         count(*) FILTER (WHERE transaction_date <= DATE '{LABEL_CUTOFF}') AS n_before,
-         min(transaction_date) FILTER (WHERE transaction_date > DATE '{LABEL_CUTOFF}' AND is_cancel = 0) AS next_renewal_date
-  FROM dedup_all WHERE transaction_date IS NOT NULL
-  GROUP BY msno
+renewals AS (
+  SELECT msno, min(transaction_date) AS next_renewal_date FROM raw_transactions
+  WHERE transaction_date > DATE '{LABEL_CUTOFF}' AND is_cancel = 0 GROUP BY msno
 ),
+expiries AS (
+  SELECT msno, arg_max(membership_expire_date, transaction_date) AS last_expire_date FROM dedup_all
+  WHERE transaction_date <= DATE '{LABEL_CUTOFF}' GROUP BY msno
+),
+label_parts AS (SELECT * FROM expiries LEFT JOIN renewals USING (msno)),
 churn_labels AS (
   SELECT msno, last_expire_date, next_renewal_date,
          CAST(date_diff('day', last_expire_date, next_renewal_date) AS INTEGER) AS renewal_gap_days,
          CAST(CASE WHEN next_renewal_date IS NULL OR last_expire_date IS NULL
                      OR date_diff('day', last_expire_date, next_renewal_date) >= {LABEL_GAP_DAYS}
                    THEN 1 ELSE 0 END AS INTEGER) AS is_churn
-  FROM label_parts WHERE n_before > 0
+  FROM label_parts
 ),
 train AS (SELECT msno, is_churn FROM churn_labels)
 """

@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 
 def write_feature_table(df: DataFrame, path: str, reference_date, partitioned: bool = False,
                         sort_within: bool = True) -> None:
-    """IO5: Parquet feature table.  Sorted by ``msno`` within files so point
-    lookups skip row groups by min/max statistics; optionally partitioned by
-    ``reference_date`` when snapshots accumulate."""
+    """IO5: Parquet feature table, range-partitioned and sorted by ``msno``, so each
+    file covers its own ids and point lookups skip files and row groups by their
+    statistics; optionally partitioned by ``reference_date`` when snapshots accumulate
+    (writing one again replaces that snapshot and leaves the others)."""
     out = df
     if sort_within:
-        out = out.sortWithinPartitions("msno")
+        out = out.repartitionByRange("msno").sortWithinPartitions("msno")
     if partitioned:
         out = out.withColumn("reference_date", F.lit(str(reference_date)))
-        out.write.mode("overwrite").partitionBy("reference_date").parquet(path)
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("reference_date").parquet(path))
     else:
         out.write.mode("overwrite").parquet(path)
 

@@ -1,5 +1,6 @@
 """The three batch jobs end to end on the smallest driver tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lapse.operators import ml
@@ -23,6 +24,8 @@ def test_feature_training_and_scoring_jobs(spark, tmpdir_path):
     assert spark.read.json(out["thresholds"]).count() == 3
     assert spark.read.parquet(out["runs"]).select("run_name").distinct().count() == 2
 
+    with pytest.raises(ValueError, match="threshold"):
+        jobs.scoring_job(spark, features, out["tree_model"], f"{tmpdir_path}/scored")
     scored_path = jobs.scoring_job(spark, features, out["tree_model"], f"{tmpdir_path}/scored",
                                    thresholds_path=out["thresholds"])
     scored = spark.read.parquet(scored_path)
