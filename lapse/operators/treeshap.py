@@ -36,7 +36,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.session import ensure_checkpoint_dir
+from lapse.session import shared_folder
 
 
 @dataclass
@@ -120,9 +120,7 @@ def shap_matrix(X: np.ndarray, leaves: list[Leaf], n_features: int) -> np.ndarra
 def read_tree_model(spark: SparkSession, gbt: GBTClassificationModel, folder: str | None = None):
     """Save the tree stage to the shared folder and read its node table back
     (one row per node; the model size, not the data size)."""
-    folder = folder or ensure_checkpoint_dir(spark)
-    if not folder:
-        raise ValueError("a shared folder (spark.checkpoint.dir) is needed to read the tree model")
+    folder = folder or shared_folder(spark)
     path = f"{folder.rstrip('/')}/treeshap-{uuid.uuid4().hex}"
     gbt.write().overwrite().save(path)
     nodes = (spark.read.parquet(f"{path}/data")

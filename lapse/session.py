@@ -7,6 +7,8 @@ shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -35,13 +37,19 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return target
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.  A purely local session that names none gets a
+    temporary one; on a cluster that is an error."""
+    found = ensure_checkpoint_dir(spark)
+    if not found and spark.sparkContext.master.split("[")[0] == "local":
+        found = ensure_checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="lapse-"))
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found
+
+
 def materialize(df, eager: bool = True):
-    """Cut lineage before an iterative fit: a reliable checkpoint into the
-    shared ``spark.checkpoint.dir`` (survives executor loss).  Without a
-    checkpoint directory (plain local runs) fall back to MEMORY_AND_DISK
-    persistence, which is recomputed from lineage if blocks are lost."""
-    from pyspark import StorageLevel
-    spark = df.sparkSession
-    if ensure_checkpoint_dir(spark):
-        return df.checkpoint(eager=eager)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Cut lineage before an iterative fit: a reliable checkpoint into the shared
+    folder (survives executor loss)."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=eager)
