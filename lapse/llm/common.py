@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.session import ensure_checkpoint_dir
+from lapse.session import shared_folder
 
 WHITESPACE = b" \t\n\x0b\x0c\r"          # the blanks between words, as every contract here states them
 
@@ -22,10 +22,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
-    base = ensure_checkpoint_dir(spark)
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:

@@ -21,8 +21,7 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return (both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u != v").distinct())
+    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,19 +31,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge (u, v); root is the least node it reaches."""
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Every node has one larger end at most, and none is both an upper and a lower end."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    ends = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return ends.where("ups > 1 or (ups = 1 and low = 0)").isEmpty()
+
+
+def components(edges: DataFrame, most_rounds: int = 60, rows_per_task: int = 200_000) -> DataFrame:
+    """(node, root) for every node of an edge (u, v); root is the least node it reaches.
+
+    The number of tasks of a round follows the number of edges that are left."""
     spark = edges.sparkSession
     folder = work_dir(spark, "components")
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(),
                   f"{folder}/0")
-    state = None
     for i in range(1, most_rounds + 1):
-        now = written(_small_star(_large_star(now)), f"{folder}/{i}")
-        before, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if i > 1:
-            drop_dir(spark, f"{folder}/{i - 2}")
-        if state == before:
+        tasks = max(8, -(-now.count() // rows_per_task))
+        if _is_star_forest(now.coalesce(tasks)):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        stars = _small_star(_large_star(now.coalesce(tasks)).coalesce(tasks)).coalesce(tasks)
+        now = written(stars, f"{folder}/{i}")
+        drop_dir(spark, f"{folder}/{i - 1}")
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
