@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import (ASCII_LOWER, column_bytes, drop_dir, keep_rows, map_batches, mix64, prefix_hash, slices, span_hash,
-                              texts, words, work_dir, written)
+from lapse.llm.common import (ASCII_LOWER, column_bytes, drop_dir, keep_rows, map_batches, mix64, prefix_hash, sifted, slices,
+                              span_hash, texts, words, work_dir, written)
 from lapse.llm.components import components
 
 BANDS, ROWS, SKETCH_BITS, SIGMAS, BLOCK, TEXT_BLOCK = 32, 4, 1024, 6.0, 16_384, 4096
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, threshold: tuple[int, int]
 
     def fetch(wanted: DataFrame, step: str) -> DataFrame:
         wanted = written(nodes.join(wanted, "node").select("node", "at.doc_id", "at.text_hash"), f"{folder}/wanted{step}")
-        found = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+        found = sifted(texts(docs, id_col, text_col), "doc_id", wanted).withColumn("text_hash", F.xxhash64("text"))
         return written(found.join(wanted, found["doc_id"].eqNullSafe(wanted["doc_id"])
                                   & (found["text_hash"] == wanted["text_hash"])).select("node", "text")
                        .dropDuplicates(["node"]), f"{folder}/texts{step}")

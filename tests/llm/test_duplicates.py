@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapse.llm import components, exact_dedup, near_dedup, prefix_free
+from lapse.llm.common import sifted
 from tests.llm.samples import awkward_texts, by_id, documents, empty, lower, near_groups, shingle_set, table
 
 
@@ -143,3 +144,11 @@ def test_repeated_strings_edges(spark):
     want = Counter((r.doc_id, *w[:3]) for r, w in zip(rows, plain_removed([r.text for r in rows], 200)))
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in prefix_free.remove_repeats(docs).collect())
     assert got == want
+
+
+def test_bit_filter_loses_no_match(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    wanted = rows.where("doc_id % 500 = 0 OR doc_id IS NULL")
+    passed = sifted(rows, "doc_id", wanted)
+    assert passed.join(wanted, passed["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").count() == 101
+    assert passed.count() < 150 and sifted(rows, "doc_id", wanted.limit(0)).count() == 0
