@@ -7,7 +7,7 @@ per-customer grouping.  Global drivers are one aggregate over the long form.
 * Linear models (X1 step 1): contribution_j = w_j * (x_j - E[x_j]) summed over
   the design columns of each original feature; base + sum(contributions)
   equals the model margin (log-odds) exactly.
-* Tree models: per-row path attribution for MLlib trees is not built yet.
+* Tree models (X1 step 2): ``lapse.operators.treeshap``.
 """
 
 from __future__ import annotations

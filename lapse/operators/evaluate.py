@@ -5,7 +5,8 @@ negative counts (an aggregate that combines map-side, so a score shared by a
 third of the rows is one row after the partial aggregate).  Cumulative counts
 in descending score order come from :func:`running_totals`, never from a
 one-partition window; the grand totals ride along from its small bucket
-table, so each operator makes one pass over its input.
+table.  The running totals read the collapsed scores twice (bucket totals, then the
+rows); Spark reuses the exchange that collapses them.
 """
 
 from __future__ import annotations
@@ -78,45 +79,44 @@ def confusion(df: DataFrame, threshold: float = 0.5, score: str = "churn_probabi
                     "brier_score")
 
 
-def thin_indices(lengths: DataFrame, n_points: int = 100) -> DataFrame:
-    """``floor(linspace(0, length-1, n_points))`` as rows (j, idx) from a
-    one-row table holding ``length``; the last index is exactly length-1 and
-    repeated indices are kept (as fancy indexing does)."""
-    step = (F.col("length") - F.lit(1)).cast("double") / F.lit(float(n_points - 1))
-    j = F.col("j")
-    idx = F.when(j == F.lit(n_points - 1), F.col("length") - F.lit(1)).otherwise(F.floor(j.cast("double") * step))
-    return (lengths.select("length", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("j"))
-                   .select(j.cast("int").alias("j"), idx.cast("long").alias("idx")))
+def _thinned(points: DataFrame, n_points: int) -> DataFrame:
+    """the points (idx, G, ...) at ``floor(linspace(0, G, n_points))``, with ``j``.
 
-
-def _thinned(t: DataFrame, pts: DataFrame, n_points: int) -> DataFrame:
-    # curve length = distinct scores + 1; the index table has n_points rows
-    sel = thin_indices(t.agg((F.max("G") + F.lit(1)).alias("length")), n_points)
-    return F.broadcast(sel).join(pts, "idx", "inner")
+    Each point finds the few ``j`` that pick it (several where there are fewer points than
+    ``n_points``), so the curve is read once and nothing is joined."""
+    last, g, idx = F.lit(n_points - 1), F.col("G"), F.col("idx")
+    step = g.cast("double") / F.lit(float(n_points - 1))
+    near = F.floor(idx * F.lit(float(n_points - 1)) / g)
+    after = F.floor((idx + 1) * F.lit(float(n_points - 1)) / g)
+    js = F.sequence(F.greatest(near - 1, F.lit(0)), F.least(after + 1, last))
+    picks = F.filter(js, lambda j: F.when(j == last, g).otherwise(F.floor(j.cast("double") * step)) == idx)
+    return points.withColumn("j", F.explode(picks)).withColumn("j", F.col("j").cast("int"))
 
 
 def roc_curve(df: DataFrame, n_points: int = 100, score: str = "churn_probability",
               label: str = "is_churn") -> DataFrame:
     """ROC points (fpr, tpr): (0, 0) then one per distinct score,
-    descending, thinned to ``n_points`` by F12."""
+    descending, thinned to ``n_points`` by F12.  The origin comes with the first score."""
     t = threshold_table(df, score, label)
-    pts = t.select("idx", F.try_divide(F.col("fp"), F.col("N").cast("double")).alias("fpr"),
-                   F.try_divide(F.col("tp"), F.col("P").cast("double")).alias("tpr"))
-    origin = t.agg(F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return _thinned(t, pts.unionByName(origin), n_points).select("j", "idx", "fpr", "tpr")
+    point = F.struct("idx", F.try_divide(F.col("fp"), F.col("N").cast("double")).alias("fpr"),
+                     F.try_divide(F.col("tp"), F.col("P").cast("double")).alias("tpr"))
+    origin = F.struct(F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    pts = t.select("G", F.inline(F.when(F.col("idx") == 1, F.array(origin, point)).otherwise(F.array(point))))
+    return _thinned(pts, n_points).select("j", "idx", "fpr", "tpr")
 
 
 def pr_curve(df: DataFrame, n_points: int = 100, score: str = "churn_probability",
              label: str = "is_churn") -> DataFrame:
     """(precision, recall) with recall decreasing: distinct thresholds in
     ascending order, then the end point (1, 0); thinned to ``n_points``.
-    With no positives, recall is 1 everywhere."""
+    With no positives, recall is 1 everywhere.  The end comes with the highest score."""
     t = threshold_table(df, score, label)
-    pts = t.select((F.col("G") - F.col("idx")).alias("idx"),
-                   (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                   F.coalesce(F.try_divide(F.col("tp"), F.col("P").cast("double")), F.lit(1.0)).alias("recall"))
-    end = t.agg(F.max("G").cast("long").alias("idx"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return _thinned(t, pts.unionByName(end), n_points).select("j", "idx", "precision", "recall")
+    point = F.struct((F.col("G") - F.col("idx")).alias("idx"),
+                     (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+                     F.coalesce(F.try_divide(F.col("tp"), F.col("P").cast("double")), F.lit(1.0)).alias("recall"))
+    end = F.struct(F.col("G").cast("long").alias("idx"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    pts = t.select("G", F.inline(F.when(F.col("idx") == 1, F.array(point, end)).otherwise(F.array(point))))
+    return _thinned(pts, n_points).select("j", "idx", "precision", "recall")
 
 
 def calibration_curve(df: DataFrame, n_bins: int = 10, score: str = "churn_probability",
@@ -176,7 +176,7 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], buckets: int
 def tier_thresholds(df: DataFrame, score: str = "churn_probability", high_q: float = 0.95,
                     medium_q: float = 0.85) -> DataFrame:
     """High = p95, Medium = p85 of the scores, as a 3-row table
-    (tier, min_prob, max_prob) that :func:`risk_tier_from_table` consumes."""
+    (tier, min_prob, max_prob) that :func:`thresholds_from_table` reads."""
     pc = exact_percentiles(df, score, [high_q, medium_q], value_range=(0.0, 1.0))
     hi_name = pc.columns[0]
     md_name = pc.columns[1]
@@ -223,6 +223,6 @@ def score_histogram(df: DataFrame, col: str = "churn_probability", bins: int = 5
     all_bins = mm.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.col("lo").alias("_lo"),
                          F.col("hi").alias("_hi"))
     b = F.col("bin")
-    return (F.broadcast(all_bins).join(counts, "bin", "left")
+    return (all_bins.join(counts, "bin", "left")
               .select("bin", edge(b).alias("bin_lo"), edge(b + 1).alias("bin_hi"),
                       F.coalesce(F.col("n"), F.lit(0)).alias("n")))

@@ -2,8 +2,8 @@
 
 Every family is keyed on ``msno`` and left-joined to the base cohort.  The
 full table (FB5) builds each fact aggregate once and joins three inputs on
-the same key, so the plan has one hash exchange per input and the joins reuse
-that partitioning (checked with ``explain``).  Members and labels are
+the same key; the joins reuse the partitioning of the aggregates, so no exchange
+is added for them.  Members and labels are
 per-customer tables that grow with the data and are never broadcast; only
 the rare-category list (bounded by 1/min_freq) is.
 """

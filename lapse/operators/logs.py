@@ -16,7 +16,6 @@ from lapse.functions.dates import date_lit
 
 
 def _windowed_avg(value: str, cond: Column) -> Column:
-    # SUM(CASE WHEN cond THEN v ELSE 0 END) / NULLIF(COUNT(CASE WHEN cond THEN 1 END), 0)
     return F.try_divide(
         F.sum(F.when(cond, F.col(value)).otherwise(F.lit(0))).cast("double"),
         F.count(F.when(cond, F.lit(1))),

@@ -51,7 +51,7 @@ def monthly_counts(df: DataFrame, date_col: str) -> DataFrame:
     span = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi"))
     calendar = span.filter(F.col("lo").isNotNull()).select(
         F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    return (F.broadcast(calendar).join(counts, "month", "left")
+    return (calendar.join(counts, "month", "left")
               .select("month", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 

@@ -457,13 +457,25 @@ def q_class_weights(spark, sf_dir):
 _FITS: dict = {}
 
 
+def _signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Change times of the tables that a fit reads."""
+    out = []
+    for name in ("customer", "orders", "events"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        out.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    return tuple(out)
+
+
 def _memo(kind: str, spark: SparkSession, sf_dir: str, fit):
-    """One (seeded, deterministic) fit per session, data folder and kind, shared
-    by the queries that read the same model."""
-    k = (kind, spark.sparkContext.applicationId, sf_dir)
-    if k not in _FITS:
-        _FITS[k] = fit()
-    return _FITS[k]
+    """One (seeded, deterministic) fit per kind, shared by the queries that read the same
+    model; dropped as soon as the session, the folder or its tables differ."""
+    k = (spark.sparkContext.applicationId, sf_dir, _signature(spark, sf_dir))
+    if _FITS.get("of") != k:
+        _FITS.clear()
+        _FITS["of"] = k
+    if kind not in _FITS:
+        _FITS[kind] = fit()
+    return _FITS[kind]
 
 
 def _fit_linear(spark, sf_dir):
