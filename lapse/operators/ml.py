@@ -76,8 +76,9 @@ def with_class_weights(df: DataFrame, label: str = LABEL, mode: str = "scale_pos
     """M3: ``weight`` column.  'scale_pos': positives weigh neg/pos (1.0 when no
     positives), negatives 1; 'balanced': n / (2 * n_class)."""
     y = F.col(label)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    pos = df.agg(F.sum(y.cast("long"))).scalar()
+    # one subquery for both totals, wherever the expression uses them
+    totals = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(y.cast("long")).alias("pos")).alias("t")).scalar()
+    n, pos = totals["n"], totals["pos"]
     neg = n - pos
     if mode == "balanced":
         w = F.when(y == 1, F.try_divide(n.cast("double"), pos * 2)).otherwise(F.try_divide(n.cast("double"), neg * 2))
