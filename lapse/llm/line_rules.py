@@ -94,7 +94,7 @@ def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batch):
         offsets, data = column_bytes(batch.column(1))
         parts = []
-        for a, b in slices(offsets, 2 << 20):
+        for a, b in slices(offsets, 1 << 20):
             values, text_hash, r, h, w = measure(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]])
             counts = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=b - a))]).astype(np.int32)
             parts.append(pa.RecordBatch.from_arrays(

@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int = RO
     def run(batch):
         offsets, data = column_bytes(batch.column(1))
         parts = []
-        for a, b in slices(offsets, 2 << 20):
+        for a, b in slices(offsets, 1 << 20):
             count, digest, full, keys, sketch = sketch_batch(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]],
                                                              width, bands, rows, bits)
             sizes = np.zeros(b - a + 1, np.int32)
@@ -148,7 +148,7 @@ def confirmed(pairs: DataFrame, node_texts: DataFrame, threshold: tuple[int, int
             us, parts, vs = (batch.column(i).to_pylist() for i in range(3))
             offsets, data = column_bytes(batch.column(3))
             out = []
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 hashes, begin = shingles(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]], width)
                 for i in range(a, b):
                     other = np.unique(hashes[begin[i - a]:begin[i - a + 1]])
@@ -258,7 +258,7 @@ def linked(families: DataFrame, most: int, threshold: tuple[int, int], width: in
             node = t["node"].to_numpy()
             offsets, data = column_bytes(t["text"].combine_chunks())
             sets = []
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 hashes, begin = shingles(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]], width)
                 sets += [np.unique(hashes[begin[k]:begin[k + 1]]) for k in range(b - a)]
             size = np.array([len(x) for x in sets])

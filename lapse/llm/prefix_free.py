@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lapse.llm.common import column_bytes, drop_dir, map_batches, mix64, prefix_hash, slices, span_hash, texts, work_dir, written
 
-WINDOW, GRAM, BLOCK, SLICE = 200, 32, 4096, 2 << 20
+WINDOW, GRAM, BLOCK, SLICE = 200, 32, 4096, 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 

@@ -109,7 +109,7 @@ class PieceCache(dict):
     each: a full young one becomes the old one, whose entries come back when used, so a
     worker's memory stays bounded.  Long pre-tokens are never kept."""
 
-    def __init__(self, make, room: int = 300_000, longest: int = 64):
+    def __init__(self, make, room: int = 150_000, longest: int = 64):
         super().__init__()
         self.make, self.room, self.longest, self.old = make, room, longest, {}
 

@@ -82,7 +82,7 @@ def measures(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 def measure_batch(column: pa.Array) -> np.ndarray:
     offsets, data = column_bytes(column)
     return np.concatenate([measures(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]])
-                           for a, b in slices(offsets, 2 << 20)])
+                           for a, b in slices(offsets, 1 << 20)])
 
 
 class Model:

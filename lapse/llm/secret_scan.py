@@ -367,7 +367,7 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
     return _SCANNERS[rules]
 
 
-def batch_spans(rules: tuple[Rule, ...], column: pa.Array, block: int = 4 << 20):
+def batch_spans(rules: tuple[Rule, ...], column: pa.Array, block: int = 1 << 20):
     offsets, data = column_bytes(column)
     for a, b in slices(offsets, block):
         yield from scanner(rules).scan(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]])
