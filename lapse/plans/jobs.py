@@ -15,7 +15,7 @@ per-row passes through the driver.
 
 from __future__ import annotations
 
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
@@ -94,12 +94,8 @@ def training_job(spark: SparkSession, features_path: str, out_dir: str, trials:
     train = materialize(ml.with_class_weights(data.filter(F.col("split") == "train")))
     params = tree_params
     if trials > 0:
-        cv = ml.search_tree_params(train, trials, folds,
-                                   ml.TreeParams(**{**asdict(tree_params), "max_iter": search_rounds}), seed=seed)
-        best = cv.bestModel.stages[-1]
-        params = ml.TreeParams(**{**asdict(tree_params), "max_depth": best.getMaxDepth(),
-                                  "step_size": best.getStepSize(), "subsampling_rate": best.getSubsamplingRate(),
-                                  "feature_subset": best.getFeatureSubsetStrategy()})
+        best, _ = ml.search_tree_params(train, trials, folds, replace(tree_params, max_iter=search_rounds), seed=seed)
+        params = replace(best, max_iter=tree_params.max_iter)
     params = ml.with_bins(params, train)
     ens = ml.fit_calibrated(train, lambda: ml.tree_pipeline(params), folds)
     save_ensemble(ens, f"{out_dir}/models/calibrated_trees")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lapse.operators import attribute as at
 from lapse.operators import ml
+from lapse.session import materialize
 from lapse.sources import writers
 
 
@@ -70,9 +71,10 @@ def test_calibrated_trees_monotone_and_bounded(spark):
         assert preds == sorted(preds)
 
 
-def test_search_returns_best_model(spark):
+def test_search_returns_best_parameters(spark):
     data = ml.stratified_split(_table(spark), 0.2, 3, 42)
-    train = ml.with_class_weights(data.filter("split = 'train'"))
-    cv = ml.search_tree_params(train, trials=2, folds=3, base=ml.TreeParams(max_iter=3, max_depth=2))
-    assert len(cv.avgMetrics) == 2
-    assert ml.score(cv.bestModel, data.filter("split = 'test'")).count() > 0
+    train = materialize(ml.with_class_weights(data.filter("split = 'train'")))
+    best, tried = ml.search_tree_params(train, trials=2, folds=3, base=ml.TreeParams(max_iter=3, max_depth=2))
+    assert len(tried) == 2 and all(0 < ap <= 1 for _, ap in tried)
+    assert best == max(tried, key=lambda t: t[1])[0]
+    assert all(3 <= p.max_depth <= 9 and 0.01 <= p.step_size <= 0.3 and p.max_iter == 3 for p, _ in tried)
