@@ -58,9 +58,10 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 SIFT_BITS, _PAGE = 1 << 25, 32_768       # 4 MB of bits in 4 KB pages: the broadcast's fixed bound
 
 
-def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose ``key`` (long) may be among those of ``wanted``: a bit filter of fixed size,
-    built by partial aggregation and broadcast, ahead of the join that decides.
+def sifted(rows: DataFrame, key: str, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """Rows whose ``key`` (long) may be among those of ``wanted`` (or, with ``others``, the rows
+    left over): a bit filter of fixed size, built by partial aggregation and broadcast, ahead of
+    the join that decides.
 
     It keeps the texts of rows that can't match out of the shuffle.  All matches pass; the
     fuller the bits, the more others do too."""
@@ -72,9 +73,10 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
              .agg(F.bitmap_construct_agg(F.pmod("h", F.lit(_PAGE))).alias("__bits")))
     spot = F.pmod(F.col("__h"), F.lit(_PAGE)).cast("int")
     byte = F.conv(F.hex(F.substring("__bits", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    among = F.getbit(byte, F.pmod(spot, F.lit(8))) == 1
     return (rows.withColumn("__h", place(F.col(key))).withColumn("__page", F.floor(F.col("__h") / _PAGE).cast("int"))
-            .join(F.broadcast(pages), "__page").where(F.getbit(byte, F.pmod(spot, F.lit(8))) == 1)
-            .select(*rows.columns))
+            .join(F.broadcast(pages), "__page", "left" if others else "inner")
+            .where(~F.coalesce(among, F.lit(False)) if others else among).select(*rows.columns))
 
 
 def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

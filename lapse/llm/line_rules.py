@@ -1,31 +1,33 @@
 """Quality rules with cross-document line frequency.
 
-One pass over the texts (vectorised in the worker) gives the base measures and the
-distinct normalised lines of each document as 64-bit hashes with their words.  A line
-is normalised by lower-casing A-Z, reading every digit as 0 and ignoring blanks other
-than between words.  Spark then counts, per host (``source``), the distinct documents
-that hold each line (partial sums before the shuffle, so a line of a third of all
-documents is no hot spot), keeps the lines above the limit and sums, per document, the
-words in them.  A document is depleted if too few words are left.
+A line is normalised by lower-casing A-Z, reading every digit as 0 and ignoring blanks
+other than between words.  One pass over the texts (vectorised in the worker) gives the
+distinct normalised lines of each document as 64-bit hashes.  Spark counts, per host
+(``source``), the distinct documents that hold each line (partial sums before the
+shuffle, so a line of a third of all documents is no hot spot) and joins the lines above
+the limit back to the texts that hold them.  A second pass takes those lines, line end
+included, out of the texts and gives the base measures of the text as it was; only texts
+that may hold such a line are shuffled.  A document is depleted if too few words are left.
 
 Copies of one text count as one document: a line is boilerplate because different
 documents of a host share it, not because one document was stored many times (that
 is the duplicate operators' matter).  The limit is the larger of ``min_documents``
 and ``share`` of the host's distinct documents, the same rule at every size.
 
-Null text counts as no words; null host is a host of its own; null or repeated ids
-keep a row each; empty tables give empty results; extra columns are ignored.
+Null text counts as no words and stays null; null host is a host of its own; null or
+repeated ids keep a row each; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import (ASCII_LOWER, column_bytes, lines_of_words, map_batches, mix64, per_row, prefix_hash,
-                              repeated, sequence_hash, slices, span_hash, texts, words, work_dir, written)
+from lapse.llm.common import (ASCII_LOWER, column_bytes, drop_dir, lines_of_words, map_batches, mix64, per_row,
+                              prefix_hash, repeated, sequence_hash, sifted, slices, span_hash, words, work_dir, written)
 
 MIN_DOCUMENTS, SHARE, MIN_LEFT, MIN_LEFT_WORDS = 20, 0.05, 0.3, 50
 _SYMBOL = np.zeros(256, bool)
@@ -33,31 +35,55 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _NORMAL = ASCII_LOWER.copy()
 _NORMAL[48:58] = 48
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = ("row_id long, doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
-          + ", text_hash long, line array<long>, line_words array<int>")
-
-
-def measure(offsets: np.ndarray, data: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(measures by name, text hashes, and per distinct line: its row, hash and words)."""
-    n = len(offsets) - 1
-    start, end, row = words(offsets, data)
+LINES = "host string, key long, line array<long>"
+CLEANED = "doc_id long, text string, " + ", ".join(f"{m} long" for m in MEASURES) + ", words_removed long"
+
+
+class Lines:
+    """Words, lines with a word, and the lines' normalised hashes of a batch of texts."""
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray):
+        self.start, self.end, self.row = words(offsets, data)
+        line = lines_of_words(offsets, data, self.start, self.row)
+        self.first = np.flatnonzero(np.diff(line, prepend=-1))
+        self.after = np.append(self.first[1:], len(line))
+        self.line_row = self.row[self.first]
+        # Raw bytes between line ends.
+        breaks = np.flatnonzero(data == 10)
+        at = np.searchsorted(breaks, self.start[self.first])
+        padded = np.concatenate([[-1], breaks, [len(data)]])
+        self.raw_start = np.maximum(padded[at] + 1, offsets[self.line_row])
+        self.raw_end = np.minimum(padded[at + 1], offsets[self.line_row + 1])
+        # Sequences of normalised words.
+        normal = span_hash(prefix_hash(_NORMAL[data]), self.start, self.end)
+        self.hashed = sequence_hash(normal, self.first, self.after)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash), one entry per text and line."""
+        order = np.lexsort((self.hashed, self.line_row))
+        r, h = self.line_row[order], self.hashed[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+        return r[new], h[new]
+
+    def held(self, row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Which lines are among the given (row, hash) pairs."""
+        known = np.unique(hashes)
+        if not len(known):
+            return np.zeros(len(self.hashed), bool)
+        at = np.minimum(np.searchsorted(known, self.hashed), len(known) - 1)
+        pairs = row * len(known) + np.searchsorted(known, hashes)
+        return (known[at] == self.hashed) & np.isin(self.line_row * len(known) + at, pairs)
+
+
+def measure(offsets: np.ndarray, data: np.ndarray, lines: Lines) -> dict[str, np.ndarray]:
+    n, start, end, row = len(offsets) - 1, lines.start, lines.end, lines.row
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
     prefix = prefix_hash(data)
     word = span_hash(prefix, start, end)
     salt = mix64(np.arange(n, dtype=np.uint64) + np.uint64(1))
-
-    # Lines with a word: raw bytes between line ends, for lines equal to an earlier one.
-    line = lines_of_words(offsets, data, start, row)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    after = np.append(first[1:], len(line))
-    line_row = row[first]
-    breaks = np.flatnonzero(data == 10)
-    at = np.searchsorted(breaks, start[first])
-    padded = np.concatenate([[-1], breaks, [len(data)]])
-    raw_start = np.maximum(padded[at] + 1, offsets[line_row])
-    raw_end = np.minimum(padded[at + 1], offsets[line_row + 1])
-    _, later = repeated(span_hash(prefix, raw_start, raw_end) ^ salt[line_row])
+    _, later = repeated(span_hash(prefix, lines.raw_start, lines.raw_end) ^ salt[lines.line_row])
 
     # Windows of three words within a text.
     three = np.flatnonzero(row[2:] == row[:-2]) if len(row) > 2 else np.zeros(0, np.int64)
@@ -67,71 +93,105 @@ def measure(offsets: np.ndarray, data: np.ndarray) -> tuple[dict[str, np.ndarray
     for k in range(3):
         covered[three[many] + k] = True
 
-    out = {"n_words": per_row(row, n),
-           "word_chars": per_row(row, n, (points[end] - points[start]).astype(float)),
-           "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
-           "n_dup_lines": per_row(line_row[later], n),
-           "n_repeat_words": per_row(row[covered], n)}
-
-    # Normalised lines as sequences of normalised words, one entry per text and line.
-    normal = span_hash(prefix_hash(_NORMAL[data]), start, end)
-    hashed = sequence_hash(normal, first, after)
-    order = np.lexsort((hashed, line_row))
-    r, h, w = line_row[order], hashed[order], (after - first)[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-    heads = np.flatnonzero(new)
-    summed = np.add.reduceat(w, heads) if len(heads) else w
-    return out, span_hash(prefix, offsets[:-1], offsets[1:]), r[heads], h[heads], summed
-
-
-def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      host_col: str = "source") -> DataFrame:
-    """The measures and the distinct lines of each document."""
-    base = texts(docs, id_col, text_col, F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
-                 F.monotonically_increasing_id().alias("row_id"))
+    return {"n_words": per_row(row, n),
+            "word_chars": per_row(row, n, (points[end] - points[start]).astype(float)),
+            "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
+            "n_dup_lines": per_row(lines.line_row[later], n),
+            "n_repeat_words": per_row(row[covered], n)}
+
+
+def without(offsets: np.ndarray, data: np.ndarray, lines: Lines, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of the texts without the lines ``gone``, each with its line end."""
+    edge = np.zeros(len(data) + 2, np.int64)
+    row_end = offsets[lines.line_row + 1]
+    np.add.at(edge, lines.raw_start[gone], 1)
+    np.add.at(edge, np.minimum(lines.raw_end + 1, row_end)[gone], -1)
+    stays = np.cumsum(edge[:len(data)]) == 0
+    return np.concatenate([[0], np.cumsum(stays)])[offsets], data[stays]
 
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(doc_id, text as it is, host, key); equal texts of one host have one key."""
+    text = F.col(text_col).cast("string")
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), host.alias("host"),
+                       F.xxhash64(host, F.coalesce(text, F.lit(""))).alias("key"))
+
+
+def document_lines(rows: DataFrame) -> DataFrame:
+    """(host, key, line) with the distinct lines of each row's text."""
     def run(batch):
-        offsets, data = column_bytes(batch.column(1))
+        offsets, data = column_bytes(batch.column(1).fill_null(""))
         parts = []
         for a, b in slices(offsets, 1 << 20):
-            values, text_hash, r, h, w = measure(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]])
+            r, h = Lines(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]]).distinct()
             counts = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=b - a))]).astype(np.int32)
             parts.append(pa.RecordBatch.from_arrays(
-                [batch.column(3)[a:b], batch.column(0)[a:b], batch.column(2)[a:b],
-                 *(pa.array(values[m].astype(np.int64)) for m in MEASURES), pa.array(text_hash.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(counts), pa.array(h.view(np.int64))),
-                 pa.ListArray.from_arrays(pa.array(counts), pa.array(w.astype(np.int32)))],
-                [f.split()[0] for f in SCHEMA.split(", ")]))
+                [batch.column(2)[a:b], batch.column(3)[a:b],
+                 pa.ListArray.from_arrays(pa.array(counts), pa.array(h.view(np.int64)))], ["host", "key", "line"]))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
-    return map_batches(base, run, SCHEMA)
+    return map_batches(rows, run, LINES)
 
 
-def frequent_lines(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
+def frequent_lines(distinct: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """(host, line) of the lines above the host's limit of distinct documents."""
-    distinct = measured.groupBy("host", "text_hash").agg(F.first("line").alias("line"))
-    limits = (measured.select("host", "text_hash").distinct().groupBy("host").count()
+    limits = (distinct.groupBy("host").count()
               .select("host", F.greatest(F.lit(float(min_documents)), F.col("count") * share).alias("limit")))
     return (distinct.select("host", F.explode("line").alias("line")).groupBy("host", "line").count()
             .where(F.col("count") > min_documents)
             .join(limits, "host").where(F.col("count") > F.col("limit")).select("host", "line"))
 
 
-def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-               min_documents: int = MIN_DOCUMENTS, share: float = SHARE, min_left: float = MIN_LEFT,
-               min_left_words: int = MIN_LEFT_WORDS) -> DataFrame:
-    """doc_id, the measures, words_removed, base_failed, kept; one row per input row."""
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows' texts without the lines in ``gone``, their measures and the words cut."""
+    def run(batch):
+        offsets, data = column_bytes(batch.column(1).fill_null(""))
+        parts = []
+        for a, b in slices(offsets, 1 << 20):
+            o, d = offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]]
+            lines, gone = Lines(o, d), batch.column(2)[a:b].fill_null([])
+            row = np.repeat(np.arange(b - a), gone.value_lengths().to_numpy())
+            cut = lines.held(row, gone.flatten().to_numpy().view(np.uint64))
+            values = measure(o, d, lines)
+            removed = per_row(lines.line_row[cut], b - a, (lines.after - lines.first)[cut].astype(float))
+            text = batch.column(1)[a:b]
+            if cut.any():
+                o, d = without(o, d, lines, cut)
+                left = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(np.ascontiguousarray(o, np.int64)), pa.py_buffer(d))
+                text = pc.if_else(pc.is_valid(text), left.cast(text.type), pa.scalar(None, text.type))
+            parts.append(pa.RecordBatch.from_arrays(
+                [batch.column(0)[a:b], text, *(pa.array(values[m].astype(np.int64)) for m in MEASURES),
+                 pa.array(removed.astype(np.int64))], [f.split()[0] for f in CLEANED.split(", ")]))
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    return map_batches(rows.select("doc_id", "text", "gone"), run, CLEANED)
+
+
+def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+                min_documents: int = MIN_DOCUMENTS, share: float = SHARE, min_left: float = MIN_LEFT,
+                min_left_words: int = MIN_LEFT_WORDS) -> DataFrame:
+    """doc_id, text without the lines above the limit, the measures of the text as it was,
+    words_removed, base_failed, kept; one row per input row."""
     spark = docs.sparkSession
     folder = work_dir(spark, "line-rules")
-    measured = written(measure_documents(docs, id_col, text_col, host_col), f"{folder}/measured")
-    frequent = written(frequent_lines(measured, min_documents, share), f"{folder}/frequent")
-    lines = measured.select("row_id", "host", F.explode(F.arrays_zip("line", "line_words")).alias("l"))
-    removed = (lines.select("row_id", "host", F.col("l.line").alias("line"), F.col("l.line_words").alias("w"))
-               .join(frequent, ["host", "line"]).groupBy("row_id").agg(F.sum("w").alias("words_removed")))
+    rows = _rows(docs, id_col, text_col, host_col)
+    measured = written(document_lines(rows), f"{folder}/lines")
+    distinct = written(measured.groupBy("host", "key").agg(F.first("line").alias("line")), f"{folder}/distinct")
+    drop_dir(spark, f"{folder}/lines")
+    frequent = written(frequent_lines(distinct, min_documents, share), f"{folder}/frequent")
+    gone = written(distinct.select("host", "key", F.explode("line").alias("line")).join(frequent, ["host", "line"])
+                   .groupBy("key").agg(F.collect_set("line").alias("gone")), f"{folder}/gone")
+    drop_dir(spark, f"{folder}/distinct")
+    # Texts that hold no such line by the bit filter stay where they are.
+    hold, rest = sifted(rows, "key", gone), sifted(rows, "key", gone, others=True)
+    out = _cut(hold.join(gone, "key", "left").unionByName(rest.withColumn("gone", F.lit(None).cast("array<long>"))))
     left = F.col("n_words") - F.col("words_removed")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = (left < min_left * F.col("n_words")) & (left < min_left_words)
-    return (measured.drop("line", "line_words", "text_hash").join(removed, "row_id", "left")
-            .withColumn("words_removed", F.coalesce("words_removed", F.lit(0)).cast("long"))
-            .select("doc_id", *MEASURES, "words_removed", failed.alias("base_failed"), (~failed & ~depleted).alias("kept")))
+    return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
+
+
+def line_rules(docs: DataFrame, *columns: str, **options) -> DataFrame:
+    """doc_id, the measures, words_removed, base_failed, kept of :func:`clean_texts`."""
+    return clean_texts(docs, *columns, **options).drop("text")

@@ -46,6 +46,10 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op6_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_reply_trees": op4_reply_trees,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_line_rules": op6_line_rules,
+    "op6_clean_texts": op6_clean_texts,
     "op7_packing": op7_packing,
     "op8_prefix_free": op8_prefix_free,
     "op9_pu_quality": op9_pu_quality,

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from lapse.llm import line_rules, pu_quality, secret_scan
 from lapse.llm.queries import op6_line_rules
-from tests.llm.samples import SF, WORD, documents, empty, table
+from tests.llm.samples import SF, WORD, documents, empty, lower, table
 
 PLAIN = (("assign", re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)),
          ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+")))
@@ -97,6 +97,42 @@ def test_depleted_documents_go_and_copies_are_one_document(spark):
     assert got[200].kept and got[200].words_removed == 64 and got[300].words_removed == 0
 
 
+def plain_clean(rows, most=20, share=0.05):
+    """Texts without the lines that more than the limit of a host's distinct texts hold."""
+    def normal(line):
+        return " ".join(re.sub("[0-9]", "0", lower(line)).split())
+
+    held, texts = {}, {}
+    for _, t, h in rows:
+        texts.setdefault(h or "", set()).add(t or "")
+    for h, distinct in texts.items():
+        held[h] = Counter(n for t in distinct for n in {normal(x) for x in t.split("\n")} if n)
+    return [None if t is None else "".join(
+        x for x in re.findall(r"[^\n]*\n|[^\n]+", t)
+        if held[h or ""][normal(x)] <= max(most, share * len(texts[h or ""]))) for _, t, h in rows]
+
+
+def test_lines_above_the_limit_leave_the_texts(spark):
+    menu = "Home | About 1999\r\n"
+    rows = [(i, menu.replace("1999", str(1000 + i)) + f"\nown é{i} line\n  HOME |  about 0000", "h") for i in range(30)]
+    rows += [(30, menu, "few"), (31, None, "h"), (None, "Home | About 5\nhome | about 1234", "h"), (31, "", None), (33, "home | about 1111\nx", "h")]
+    rows += [(40 + i, "the same\ntext", "h") for i in range(30)] + [(80 + i, f"日本{i}\n" + "a b c\n" * 2, None) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = line_rules.clean_texts(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], t) for r, t in zip(rows, plain_clean(rows)))
+    assert any(r.words_removed for r in got)
+    assert all(len((r.text or "").split()) == r.n_words - r.words_removed for r in got)
+
+    docs = table(spark, "documents")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    want = dict(zip((r[0] for r in rows), plain_clean(rows)))
+    got = {r.doc_id: r for r in line_rules.clean_texts(docs).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert {r.doc_id: (r.words_removed, r.kept) for r in op6_line_rules(spark, SF).collect()} == {
+        i: (r.words_removed, r.kept) for i, r in got.items()}
+    assert line_rules.clean_texts(empty(spark)).collect() == []
+
+
 def test_classifier_separates_held_out_rows(spark):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     got = pu_quality.quality(docs, labels)
