@@ -12,7 +12,9 @@ that may hold such a line are shuffled.  A document is depleted if too few words
 Copies of one text count as one document: a line is boilerplate because different
 documents of a host share it, not because one document was stored many times (that
 is the duplicate operators' matter).  The limit is the larger of ``min_documents``
-and ``share`` of the host's distinct documents, the same rule at every size.
+and ``share`` of the host's distinct documents, the same rule at every size.  The cleaned
+texts of the registered query go by the count alone; the table of op6_line_rules has the
+share and rejects by both bounds, as its DuckDB mirror says.
 
 Null text counts as no words and stays null; null host is a host of its own; null or
 repeated ids keep a row each; empty tables give empty results; extra columns are ignored.
@@ -170,9 +172,12 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                 min_documents: int = MIN_DOCUMENTS, share: float = SHARE, min_left: float = MIN_LEFT,
-                min_left_words: int = MIN_LEFT_WORDS) -> DataFrame:
+                min_left_words: int = MIN_LEFT_WORDS, either: bool = False) -> DataFrame:
     """doc_id, text without the lines above the limit, the measures of the text as it was,
-    words_removed, base_failed, kept; one row per input row."""
+    words_removed, base_failed, kept; one row per input row.
+
+    Without ``share`` the limit doesn't grow with the host; with ``either`` a document is
+    depleted if too small a share or too few words are left, otherwise if both are."""
     spark = docs.sparkSession
     folder = work_dir(spark, "line-rules")
     rows = _rows(docs, id_col, text_col, host_col)
@@ -188,7 +193,8 @@ def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = _cut(hold.join(gone, "key", "left").unionByName(rest.withColumn("gone", F.lit(None).cast("array<long>"))))
     left = F.col("n_words") - F.col("words_removed")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    depleted = (left < min_left * F.col("n_words")) & (left < min_left_words)
+    low, few = left < min_left * F.col("n_words"), left < min_left_words
+    depleted = (low | few) if either else (low & few)
     return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
 
 

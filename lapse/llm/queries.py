@@ -47,7 +47,7 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.clean_texts(read_table(spark, sf_dir, "documents"))
+    return line_rules.clean_texts(read_table(spark, sf_dir, "documents"), share=0.0, either=True)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from lapse.llm import line_rules, pu_quality, secret_scan
+from lapse.llm import line_rules, pu_quality, queries, secret_scan
 from lapse.llm.queries import op6_line_rules
 from tests.llm.samples import SF, WORD, documents, empty, lower, table
 
@@ -133,6 +133,22 @@ def test_lines_above_the_limit_leave_the_texts(spark):
     assert line_rules.clean_texts(empty(spark)).collect() == []
 
 
+def test_clean_texts_of_hot_hosts_and_long_pages(spark, monkeypatch):
+    def own(i, n):
+        return " ".join(f"d{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}w{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(n))
+
+    banner = "all rights reserved"
+    page = [" ".join(f"page{chr(97 + k)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(100)) for k in range(20)]
+    rows = [(i, own(i, 60) + (f"\n{banner}" if i < 40 else ""), "hot") for i in range(1000)]       # under 5 % of the host
+    rows += [(2000 + i, "\n".join([*page, own(1000 + i, 60)]), "pages") for i in range(30)]        # 97 % boilerplate
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(queries, "read_table", lambda *_: docs)
+    got = {r.doc_id: r for r in queries.op6_clean_texts(spark, SF).collect()}
+    assert all(banner not in got[i].text and got[i].words_removed == 3 and got[i].kept for i in range(40))
+    assert all(got[i].words_removed == 0 and got[i].kept for i in range(40, 1000))
+    assert all(got[2000 + i].words_removed == 2000 and not got[2000 + i].kept for i in range(30))
+
+
 def test_classifier_separates_held_out_rows(spark):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     got = pu_quality.quality(docs, labels)
