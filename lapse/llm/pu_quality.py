@@ -182,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = chosen(labels.where("quality = 1"), max_positives, 1)
     web = chosen(docs.select(F.col(id_col).alias("doc_id")), max_unlabelled, 0)   # as found: good rows among it
     picked = F.broadcast(good.unionByName(web))                      # at most the two bounds
-    rows = texts(docs, id_col, text_col).join(picked, "doc_id").select("positive", "doc_id", "text")
+    rows = (texts(docs, id_col, text_col).join(picked, "doc_id")     # of the rows of one id, the least text
+            .groupBy("positive", "doc_id").agg(F.min("text").alias("text")))
 
     def run(batch):
         x = measure_batch(batch.column(2))

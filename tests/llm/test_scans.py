@@ -175,6 +175,16 @@ def test_classifier_edges(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_fit_takes_one_row_of_a_repeated_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(20)] + [(7, f"again {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (3, 1), (4, 1)], "doc_id long, quality int")
+    taken = []
+    monkeypatch.setattr(pu_quality, "fit", lambda good, web: taken.append((len(good), len(web))))
+    training = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5]
+    pu_quality.train(docs, labels)
+    assert taken == [(len({3, 4, 7} & set(training)), len(training))] and 7 in training
+
+
 def test_prior_and_non_negative_fit():
     rng = np.random.default_rng(2)
     positives, negatives = rng.normal(1.5, 1, (3000, 4)), rng.normal(-1.5, 1, (900, 4))
