@@ -285,13 +285,15 @@ def linked(families: DataFrame, most: int, threshold: tuple[int, int], width: in
 def near_duplicates(docs: DataFrame, width: int = 2, threshold: tuple[int, int] = (80, 100), bands: int = BANDS,
                     rows: int = ROWS, bits: int = SKETCH_BITS, sigmas: float = SIGMAS, block: int = BLOCK,
                     text_block: int = TEXT_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_hash; one row per input row."""
+    """doc_id, n_shingles, component_id, kept, text_hash; one row per input row.
+
+    Kept is one text per group: of the least id (null ids last), of one id's the least hash."""
     spark = docs.sparkSession
     folder = work_dir(spark, "near-dedup")
     most = largest_distance(threshold[0] / threshold[1], bands * rows, bits, sigmas)
     sketched = written(sketches(docs, width, bands, rows, bits, id_col, text_col), f"{folder}/sketched")
     nodes = written(sketched.where("n_shingles > 0").groupBy("set_hash")
-                    .agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least_id"),
+                    .agg(F.min("row_id").alias("node"), F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")).alias("least"),
                          F.min(F.struct("doc_id", "text_hash")).alias("at"),
                          F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), f"{folder}/nodes")
     sketch_of = nodes.select("node", "sketch")
@@ -332,15 +334,16 @@ def near_duplicates(docs: DataFrame, width: int = 2, threshold: tuple[int, int]
     drop_dir(spark, f"{folder}/texts2")
     roots = written(components(links.unionByName(more)), f"{folder}/roots2")
 
-    rooted = nodes.select("set_hash", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_set = written(rooted.join(least, "root").select("set_hash", "component_id"), f"{folder}/components")
+    rooted = nodes.select("set_hash", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("first"))       # a null id comes last
+    of_set = written(rooted.join(least, "root").select("set_hash", "first"), f"{folder}/components")
     for done in ("nodes", "members", "pairs1", "links1", "roots1", "alike", "families", "links2", "roots2"):
         drop_dir(spark, f"{folder}/{done}")
     out = sketched.select("doc_id", "text_hash", "n_shingles", "set_hash").join(of_set, "set_hash", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = alone | (F.col("doc_id").eqNullSafe(component) & (F.col("text_hash") == F.col("first.text_hash")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -82,6 +82,14 @@ def test_near_edges(spark):
     assert kept.columns == docs.columns and kept.count() == len({(r.doc_id, r.text_hash) for r in got if r.kept})
 
 
+def test_near_groups_of_null_or_shared_ids_keep_one(spark):
+    one, other = " ".join(f"a{j}" for j in range(60)), " ".join(f"b{j}" for j in range(60))
+    rows = [(None, f"{one} tail{i}") for i in range(4)] + [(5, f"{other} tail{i}") for i in range(3)] + [(None, f"{other} tail9"), (8, "far off")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id or 0, r.text.split()[0]) for r in near_dedup.keep_one(docs).collect())
+    assert kept == [(0, "a0"), (5, "b0"), (8, "far")]
+
+
 def test_odd_sketch_bound_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(4)
     most, far = near_dedup.largest_distance(0.8, 128, 1024, 6.0), 0
