@@ -8,12 +8,13 @@ Consecutive phrases overlap by ``window`` - 1 bytes, so no phrase is a prefix of
 another's continuation and every window of the corpus lies in exactly one phrase.  A
 phrase is known by its trigger gram's hash and its own.
 
-*Dictionary and parse order.*  Phrases that occur again (counted over the parse) are
+*Dictionary.*  Phrases that occur again (counted over the parse) are
 repeated whole, whatever the number of copies: for highly repetitive text that settles
-nearly all.  What is left are distinct phrases of one trigger gram.  Their window-long
-suffixes are put in order together, one representative text per distinct phrase; equal
-neighbours in that order are windows that occur again.  Both parts together are the
-corpus order of all text suffixes, cut at ``window`` bytes.
+nearly all.  What is left are distinct phrases of one trigger gram.  Their windows'
+hashes are sorted together, one representative text per distinct phrase; equal neighbours
+are windows that occur again.  That is hash order, not byte order: it finds every window
+that occurs twice, but no suffix array of dictionary or parse is built and no corpus order
+of suffixes comes out.
 
 Only hashes of phrases are shuffled, plus texts of documents that hold representatives
 or something to remove.  Trigger grams with over ``block`` distinct phrases aren't
@@ -162,7 +163,7 @@ def ordered_suffixes(rows: DataFrame, window: int, memory: int = 4 << 20) -> Dat
         table = table.combine_chunks()
         key = table["key"].to_numpy().view(np.uint64)
         hashes, number, inner = window_hashes(key, table["bytes"].combine_chunks(), window)
-        order = np.argsort(hashes, kind="stable")                     # the suffixes' order, up to hashing
+        order = np.argsort(hashes, kind="stable")                     # hash order: equal windows are neighbours
         same = np.zeros(len(order) + 1, bool)
         same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
         found = np.zeros(len(order), bool)
