@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.llm import bpe_stream, exact_dedup, line_rules, near_dedup, packing, prefix_free, pu_quality, reply_trees, secret_scan, token_counts
+from lapse.llm import (bpe_stream, exact_dedup, fingerprints, hard_negatives, line_rules, near_dedup, packing, periodic_runs, prefix_free,
+                       pu_quality, reply_trees, secret_scan, token_counts)
 from lapse.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +67,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(read_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -78,10 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_free": op8_prefix_free,
     "op9_pu_quality": op9_pu_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-# DuckDB mirrors.  Tokens (1, 5, 7), span positions (3), byte windows (8) and fitted scores (9)
-# aren't expressible; tests compare those with the library or plain Python.
+# DuckDB mirrors.  Tokens (1, 5, 7), span positions (3), byte windows (8), fitted scores (9), runs (11)
+# and signatures (12) aren't expressible; tests compare those with the library or plain Python.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')".format
 _SPARE = r"(length({0}) + length(regexp_replace({0}, '[^\\<>]', '', 'g')))".format     # escaped length
@@ -142,4 +158,20 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l
 least_ AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM s JOIN least_ USING (doc_id)""",
+
+    "op13_hard_negatives": """
+WITH r AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, a.label AS anchor_label, b.id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, anchor_label, id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label
+        AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
