@@ -126,25 +126,32 @@ _BLANK[list(WHITESPACE)] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C55                # odd, so it has an inverse modulo 2**64
+# Two independent polynomial hashes modulo the prime 2**31 - 1.  (A power of two as modulus
+# would give structured texts such as Thue-Morse words one hash, whatever the base.)
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (0x2545F491, 0x5851F42D)
 _POW: list[np.ndarray] = []
+_POW_KEPT, _PART = 1 << 21, 1 << 16      # powers kept between calls; elements worked on at once
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``_BASE**i`` and its inverse powers modulo 2**64 for i < n (grown by need)."""
-    if not _POW or len(_POW[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POW[:] = [_powers(b, size) for b in (_BASE, inverse)]
-    return _POW[0], _POW[1]
+def powers(n: int) -> list[np.ndarray]:
+    """Per base its powers and inverse powers modulo the prime, for exponents below n.
+    Grown by need; tables for very long texts aren't kept."""
+    if _POW and len(_POW[0]) >= n:
+        return _POW
+    size = max(1 << 16, 1 << (n - 1).bit_length())
+    found = [_powers(b, size) for base in _BASES for b in (base, pow(base, -1, int(_PRIME)))]
+    if size <= _POW_KEPT:
+        _POW[:] = found
+    return found
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
+    out = np.ones(n, np.uint32)
     filled = 1
     while filled < n:                     # doubling: out[filled:] = out[:filled] * base**filled
         take = min(filled, n - filled)
-        out[filled:filled + take] = out[:take] * np.uint64(pow(base, filled, 1 << 64))
+        out[filled:filled + take] = out[:take] * np.uint64(pow(base, filled, int(_PRIME))) % _PRIME
         filled += take
     return out
 
@@ -158,17 +165,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` (below 2**62) modulo the prime, in place."""
+    high = x >> np.uint64(31)
+    x &= _PRIME
+    x += high
+    np.subtract(x, _PRIME, out=high)      # wraps round where x is reduced already
+    return np.minimum(x, high, out=x)
+
+
+def _sums(terms: Callable[[slice], np.ndarray], out: np.ndarray) -> None:
+    """Running sums of terms (below 2**39) modulo the prime, a cache-sized part at a time."""
+    out[0], total = 0, np.uint64(0)
+    for at in range(0, len(out) - 1, _PART):
+        part = terms(slice(at, min(at + _PART, len(out) - 1)))
+        part[0] += total
+        np.cumsum(part, out=part)         # below 2**16 * 2**39 and a little
+        out[at + 1:at + 1 + len(part)] = _reduced(part)
+        total = np.uint64(out[at + len(part)])
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[i] the polynomial hash of ``data[:i]``, low powers first."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][:len(data)], out=out[1:])
+    """P with P[k][i] the k-th polynomial hash of ``data[:i]``, low powers first."""
+    out = np.empty((2, len(data) + 1), np.uint32)
+    power = powers(len(data) + 1)
+    for k in range(2):
+        _sums(lambda s, of=power[2 * k]: (data[s].astype(np.uint64) + np.uint64(1)) * of[s], out[k])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans, equal for equal bytes wherever they stand."""
-    inverse = powers(len(prefix))[1]
-    return mix64((prefix[end] - prefix[start]) * inverse[start] ^ (end - start).astype(np.uint64) << np.uint64(48))
+    """62-bit hashes of the spans (mixed to 64), equal for equal bytes wherever they stand."""
+    power, out = powers(prefix.shape[1]), np.empty(len(start), np.uint64)
+    for at in range(0, len(start), _PART):
+        first, last = start[at:at + _PART], end[at:at + _PART]
+        both = []
+        for k in range(2):
+            x = prefix[k][last].astype(np.uint64)
+            x += _PRIME
+            x -= prefix[k][first]
+            x = np.minimum(x, x - _PRIME)
+            x *= power[2 * k + 1][first]
+            both.append(_reduced(x))
+        out[at:at + _PART] = mix64(both[0] | both[1] << np.uint64(32))
+    return out
 
 
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,8 +228,11 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def sequence_hash(items: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of ``items[start:end]`` (uint64 hashes), equal for equal sequences."""
-    prefix = np.zeros(len(items) + 1, np.uint64)
-    np.cumsum(items * powers(len(items) + 1)[0][:len(items)], out=prefix[1:])
+    prefix = np.empty((2, len(items) + 1), np.uint32)
+    power = powers(len(items) + 1)
+    for k in range(2):                    # 30 bits of an item each, so that both hashes see other bits
+        _sums(lambda s, k=k: _reduced(((items[s] >> np.uint64(30 * k) & np.uint64((1 << 30) - 1)) + np.uint64(1))
+                                      * power[2 * k][s]), prefix[k])
     return span_hash(prefix, start, end)
 
 
