@@ -3,6 +3,7 @@ batch plumbing and vectorised word splitting."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,14 +45,25 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
+def release_memory() -> None:
+    """Give back what finished work left with Arrow's pool and the C library: workers are reused
+    by later stages, whose memory would add to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` of a function from one batch to one batch."""
+    """``mapInArrow`` of a function from one batch to one batch; memory is released after each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
                 if out is not None:
                     yield out
+                del batch, out
+                release_memory()
     return df.mapInArrow(run, schema)
 
 
