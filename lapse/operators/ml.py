@@ -10,7 +10,7 @@
   trees through nominal metadata).
 * M7: seeded random search scored by ``CrossValidator`` over the fold column.
 * M8: isotonic calibration over folds: per fold a base model on the other
-  folds and ``IsotonicRegression`` on its held-out scores; the final score is
+  folds and a distributed isotonic fit of its held-out scores; the final score is
   the mean of the calibrated outputs.
 * M9: batch scoring = ``transform`` + ``vector_to_array(probability)[1]``.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
@@ -29,7 +30,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
@@ -37,6 +37,7 @@ from pyspark.util import inheritable_thread_target
 from lapse.config import CATEGORICAL_FEATURES, MODEL_FEATURES, NON_MODEL_COLUMNS
 from lapse.operators.cumulative import running_totals
 from lapse.operators.evaluate import average_precision
+from lapse.operators.isotonic import isotonic_blocks, isotonic_model
 
 LABEL = "is_churn"
 HASH_SPAN = float(16 ** 15)
@@ -61,17 +62,15 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, folds: int = 3,
     unknown = F.raise_error(F.concat(F.lit(f"no {label} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     df = df.withColumn(label, F.when(F.col(label).isNull(), unknown.cast(df.schema[label].dataType)).otherwise(F.col(label)))
     keyed = df.withColumns({"_h": hash_rank_value(seed, key), "_one": F.lit(1)})
-    ranked = running_totals(keyed, ["_h", key], ["_one"], by=[label], lo=0.0, hi=HASH_SPAN)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_label"))   # one row per class
-    j = ranked.join(F.broadcast(sizes), label, "inner")
-    n_test = F.ceil(F.col("_n_label") * F.lit(float(test_fraction)))
+    j = running_totals(keyed, ["_h", key], ["_one"], by=[label], lo=0.0, hi=HASH_SPAN, with_totals=True)
+    n_test = F.ceil(F.col("total__one") * F.lit(float(test_fraction)))
     rank = F.col("cum__one")
     out = j.withColumns({
         "split": F.when(rank <= n_test, F.lit("test")).otherwise(F.lit("train")),
         "fold": F.when(rank <= n_test, F.lit(None).cast("int"))
                  .otherwise(F.pmod(rank - n_test - 1, F.lit(folds)).cast("int")),
     })
-    return out.drop("_h", "_one", "cum__one", "_n_label")
+    return out.drop("_h", "_one", "cum__one", "total__one")
 
 
 def with_class_weights(df: DataFrame, label: str = LABEL, mode: str = "scale_pos") -> DataFrame:
@@ -101,6 +100,23 @@ def model_input(df: DataFrame, features: tuple[str, ...] = MODEL_FEATURES,
     return df.select(*cols)
 
 
+def through_model(df: DataFrame, apply: Callable[[DataFrame], DataFrame], features: tuple[str, ...] = MODEL_FEATURES) -> DataFrame:
+    """``apply`` (a model's transform) on rows whose numeric NULLs are filled as in
+    :func:`model_input`; the table's own columns come back as they were, NULLs included."""
+    nums = [c for c in features if c in df.columns and c not in CATEGORICAL_FEATURES]
+    aside = {c: f"__own_{c}" for c in nums}
+    filled = df.withColumns({aside[c]: F.col(c) for c in nums}).withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in nums})
+    out = apply(filled)
+    added = [c for c in out.columns if c not in filled.columns]
+    return out.select(*(F.col(aside[c]).alias(c) if c in aside else F.col(c) for c in df.columns), *added)
+
+
+def sized(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """Few, full partitions for an iterative fit: every tree level is a job over all of them."""
+    n = df.count()
+    return df.coalesce(max(1, -(-n // rows)))
+
+
 def numeric_features(features: tuple[str, ...] = MODEL_FEATURES) -> list[str]:
     return [c for c in features if c not in CATEGORICAL_FEATURES]
 
@@ -170,7 +186,7 @@ def tree_pipeline(p: TreeParams = TreeParams(), features: tuple[str, ...] = MODE
 def with_bins(p: TreeParams, train: DataFrame, features: tuple[str, ...] = MODEL_FEATURES) -> TreeParams:
     """``max_bins`` raised to the widest categorical of ``train`` and one bin for unseen values."""
     cats = [c for c in features if c in CATEGORICAL_FEATURES]
-    widths = train.agg(*(F.size(F.collect_set(c)).alias(c) for c in cats)).first()
+    widths = train.agg(*(F.count_distinct(c).alias(c) for c in cats)).first()
     return replace(p, max_bins=max(p.max_bins, max(widths, default=0) + 1))
 
 
@@ -241,8 +257,9 @@ class CalibratedEnsemble:
 
 def fit_calibrated(train: DataFrame, make_pipeline, folds: int = 3, parallelism: int = 3) -> CalibratedEnsemble:
     """M8: for each fold k: base model on the other folds, isotonic regression
-    of the label on the base model's held-out probabilities (MLlib clips
-    outside the fitted range and interpolates between boundaries).  The fold
+    of the label on the base model's held-out probabilities, pooled in parallel
+    (see ``operators.isotonic``; the function is constant outside the fitted
+    range and linear between blocks).  The fold
     fits are independent Spark jobs and run concurrently (``parallelism``
     threads, as CrossValidator does), so small per-tree jobs share the
     cluster instead of queueing."""
@@ -251,8 +268,7 @@ def fit_calibrated(train: DataFrame, make_pipeline, folds: int = 3, parallelism:
         held = train.filter(F.col("fold") == k)
         base = make_pipeline().fit(fit_part)
         raw = positive_probability(base.transform(held), "_raw").select("_raw", LABEL)
-        iso = IsotonicRegression(featuresCol="_raw", labelCol=LABEL, predictionCol="_cal", isotonic=True).fit(raw)
-        return base, iso
+        return base, isotonic_model(isotonic_blocks(raw, "_raw", LABEL, parts=held.rdd.getNumPartitions()), "_raw", "_cal")
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, folds))) as pool:
         members = list(pool.map(inheritable_thread_target(train.sparkSession)(fit_fold), range(folds)))

@@ -12,10 +12,17 @@ where c_s is the t^s coefficient of prod_{j in P, j != i} (z_j + o_j t).
 Summed over leaves and trees (times the tree weights), the values add up to
 the row's margin minus the cover-weighted expected margin.
 
+Cost: a row's values at a leaf only depend on its pattern of o, so they are
+worked out once per leaf and pattern: the product over all features is built
+once (k steps) and each feature is divided out of it (k steps each), which makes
+leaves x depth^2 per pattern.  A row block then looks its patterns up, k values
+per leaf.  Tests that several leaves or trees share are evaluated once per block,
+and leaves with the same path (tests and fractions) are one leaf.
+
 Execution: the fitted tree stage is saved to the shared checkpoint folder and
 its node table (bounded by the model size: trees x 2^depth rows) is read back
 and turned into per-leaf path descriptions, broadcast once.  Rows are scored
-with ``mapInPandas`` (Arrow batches; numpy vectorised over the rows of each
+by a Pandas UDF over the feature vectors (Arrow batches; numpy vectorised over the rows of each
 batch), so the work is partitioned with the data and nothing per-row passes
 through the driver.  Values are reported on the log-odds scale (Spark's GBT
 margin is half the log-odds).
@@ -25,7 +32,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -86,35 +93,76 @@ def leaves_from_nodes(nodes: pd.DataFrame, tree_weights: dict[int, float], scale
     return leaves, base
 
 
+def merged_paths(leaves: list[Leaf]) -> list[Leaf]:
+    """Leaves with equal tests and cover fractions as one, their values summed."""
+    out: dict[tuple, Leaf] = {}
+    for leaf in leaves:
+        tests = tuple((f, tuple(sorted((cat, tuple(np.atleast_1d(split)), left) for cat, split, left in conds)))
+                      for f, conds in zip(leaf.features, leaf.conds))
+        key = (tests, tuple(leaf.z))
+        if key in out:
+            out[key] = replace(out[key], value=out[key].value + leaf.value)
+        else:
+            out[key] = leaf
+    return list(out.values())
+
+
+def pattern_values(z: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """(o_i - z_i) * sum_s c_s s! (k-1-s)! / k! per pattern (row of ``taken``) and feature.
+
+    The product of all factors (z_j + o_j t) is built once; a factor is divided out from the
+    top coefficient where o = 1 (|z| <= 1 keeps that stable) and by z alone where o = 0.
+    z = 0 = o has weight zero and is never divided by."""
+    n, k = taken.shape
+    o = taken.astype(float)
+    product = np.zeros((n, k + 1))
+    product[:, 0] = 1.0
+    for j in range(k):
+        shifted = product[:, :j + 1] * o[:, j:j + 1]
+        product *= z[j]
+        product[:, 1:j + 2] += shifted
+    weights, out = _shapley_weights(k), np.empty((n, k))
+    for i in range(k):
+        rest = np.zeros(n)
+        carry = np.zeros(n)
+        for s in range(k - 1, -1, -1):        # c_s of the product without feature i
+            carry = product[:, s + 1] - z[i] * carry
+            rest += weights[s] * carry
+        if z[i]:
+            rest = np.where(taken[:, i], rest, product[:, :k] @ weights / z[i])
+        out[:, i] = (o[:, i] - z[i]) * rest
+    return out
+
+
 def shap_matrix(X: np.ndarray, leaves: list[Leaf], n_features: int) -> np.ndarray:
     """Shapley values (rows x features) of the whole ensemble for a batch."""
     n = X.shape[0]
-    phi = np.zeros((n, n_features))
+    phi = np.zeros((n_features, n))
+    went_left: dict[tuple, np.ndarray] = {}
+
+    def left(f: int, is_cat: bool, split) -> np.ndarray:
+        key = (f, is_cat, tuple(split) if is_cat else split)
+        if key not in went_left:
+            went_left[key] = np.isin(X[:, f], split) if is_cat else X[:, f] <= split
+        return went_left[key]
+
     for leaf in leaves:
         k = len(leaf.features)
-        if k == 0:
+        if not k or not n:
             continue
-        o = np.ones((n, k), dtype=bool)
+        pattern = np.zeros(n, np.int64)
         for a, (f, conds) in enumerate(zip(leaf.features, leaf.conds)):
-            col = X[:, f]
+            took = np.ones(n, bool)
             for is_cat, split, go_left in conds:
-                left = np.isin(col, split) if is_cat else (col <= split)
-                o[:, a] &= left if go_left else ~left
-        of = o.astype(float)
-        wts = _shapley_weights(k)
-        for a in range(k):
-            poly = np.zeros((n, k))
-            poly[:, 0] = 1.0
-            deg = 0
-            for b in range(k):
-                if b == a:
-                    continue
-                new = poly * leaf.z[b]
-                new[:, 1:deg + 2] += poly[:, :deg + 1] * of[:, b:b + 1]
-                poly = new
-                deg += 1
-            phi[:, leaf.features[a]] += leaf.value * (of[:, a] - leaf.z[a]) * (poly @ wts)
-    return phi
+                took &= left(f, is_cat, split) if go_left else ~left(f, is_cat, split)
+            pattern |= took.astype(np.int64) << a
+        codes = np.arange(1 << k)
+        if 1 << k > n:                         # deep paths: only the patterns that occur
+            codes, pattern = np.unique(pattern, return_inverse=True)
+        table = leaf.value * pattern_values(leaf.z, (codes[:, None] >> np.arange(k) & 1).astype(bool))
+        for a, f in enumerate(leaf.features):
+            phi[f] += table[:, a][pattern]
+    return phi.T
 
 
 def read_tree_model(spark: SparkSession, gbt: GBTClassificationModel, folder: str | None = None):
@@ -136,32 +184,34 @@ def read_tree_model(spark: SparkSession, gbt: GBTClassificationModel, folder: st
     return nodes, weights
 
 
-def tree_contributions(model: PipelineModel, df: DataFrame, key: str = "msno",
-                       features_col: str = "features") -> DataFrame:
-    """X1 (trees): ``contributions`` array<struct<feature, pos, contribution>>
-    in the assembler's input order and ``base_value``, log-odds scale."""
+def with_tree_contributions(model: PipelineModel, df: DataFrame, features_col: str = "features") -> DataFrame:
+    """``df`` with X1 (trees): ``contributions`` array<struct<feature, pos, contribution>> in the
+    assembler's input order, ``base_value`` and the model's ``margin``, all log-odds; base
+    value and contributions add up to the margin.  Only the feature vectors go through
+    Python; the other columns stay where they are, and nothing is shuffled."""
     gbt = next(s for s in model.stages if isinstance(s, GBTClassificationModel))
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
     names = [c[:-5] if c.endswith("__idx") else c for c in assembler.getInputCols()]
     spark = df.sparkSession
     nodes, weights = read_tree_model(spark, gbt)
     leaves, base = leaves_from_nodes(nodes, weights, scale=2.0)
-    shared = spark.sparkContext.broadcast(leaves)
+    shared = spark.sparkContext.broadcast(merged_paths(leaves))
     m = len(names)
 
-    prepared = model.transform(df).select(F.col(key).cast("string").alias("_key"),
-                                          vector_to_array(F.col(features_col)).alias("_x"))
-
-    def run(batches):
-        lv = shared.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["_x"].to_numpy()).astype(float)
-            phi = shap_matrix(X, lv, m)
-            yield pd.DataFrame({"_key": pdf["_key"], "_phi": list(phi)})
+    @F.pandas_udf("array<double>")
+    def values(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(shap_matrix(np.stack(vectors.to_numpy()).astype(float), shared.value, m)))
 
-    out = prepared.mapInPandas(run, schema="_key string, _phi array<double>")
+    out = model.transform(df).withColumn("_phi", values(vector_to_array(F.col(features_col))))
     contrib = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(i).alias("pos"),
                                  F.col("_phi")[i].alias("contribution")) for i, n in enumerate(names)])
-    return out.select(F.col("_key").alias(key), contrib.alias("contributions"), F.lit(base).alias("base_value"))
+    return out.select(*df.columns, contrib.alias("contributions"), F.lit(base).alias("base_value"),
+                      (F.lit(2.0) * vector_to_array(F.col(gbt.getRawPredictionCol()))[1]).alias("margin"))
+
+
+def tree_contributions(model: PipelineModel, df: DataFrame, key: str = "msno", features_col: str = "features") -> DataFrame:
+    """The key, ``contributions``, ``base_value`` and ``margin`` of every row."""
+    return with_tree_contributions(model, df, features_col).select(F.col(key).cast("string").alias(key), "contributions",
+                                                                   "base_value", "margin")

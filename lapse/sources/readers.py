@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lapse.functions.dates import date_lit, parse_yyyymmdd
 from lapse.operators.dedup import dedup_same_day
-from lapse.sources import schemas
+from lapse.sources import commits, schemas
 
 
 def read_named_csv(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -92,9 +92,15 @@ def base_cohort(labels: DataFrame | None = None, spark: SparkSession | None = No
     return labels.select("msno").dropDuplicates(["msno"])
 
 
-def read_feature_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """IO7: Parquet feature table; selecting columns prunes the scan."""
-    df = spark.read.parquet(path)
+def read_feature_table(spark: SparkSession, path: str, columns: list[str] | None = None, reference_date=None) -> DataFrame:
+    """IO7: the feature table, committed (``writers.publish_feature_table``) or plain Parquet;
+    selecting columns prunes the scan, ``reference_date`` opens that snapshot alone."""
+    if commits.is_committed(spark, path):
+        df = commits.read(spark, path, [str(reference_date)] if reference_date is not None else None)
+    else:
+        df = spark.read.parquet(path)
+        if reference_date is not None and "reference_date" in df.columns:
+            df = df.filter(F.col("reference_date") == str(reference_date))
     return df.select(*columns) if columns else df
 
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lapse.operators import profile as pf
-from lapse.sources import writers
+from lapse.sources import commits, writers
 
 
 def test_monthly_counts_fill_empty_months(spark):
@@ -42,8 +42,12 @@ def test_sinks_roundtrip(spark, tmpdir_path):
     meta = json.loads(open(glob.glob(f"{tmpdir_path}/meta/part-*.json")[0]).readline())
     assert meta["reference_date"] == "2001-07-28" and meta["is_synthetic"] is True
     run = writers.log_run(spark, f"{tmpdir_path}/runs", "baseline", {"max_iter": 1000}, {"pr_auc": 0.5})
-    log = spark.read.parquet(f"{tmpdir_path}/runs").filter(F.col("run_id") == run)
+    log = commits.read(spark, f"{tmpdir_path}/runs", [run])
     assert log.count() == 2
+    writers.log_run(spark, f"{tmpdir_path}/runs", "other", {"a": 1})
+    writers.log_run(spark, f"{tmpdir_path}/runs", "baseline", {"max_iter": 7}, run_id=run)     # the same run again
+    rows = commits.read(spark, f"{tmpdir_path}/runs").collect()
+    assert sorted((r.run_name, r.name, r.value) for r in rows) == [("baseline", "max_iter", "7"), ("other", "a", "1")]
 
 
 def test_queries_stable_under_repartitioning(spark):
@@ -83,11 +87,17 @@ def test_threshold_and_curve_sinks(spark, tmpdir_path):
                                     (F.col("id") % 3 == 0).cast("int").alias("is_churn"))
     writers.write_thresholds(ev.tier_thresholds(df), f"{tmpdir_path}/thr")
     assert spark.read.json(f"{tmpdir_path}/thr").count() == 3
-    writers.write_curves({"roc": ev.roc_curve(df), "pr": ev.pr_curve(df),
-                          "calibration": ev.calibration_curve(df)}, f"{tmpdir_path}/curves")
+    writers.write_curves({"roc": (ev.roc_curve(df).select("tpr", "fpr", "idx", "j"), "j", "fpr", "tpr"),
+                          "pr": (ev.pr_curve(df), "j", "precision", "recall"),
+                          "calibration": (ev.calibration_curve(df), "bin", "prob_pred", "prob_true")}, f"{tmpdir_path}/curves")
     back = spark.read.parquet(f"{tmpdir_path}/curves")
     counts = {r["curve"]: r["count"] for r in back.groupBy("curve").count().collect()}
     assert counts["roc"] == 100 and counts["pr"] == 100 and counts["calibration"] == 10
+    want = {(r.j, r.fpr, r.tpr) for r in ev.roc_curve(df).collect()}
+    assert {(r.j, r.x, r.y) for r in back.filter("curve = 'roc'").collect()} == want      # by name, whatever the order
+    writers.write_confusion(ev.confusion(df, 0.245), 0.245, f"{tmpdir_path}/cm")
+    cm = spark.read.json(f"{tmpdir_path}/cm").first()
+    assert cm.threshold == 0.245 and cm.tn + cm.fp + cm.fn + cm.tp == 200 and cm.tp + cm.fn == 66
 
 
 def test_date_text_helpers(spark):

@@ -72,3 +72,43 @@ def test_matches_brute_force_and_adds_up(spark):
     margin = model.transform(df).select("msno", (2.0 * vector_to_array("rawPrediction")[1]).alias("m"))
     diff = total.join(margin, "msno").select(F.max(F.abs(F.col("s") - F.col("m")))).first()[0]
     assert diff < 1e-9
+
+
+def _slow_matrix(X, leaves, n_features):
+    """The definition: per leaf and feature the product over the other features, row by row."""
+    phi = np.zeros((len(X), n_features))
+    for leaf in leaves:
+        k = len(leaf.features)
+        for r, x in enumerate(X):
+            o = [all((x[f] in set(np.atleast_1d(s)) if cat else x[f] <= s) == left for cat, s, left in conds)
+                 for f, conds in zip(leaf.features, leaf.conds)]
+            for i in range(k):
+                poly = [1.0]
+                for j in range(k):
+                    if j != i:
+                        poly = [a + b for a, b in zip([c * leaf.z[j] for c in poly] + [0.0], [0.0] + [c * o[j] for c in poly])]
+                weight = sum(c * math.factorial(s) * math.factorial(k - 1 - s) / math.factorial(k) for s, c in enumerate(poly))
+                phi[r, leaf.features[i]] += leaf.value * (o[i] - leaf.z[i]) * weight
+    return phi
+
+
+def test_divided_products_equal_the_definition():
+    """Random paths of up to 11 features, repeated features, zero and full cover fractions,
+    categories, blocks shorter and longer than the number of patterns."""
+    rng = np.random.default_rng(5)
+    leaves = []
+    for _ in range(60):
+        k = int(rng.integers(1, 12))
+        features = rng.permutation(12)[:k].tolist()
+        z = rng.choice([0.0, 1.0, *rng.random(6)], size=k)
+        conds = [[(False, float(np.round(rng.normal(), 1)), bool(rng.integers(2))) for _ in range(rng.integers(1, 3))]
+                 if f % 4 else [(True, np.array([0.0, 2.0]), bool(rng.integers(2)))] for f in features]
+        leaves.append(ts.Leaf(float(rng.normal()), features, z, conds))
+    leaves += [leaves[0], leaves[3]]
+    X = np.round(rng.normal(size=(90, 12)), 1)
+    X[:, ::4] = rng.integers(0, 4, size=X[:, ::4].shape)
+    want = _slow_matrix(X, leaves, 12)
+    for rows in (X, X[:3], X[:0]):
+        assert np.allclose(ts.shap_matrix(rows, leaves, 12), want[:len(rows)], atol=1e-9)
+        assert np.allclose(ts.shap_matrix(rows, ts.merged_paths(leaves), 12), want[:len(rows)], atol=1e-9)
+    assert len(ts.merged_paths(leaves)) == 60
