@@ -56,9 +56,11 @@ def _pool_ranges(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionByRange(parts, "low").sortWithinPartitions("low").mapInPandas(run, BLOCKS)
 
 
-def isotonic_blocks(df: DataFrame, score: str = "churn_probability", label: str = "is_churn", parts: int = 256) -> DataFrame:
+def isotonic_blocks(df: DataFrame, score: str = "churn_probability", label: str = "is_churn", parts: int | None = None) -> DataFrame:
     """Pooled blocks (low, high, n, pos, rate) of the increasing fit, in score order within the
-    one partition that the last merge leaves; rows without a score or label take no part."""
+    one partition that the last merge leaves; rows without a score or label take no part.
+    ``parts`` ranges are pooled at first, by default as many as the session's shuffles have."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = collapse_scores(df, score, label).select(F.col("score").alias("low"), F.col("score").alias("high"), "n", "pos")
     while True:
         rows = _pool_ranges(rows, parts).drop("part")
@@ -78,7 +80,6 @@ def isotonic_model(blocks: DataFrame, features_col: str = "_raw", prediction_col
 
 
 def calibrated_scores(df: DataFrame, score: str = "churn_probability", label: str = "is_churn") -> DataFrame:
-    """(score, n, pos, calibrated) per distinct score: its block's rate, by an equi-free lookup of
-    the block whose range holds it (the model's own interpolation gives the same at its ends)."""
+    """(score, n, pos, calibrated) per distinct score: the fitted function at that score."""
     model = isotonic_model(isotonic_blocks(df, score, label), "score", "calibrated")
     return model.transform(collapse_scores(df, score, label)).select("score", "n", "pos", "calibrated")

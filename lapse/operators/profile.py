@@ -7,7 +7,7 @@ join of small aggregates; wide per-column results are unpivoted to long
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,20 +55,44 @@ def monthly_counts(df: DataFrame, date_col: str) -> DataFrame:
               .select("month", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
+MASK_BITS = 62
+
+
+def memberships(tables: dict[str, DataFrame], key: str = "msno") -> DataFrame:
+    """Per distinct id a bit mask of the tables that hold it, ``in_0``, ``in_1``, ... with
+    ``MASK_BITS`` tables each.  Every table is read once, as one side of a tagged union, and
+    repeated ids (a hot key) collapse map-side; a null id is in no table."""
+    words = -(-len(tables) // MASK_BITS)
+    union = None
+    for i, df in enumerate(tables.values()):
+        bits = [F.lit(1 << i % MASK_BITS if w == i // MASK_BITS else 0).cast("long").alias(f"in_{w}") for w in range(words)]
+        part = df.select(F.col(key).alias("id"), *bits).where("id is not null")
+        union = part if union is None else union.unionByName(part)
+    return union.groupBy("id").agg(*(F.bit_or(f"in_{w}").alias(f"in_{w}") for w in range(words)))
+
+
+def member_of(tables: dict[str, DataFrame], name: str) -> Column:
+    """Whether a row of :func:`memberships` is in the named table."""
+    i = list(tables).index(name)
+    return F.col(f"in_{i // MASK_BITS}").bitwiseAND(F.lit(1 << i % MASK_BITS).cast("long")) != 0
+
+
+def set_overlaps(tables: dict[str, DataFrame], key: str = "msno") -> DataFrame:
+    """(tables, n): how many ids are in exactly these tables ('a+b'), for every combination that
+    occurs; all intersections, unions and differences are sums of these rows."""
+    names = F.array_compact(F.array(*(F.when(member_of(tables, n), F.lit(n)) for n in tables)))
+    return memberships(tables, key).groupBy(F.array_join(names, "+").alias("tables")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def key_coverage(ids: DataFrame, others: dict[str, DataFrame], key: str = "msno") -> DataFrame:
-    """A20 (S2, S4): percent of the distinct ids found in each other table."""
-    distinct_ids = ids.select(key).dropDuplicates([key])
-    total = distinct_ids.agg(F.count(F.lit(1))).scalar()
-    parts = []
-    for name, other in others.items():
-        # distinct keys first: duplicates (a hot key) collapse map-side before the shuffle
-        hit = distinct_ids.join(other.select(key).distinct(), key, "left_semi")
-        parts.append(hit.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("found"))
-                        .select("table", "found", (F.col("found") / total * 100).alias("coverage_pct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A20 (S2, S4): percent of the distinct ids found in each other table, from one aggregate."""
+    tables = {"": ids} | others
+    asked = F.when(member_of(tables, ""), F.lit(1))
+    wide = memberships(tables, key).agg(F.count(asked).alias("_n"), *(
+        F.count(F.when(member_of(tables, n), asked)).alias(f"_{i}") for i, n in enumerate(others)))
+    rows = F.array(*(F.struct(F.lit(n).alias("table"), F.col(f"_{i}").alias("found"),
+                              (F.try_divide(F.col(f"_{i}"), F.col("_n")) * 100).alias("coverage_pct")) for i, n in enumerate(others)))
+    return wide.select(F.inline(rows))
 
 
 def distinct_ids(df: DataFrame, key: str = "msno") -> DataFrame:

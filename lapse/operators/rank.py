@@ -67,34 +67,27 @@ def diversified_top_n(df: DataFrame, n: int = 10, t: RiskThresholds = RiskThresh
     """K3: best-EV customers per stratum (High, Medium, new Low), then fillers.
 
     Strata: p >= high (quota 4); medium <= p < high (3); p < medium with tenure
-    below ``low_new_max_tenure_days`` (3).  If fewer than ``n`` were picked, the
+    below ``low_new_max_tenure_days`` (3); the rest (0).  If fewer than ``n`` were picked, the
     best remaining customers fill up to ``n``; if the quotas exceed ``n`` the
     list is NOT truncated.  Result ordered by EV.
+
+    One read: the picks and at most ``n`` fillers of a stratum are among its first quota + n
+    rows, so a top-k per stratum (cut in every task before the shuffle) leaves at most
+    4 * (max quota + n) rows, and both choices are made on those.
     """
     if n < 1 or n > max_n:
         raise ValueError(f"top_n must be within 1..{max_n}")
     p, tenure = F.col("churn_probability"), F.col("days_since_registration")
+    quotas = (q.high, q.medium, q.low_new, 0)
     stratum = (F.when(p >= F.lit(t.high), F.lit(0))
                 .when(p >= F.lit(t.medium), F.lit(1))
-                .when(tenure < F.lit(q.low_new_max_tenure_days), F.lit(2)))
-    quota = F.when(F.col("_stratum") == 0, F.lit(q.high)).when(F.col("_stratum") == 1, F.lit(q.medium)) \
-             .otherwise(F.lit(q.low_new))
-    w = Window.partitionBy("_stratum").orderBy(*_ev_order())
-    # The literal bound lets Spark plan a partial WindowGroupLimit before the
-    # shuffle: each map task sends at most max(quota) rows per stratum, so a
-    # stratum holding a third of the table never lands in one task.
-    cap = max(q.high, q.medium, q.low_new)
-    picked = (df.withColumn("_stratum", stratum).filter(F.col("_stratum").isNotNull())
-                .withColumn("_rn", F.row_number().over(w))
-                .filter((F.col("_rn") <= F.lit(cap)) & (F.col("_rn") <= quota))
-                .drop("_stratum", "_rn"))
-    # Fillers: the best n + sum(quotas) customers by EV (a bounded top-k heap,
-    # no shuffle of the table) contain at least n not already picked; drop the
-    # picked ones (two small sets) and keep the first n - |picked|.
-    total_quota = q.high + q.medium + q.low_new
-    missing = F.lit(n) - picked.agg(F.count(F.lit(1))).scalar()
-    top = df.orderBy(*_ev_order()).limit(n + total_quota)
-    candidates = top.join(picked.select("msno"), "msno", "left_anti")
-    fillers = (candidates.withColumn("_rn", F.row_number().over(Window.orderBy(*_ev_order())))
-                         .filter(F.col("_rn") <= missing).drop("_rn"))
-    return picked.unionByName(fillers).orderBy(*_ev_order())
+                .when(tenure < F.lit(q.low_new_max_tenure_days), F.lit(2)).otherwise(F.lit(3)))
+    first = Window.partitionBy("_stratum").orderBy(*_ev_order())
+    few = (df.withColumn("_stratum", stratum).withColumn("_rn", F.row_number().over(first))
+             .filter(F.col("_rn") <= F.lit(max(quotas) + n)))
+    picked = F.col("_rn") <= F.element_at(F.array(*map(F.lit, quotas)), F.col("_stratum") + 1)
+    few = few.withColumn("_picked", picked)
+    chosen = Window.orderBy(F.col("_picked").desc(), *_ev_order())       # over the few rows left
+    few = few.withColumns({"_no": F.row_number().over(chosen)})
+    return (few.filter(F.col("_picked") | (F.col("_no") <= F.lit(n)))
+               .drop("_stratum", "_rn", "_picked", "_no").orderBy(*_ev_order()))

@@ -83,14 +83,24 @@ def batch_lookup(requests: DataFrame, scored: DataFrame) -> DataFrame:
 def usage_history(logs: DataFrame, msno: str | None = None) -> DataFrame:
     """K5: daily usage rows with ``day_no`` (1, 2, ... in date order per customer),
     ``yyyy-MM-dd`` text, secs double, unq int.  With ``msno`` one customer; without, every
-    customer, hashed by customer and sorted within partitions by date -- no global sort,
-    and never collected into one row per customer."""
+    customer, never collected into one row per customer.
+
+    Rows are numbered inside each customer's month, and the number of rows in the months
+    before is added: a mergeable count per customer and month, prefixed over months.  A
+    customer with a third of all rows is dealt out by months, and the join that adds
+    the prefixes is one that Spark can split."""
     if msno is not None:
         logs = logs.filter(F.col("msno") == F.lit(msno))
-    by_day = Window.partitionBy("msno").orderBy(F.col("log_date").asc_nulls_first(), "total_secs", "num_unq")
-    return (logs.select("msno", "log_date", F.col("total_secs").cast("double").alias("total_secs"),
-                        F.col("num_unq").cast("int").alias("num_unq"))
-                .withColumn("day_no", F.row_number().over(by_day))
+    undated = F.lit("0001-01-01").cast("date")
+    rows = logs.select("msno", "log_date", F.col("total_secs").cast("double").alias("total_secs"),
+                       F.col("num_unq").cast("int").alias("num_unq"),
+                       F.coalesce(F.trunc("log_date", "month"), undated).alias("_month"))
+    months = Window.partitionBy("msno").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    before = (rows.groupBy("msno", "_month").agg(F.count(F.lit(1)).alias("_n"))
+              .select(F.col("msno").alias("_id"), F.col("_month").alias("_of"), F.coalesce(F.sum("_n").over(months), F.lit(0)).alias("_before")))
+    by_day = Window.partitionBy("msno", "_month").orderBy(F.col("log_date").asc_nulls_first(), "total_secs", "num_unq")
+    return (rows.join(before, F.col("msno").eqNullSafe(F.col("_id")) & (F.col("_month") == F.col("_of")))
+                .withColumn("day_no", (F.row_number().over(by_day) + F.col("_before")).cast("int"))
                 .select("msno", "day_no", F.date_format("log_date", "yyyy-MM-dd").alias("date"),
                         "total_secs", "num_unq"))
 

@@ -9,9 +9,10 @@ dates as ISO text).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +31,13 @@ from lapse.operators import evaluate as ev
 from lapse.operators import profile as pf
 from lapse.operators import attribute as at
 from lapse.operators import ml
-from lapse.session import materialize
+from lapse.operators import asof, idsearch
+from lapse.operators import isotonic as iso
+from lapse.operators import sketches as sk
+from lapse.operators import snapshots as sn
+from lapse.plans.jobs import model_actions
+from lapse.session import materialize, shared_folder
+from lapse.sources import readers, serving
 
 S = Settings()
 REF = tv.REFERENCE_DATE
@@ -71,7 +78,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FB5 over the test views: base = labelled customers, ref = REF."""
     train = tv.train(spark, sf_dir)   # one row per customer by construction (a groupBy output)
     return fb.build_customer_feature_table(
-        tv.members(spark, sf_dir), tv.transactions(spark, sf_dir), tv.user_logs(spark, sf_dir),
+        tv.members(spark, sf_dir), tv.transactions(spark, sf_dir), tv.user_logs(spark, sf_dir, until=REF),
         train, REF, S.features)
 
 
@@ -85,13 +92,13 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("log_aggregate")
 def q_log_aggregate(spark, sf_dir):
-    return for_oracle(lg.aggregate_logs(tv.user_logs(spark, sf_dir), REF, S.features))
+    return for_oracle(lg.aggregate_logs(tv.user_logs(spark, sf_dir, until=REF), REF, S.features))
 
 
 @register("engagement_features")
 def q_engagement_features(spark, sf_dir):
     base = tv.train(spark, sf_dir).select("msno").dropDuplicates(["msno"])
-    agg = lg.aggregate_logs(tv.user_logs(spark, sf_dir), REF, S.features)
+    agg = lg.aggregate_logs(tv.user_logs(spark, sf_dir, until=REF), REF, S.features)
     return for_oracle(fb.build_engagement_features(agg, base, S.features))
 
 
@@ -519,7 +526,7 @@ def _fit_calibrated_trees(spark, sf_dir):
 
 def _fit_calibrated_trees_now(spark, sf_dir):
     data = materialize(split_table(spark, sf_dir))
-    train = materialize(ml.with_class_weights(data.filter(F.col("split") == "train")))
+    train = materialize(ml.sized(ml.with_class_weights(data.filter(F.col("split") == "train"))))
     params = ml.with_bins(ml.TreeParams(), train)
     ens = ml.fit_calibrated(train, lambda: ml.tree_pipeline(params), folds=3)
     return ens, data
@@ -588,3 +595,205 @@ def q_global_drivers(spark, sf_dir):
 @register("model_input")
 def q_model_input(spark, sf_dir):
     return for_oracle(ml.model_input(scored_table(spark, sf_dir), keep=("msno",)))
+
+
+# ------------------------------------------ many dates, states, layouts
+
+# Twelve month ends, and twelve reference dates around the days that hold logs.
+CUTOFFS = ("2000-01-31", "2000-02-29", "2000-03-31", "2000-04-30", "2000-05-31", "2000-06-30",
+           "2000-07-31", "2000-08-31", "2000-09-30", "2000-10-31", "2000-11-30", "2000-12-31")
+SNAPSHOTS = ("2001-07-01", "2001-07-05", "2001-07-10", "2001-07-15", "2001-07-20", "2001-07-25",
+             "2001-07-28", "2001-07-31", "2001-08-10", "2001-08-31", "2001-09-15", "2001-12-31")
+
+
+@register("churn_labels_monthly")
+def q_churn_labels_monthly(spark, sf_dir):
+    return for_oracle(lb.label_churn_at_all(tv.raw_transactions(spark, sf_dir), list(CUTOFFS), tv.LABEL_GAP_DAYS, seq_col="seq"))
+
+
+@register("churn_labels_asof")
+def q_churn_labels_asof(spark, sf_dir):
+    """Each member's own cutoffs: one to five years after registration."""
+    years = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("y")
+    cutoffs = tv.members(spark, sf_dir).select("msno", "registration_init_time", years).select(
+        "msno", F.date_add("registration_init_time", F.col("y") * 365).alias("cutoff_date"))
+    return for_oracle(lb.label_churn_asof(tv.raw_transactions(spark, sf_dir), cutoffs, tv.LABEL_GAP_DAYS, seq_col="seq"))
+
+
+@register("price_as_of_log")
+def q_price_as_of_log(spark, sf_dir):
+    """Each log day with the plan of the customer's latest transaction day before or on it."""
+    tx = tv.raw_transactions(spark, sf_dir)
+    out = asof.asof_join(tv.user_logs(spark, sf_dir).select("msno", "log_date", "total_secs"), tx, "msno", "log_date", "transaction_date",
+                         ["plan_list_price", "payment_plan_days", "transaction_date"], [F.col("is_cancel"), F.col("plan_list_price"), F.col("seq")])
+    return for_oracle(out)
+
+
+@register("log_snapshots")
+def q_log_snapshots(spark, sf_dir):
+    return for_oracle(sn.aggregate_snapshots(sn.daily_states(tv.user_logs(spark, sf_dir)), list(SNAPSHOTS), S.features))
+
+
+@register("engagement_snapshots")
+def q_engagement_snapshots(spark, sf_dir):
+    base = tv.train(spark, sf_dir).select("msno").dropDuplicates(["msno"])
+    return for_oracle(sn.engagement_snapshots(sn.daily_states(tv.user_logs(spark, sf_dir)), base, list(SNAPSHOTS), S.features))
+
+
+SKETCHED = ("msno", "payment_method_id", "payment_plan_days", "plan_list_price", "seq")
+
+
+def _monthly_sketches(spark, sf_dir):
+    """Sketches per month of the transactions, merged to those of the whole table."""
+    tx = tv.raw_transactions(spark, sf_dir).withColumn("month", F.trunc("transaction_date", "month"))
+    return tx, sk.merged_states(sk.sketch_states(tx, list(SKETCHED), ["month"]))
+
+
+@register("sketch_distinct_counts")
+def q_sketch_distinct_counts(spark, sf_dir):
+    """Merged estimates next to exact counts: whether each is within its bound."""
+    tx, merged = _monthly_sketches(spark, sf_dir)
+    exact = tx.agg(*(F.count_distinct(c).alias(c) for c in SKETCHED)).unpivot([], list(SKETCHED), "column", "exact")
+    found = sk.distinct_counts(merged).join(exact, "column")
+    within = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * sk.DISTINCT_ERROR)
+    return for_oracle(found.select("column", "n", "n_null", F.col("exact").alias("n_distinct"), within.alias("within_bound")))
+
+
+@register("sketch_quantiles")
+def q_sketch_quantiles(spark, sf_dir):
+    """Merged quantiles, each checked against the exact rank of its value."""
+    tx, merged = _monthly_sketches(spark, sf_dir)
+    found = sk.quantiles(merged, [0.05, 0.25, 0.5, 0.75, 0.95])
+    return for_oracle(sk.rank_errors(tx.select(*SKETCHED), found).select(
+        "column", "prob", (F.col("error") <= sk.RANK_ERROR).alias("within_bound")))
+
+
+@register("id_set_overlaps")
+def q_id_set_overlaps(spark, sf_dir):
+    return pf.set_overlaps({"members": tv.members(spark, sf_dir), "transactions": tv.raw_transactions(spark, sf_dir),
+                            "user_logs": tv.user_logs(spark, sf_dir), "train": tv.train(spark, sf_dir)})
+
+
+def _work(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{what}_{uuid.uuid4().hex}"
+
+
+@register("batch_lookup_bucketed")
+def q_batch_lookup_bucketed(spark, sf_dir):
+    """J11 on the bucketed layout: the requests move, the scored table doesn't."""
+    path = _work(spark, "serving")
+    table = serving.write_serving_table(scored_table(spark, sf_dir), path.rsplit("/", 1)[1], path, buckets=8)
+    return for_oracle(sv.batch_lookup(member_requests(spark, sf_dir), table))
+
+
+@register("search_ids_indexed")
+def q_search_ids_indexed(spark, sf_dir):
+    """P9 for every distinct tail of an id (from its second character, four at most) and every
+    whole id, through the posting table."""
+    ids, path = tv.members(spark, sf_dir).select("msno"), _work(spark, "postings")
+    idsearch.write_postings(ids, path)
+    asked = ids.select(F.substring("msno", 2, 4).alias("query")).union(ids.select("msno")).distinct()
+    found = idsearch.search(asked, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), 10)
+    return found.drop("candidates")
+
+
+@register("isotonic_calibration")
+def q_isotonic_calibration(spark, sf_dir):
+    return for_oracle(iso.calibrated_scores(scored_table(spark, sf_dir)))
+
+
+# Sources as text, as the CSV readers give them: dates as yyyyMMdd, some of them broken.
+
+def _date_text(c, broken):
+    return F.when(broken, F.concat(F.date_format(c, "yyyyMM"), F.lit("3x"))).otherwise(F.date_format(c, "yyyyMMdd"))
+
+
+@register("members_parsed")
+def q_members_parsed(spark, sf_dir):
+    m = tv.members(spark, sf_dir)
+    raw = m.withColumn("registration_init_time", _date_text("registration_init_time", F.col("msno").cast("long") % 7 == 0))
+    return for_oracle(readers.parse_members(raw))
+
+
+@register("transactions_parsed")
+def q_transactions_parsed(spark, sf_dir):
+    t = tv.raw_transactions(spark, sf_dir)
+    raw = t.withColumns({"transaction_date": _date_text("transaction_date", F.col("seq") % 11 == 0),
+                         "membership_expire_date": _date_text("membership_expire_date", F.col("seq") % 13 == 0)})
+    return for_oracle(readers.prepare_transactions(readers.parse_transactions(raw), REF, seq_col="seq"))
+
+
+@register("user_logs_parsed")
+def q_user_logs_parsed(spark, sf_dir):
+    u = tv.user_logs(spark, sf_dir)
+    raw = u.withColumn("date", _date_text("log_date", F.col("msno").cast("long") % 17 == 0)).drop("log_date")
+    return for_oracle(readers.parse_user_logs(raw))
+
+
+# Fitted models, checked row by row: what must hold whatever the fit found.
+
+ACTION_RULE = """CASE risk_tier WHEN 'Low' THEN 'No action needed' WHEN 'Medium' THEN 'Send engagement email' ELSE
+  coalesce(try_element_at(filter(transform(filter(top_drivers, d -> d LIKE '% (High)'), d -> CASE
+    WHEN substring(d, 1, length(d) - 7) IN ('payment_method_id', 'is_cancel', 'days_since_last_transaction') THEN 'Offer alternative payment method'
+    WHEN substring(d, 1, length(d) - 7) IN ('days_until_expire', 'is_auto_renew') THEN 'Proactive renewal outreach'
+    WHEN substring(d, 1, length(d) - 7) IN ('plan_list_price', 'actual_amount_paid', 'payment_plan_days') THEN 'Offer discount' END),
+    a -> a IS NOT NULL), 1), 'Send targeted retention offer') END"""
+
+
+@register("linear_score_checks")
+def q_linear_score_checks(spark, sf_dir):
+    """Held-out rows: the score is a probability, and the sigmoid of base + contributions."""
+    model, data, train = _fit_linear(spark, sf_dir)
+    test = data.filter(F.col("split") == "test")
+    attributed = at.linear_contributions(model, test, train).select("msno", "contributions", "base_value")
+    both = ml.score(model, test).join(attributed, "msno")
+    margin = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["contribution"])
+    p = F.col("churn_probability")
+    return both.select("msno", p.between(0, 1).alias("in_range"), (F.abs(p - 1 / (1 + F.exp(-margin))) < 1e-9).alias("is_sigmoid"))
+
+
+@register("model_action_checks")
+def q_model_action_checks(spark, sf_dir):
+    """Every customer, from the fitted trees: score in range, base + contributions = margin, three
+    drivers, and the action that the rule (spelled out in SQL) gives for them."""
+    ens, data = _fit_calibrated_trees(spark, sf_dir)
+    scored = model_actions(data, ens, S.business, S.thresholds, S.serve).withColumn("top_drivers", at.driver_strings(F.col("drivers")))
+    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["contribution"])
+    return scored.select("msno", F.col("churn_probability").between(0, 1).alias("in_range"),
+                         (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"), F.size("top_drivers").alias("n_drivers"),
+                         (F.col("suggested_action") == F.expr(ACTION_RULE)).alias("follows_rule"))
+
+
+@register("calibration_checks")
+def q_calibration_checks(spark, sf_dir):
+    """Each fold's calibration: its scores in order never fall, and lie in [0, 1]."""
+    ens, data = _fit_calibrated_trees(spark, sf_dir)
+    out = None
+    for k, (base, calibration) in enumerate(ens.members):
+        raw = ml.positive_probability(base.transform(data), "_raw")
+        pairs = calibration.setFeaturesCol("_raw").setPredictionCol("_cal").transform(raw).select("_raw", "_cal")
+        per = pairs.groupBy(F.round("_raw", 4).alias("r")).agg(F.min("_cal").alias("low"), F.max("_cal").alias("high"))
+        steps = per.groupBy(F.floor(F.col("r") * 64).alias("b")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        line = Window.orderBy("b")                                   # at most 65 rows
+        falls = F.coalesce(F.lag("high").over(line) > F.col("low") + 1e-12, F.lit(False))
+        checked = steps.withColumn("falls", falls).agg((~F.bool_or("falls")).alias("never_falls"),
+                                                       F.bool_and((F.col("low") >= 0) & (F.col("high") <= 1)).alias("in_range"))
+        part = checked.select(F.lit(k).alias("fold"), "never_falls", "in_range")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# The small grid on which the parameter search is registered.
+SEARCH_TRIALS, SEARCH_FOLDS, SEARCH_ROUNDS = 2, 2, 5
+
+
+@register("tree_search_trials")
+def q_tree_search_trials(spark, sf_dir):
+    """M7 on a small grid: each trial's mean average precision in range, one trial best."""
+    _, data = _fit_calibrated_trees(spark, sf_dir)
+    train = materialize(ml.sized(ml.with_class_weights(data.filter(F.col("split") == "train")).withColumn("fold", F.col("fold") % SEARCH_FOLDS)))
+    best, trials = ml.search_tree_params(train, SEARCH_TRIALS, SEARCH_FOLDS, ml.TreeParams(max_iter=SEARCH_ROUNDS, max_depth=3))
+    top = max(s for _, s in trials)
+    rows = [(i, 0.0 <= s <= 1.0, p == best, s == top) for i, (p, s) in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial int, in_range boolean, is_best boolean, is_top boolean").select(
+        "trial", "in_range", (F.col("is_best") == F.col("is_top")).alias("best_is_top"))

@@ -725,3 +725,128 @@ def _model_input_sql() -> str:
 
 
 ORACLES["model_input"] = _model_input_sql()
+
+
+# ------------------------------------------ many dates, states, layouts
+# Dates, gaps and limits are written out here, independent of the Spark side's settings.
+
+_LABEL_FINAL = """
+SELECT msno, strftime(cutoff_date, '%Y-%m-%d') AS cutoff_date, strftime(last_expire_date, '%Y-%m-%d') AS last_expire_date,
+       strftime(next_renewal_date, '%Y-%m-%d') AS next_renewal_date,
+       CAST(date_diff('day', last_expire_date, next_renewal_date) AS INTEGER) AS renewal_gap_days,
+       CAST(next_renewal_date IS NULL OR last_expire_date IS NULL
+            OR date_diff('day', last_expire_date, next_renewal_date) >= 270 AS INTEGER) AS is_churn
+FROM matched"""
+_ASOF_LABELS = """,
+expiry AS (SELECT a.msno, a.cutoff_date, d.membership_expire_date AS last_expire_date
+           FROM asked a ASOF JOIN dedup_all d ON a.msno = d.msno AND a.cutoff_date >= d.transaction_date),
+paid AS (SELECT msno, transaction_date AS next_renewal_date FROM raw_transactions WHERE is_cancel = 0),
+matched AS (SELECT e.*, p.next_renewal_date
+            FROM expiry e ASOF LEFT JOIN paid p ON e.msno = p.msno AND e.cutoff_date < p.next_renewal_date)"""
+
+ORACLES["churn_labels_monthly"] = with_prefix(""",
+ends AS (SELECT CAST(last_day(d) AS DATE) AS cutoff_date FROM generate_series(DATE '2000-01-01', DATE '2000-12-01', INTERVAL 1 MONTH) t(d)),
+asked AS (SELECT msno, cutoff_date FROM (SELECT DISTINCT msno FROM raw_transactions) CROSS JOIN ends)""" + _ASOF_LABELS, _LABEL_FINAL)
+
+ORACLES["churn_labels_asof"] = with_prefix(""",
+asked AS (SELECT DISTINCT msno, CAST(registration_init_time + CAST(365 * y AS INTEGER) AS DATE) AS cutoff_date
+          FROM members, range(1, 6) t(y))""" + _ASOF_LABELS, _LABEL_FINAL)
+
+ORACLES["price_as_of_log"] = with_prefix("", """
+SELECT u.msno, strftime(u.log_date, '%Y-%m-%d') AS log_date, round(u.total_secs, 6) AS total_secs, d.plan_list_price,
+       d.payment_plan_days, strftime(d.transaction_date, '%Y-%m-%d') AS transaction_date
+FROM user_logs u ASOF LEFT JOIN dedup_all d ON u.msno = d.msno AND u.log_date >= d.transaction_date""")
+
+_SNAPSHOT_CTE = """,
+refs AS (SELECT CAST(unnest(['2001-07-01', '2001-07-05', '2001-07-10', '2001-07-15', '2001-07-20', '2001-07-25', '2001-07-28',
+         '2001-07-31', '2001-08-10', '2001-08-31', '2001-09-15', '2001-12-31']) AS DATE) AS reference_date),
+aged AS (SELECT msno, reference_date, date_diff('day', log_date, reference_date) AS age, num_100, num_unq, total_secs
+         FROM user_logs, refs WHERE log_date <= reference_date),
+logs_agg AS (
+  SELECT msno, reference_date, min(age) AS days_since_last_log,
+    count(*) FILTER (WHERE age <= 7) AS active_days_7, avg(num_100) FILTER (WHERE age <= 7) AS avg_songs_100_7,
+    avg(total_secs) FILTER (WHERE age <= 7) AS avg_secs_7, avg(num_unq) FILTER (WHERE age <= 7) AS avg_unq_7,
+    count(*) FILTER (WHERE age <= 14) AS active_days_14, avg(num_100) FILTER (WHERE age <= 14) AS avg_songs_100_14,
+    avg(total_secs) FILTER (WHERE age <= 14) AS avg_secs_14,
+    count(*) FILTER (WHERE age <= 30) AS active_days_30, avg(num_100) FILTER (WHERE age <= 30) AS avg_songs_100_30,
+    avg(total_secs) FILTER (WHERE age <= 30) AS avg_secs_30,
+    avg(total_secs) FILTER (WHERE age <= 14) AS recent_avg_secs, avg(num_100) FILTER (WHERE age <= 14) AS recent_avg_songs,
+    avg(total_secs) FILTER (WHERE age BETWEEN 15 AND 28) AS prior_avg_secs, avg(num_100) FILTER (WHERE age BETWEEN 15 AND 28) AS prior_avg_songs
+  FROM aged GROUP BY msno, reference_date)"""
+
+ORACLES["log_snapshots"] = with_prefix(_SNAPSHOT_CTE, f"""
+SELECT msno, strftime(reference_date, '%Y-%m-%d') AS reference_date, CAST(days_since_last_log AS INTEGER) AS days_since_last_log,
+  {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in engagement_names() if c.startswith("active_days_"))},
+  {_round_doubles(_LOG_DOUBLES)}
+FROM logs_agg""")
+
+ORACLES["engagement_snapshots"] = with_prefix(_SNAPSHOT_CTE + f""",
+asked AS (SELECT msno, reference_date FROM (SELECT DISTINCT msno FROM train) CROSS JOIN refs),
+eng AS (SELECT a.msno, a.reference_date, {", ".join(engagement_select("la"))}
+        FROM asked a LEFT JOIN logs_agg la ON a.msno = la.msno AND a.reference_date = la.reference_date),
+eng2 AS (SELECT *, {TREND} FROM eng)""", f"""
+SELECT msno, strftime(reference_date, '%Y-%m-%d') AS reference_date, {_eng_final()},
+       {r6("engagement_trend_secs_ratio")} AS engagement_trend_secs_ratio, {r6("engagement_trend_songs_ratio")} AS engagement_trend_songs_ratio
+FROM eng2""")
+
+_SKETCHED = ("msno", "payment_method_id", "payment_plan_days", "plan_list_price", "seq")
+ORACLES["sketch_distinct_counts"] = with_prefix("", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, "
+    f"TRUE AS within_bound FROM raw_transactions" for c in _SKETCHED))
+ORACLES["sketch_quantiles"] = with_prefix("", """
+SELECT c AS "column", p AS prob, TRUE AS within_bound
+FROM (SELECT unnest(['payment_method_id', 'payment_plan_days', 'plan_list_price', 'seq']) AS c),
+     (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS p)""")
+
+ORACLES["id_set_overlaps"] = with_prefix(""",
+ids AS (SELECT msno, 1 AS t, 'members' AS name FROM members UNION SELECT msno, 2, 'transactions' FROM raw_transactions
+        UNION SELECT msno, 3, 'user_logs' FROM user_logs UNION SELECT msno, 4, 'train' FROM train)""", """
+SELECT tables, count(*) AS n FROM (SELECT string_agg(name, '+' ORDER BY t) AS tables FROM ids WHERE msno IS NOT NULL GROUP BY msno)
+GROUP BY tables""")
+
+ORACLES["batch_lookup_bucketed"] = ORACLES["batch_lookup"]
+
+ORACLES["search_ids_indexed"] = with_prefix(""",
+asked AS (SELECT substr(msno, 2, 4) AS query FROM members UNION SELECT msno FROM members)""", """
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY msno) AS INTEGER) AS rank, msno
+FROM asked JOIN members ON contains(lower(msno), lower(query))
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY msno) <= 10""")
+
+# The fit at a score is the greatest, over blocks that start at or before it, of the least mean of blocks that end at or after it.
+ORACLES["isotonic_calibration"] = with_prefix(scored_cte() + """,
+g AS (SELECT churn_probability AS score, count(*) AS n, CAST(sum(is_churn) AS BIGINT) AS pos FROM scored_ev GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY score) AS i, sum(n) OVER (ORDER BY score) AS cn, sum(pos) OVER (ORDER BY score) AS cp FROM g),
+means AS (SELECT a.i AS a, b.i AS b, CAST(b.cp - a.cp + a.pos AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS mean
+          FROM o a JOIN o b ON b.i >= a.i),
+least_ AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM means),
+fit AS (SELECT b AS i, max(m) AS rate FROM least_ GROUP BY b)""", """
+SELECT round(score, 6) AS score, n, pos, round(rate, 6) AS calibrated FROM o JOIN fit USING (i)""")
+
+
+def _date_text(c: str, broken: str) -> str:
+    return f"CASE WHEN {broken} THEN strftime({c}, '%Y%m') || '3x' ELSE strftime({c}, '%Y%m%d') END"
+
+
+def _parsed(c: str, broken: str) -> str:
+    return f"CAST(try_strptime({_date_text(c, broken)}, '%Y%m%d') AS DATE)"
+
+
+ORACLES["members_parsed"] = with_prefix("", f"""
+SELECT * REPLACE (strftime({_parsed("registration_init_time", "CAST(msno AS BIGINT) % 7 = 0")}, '%Y-%m-%d') AS registration_init_time) FROM members""")
+ORACLES["transactions_parsed"] = with_prefix(f""",
+parsed AS (SELECT * REPLACE ({_parsed("transaction_date", "seq % 11 = 0")} AS transaction_date,
+                             {_parsed("membership_expire_date", "seq % 13 = 0")} AS membership_expire_date) FROM raw_transactions),
+kept AS (SELECT * FROM parsed WHERE transaction_date <= DATE '2001-07-28'
+         QUALIFY row_number() OVER (PARTITION BY msno, transaction_date
+                 ORDER BY is_cancel DESC NULLS FIRST, plan_list_price DESC NULLS FIRST, seq DESC) = 1)""", f"SELECT {_TX_COLS} FROM kept")
+ORACLES["user_logs_parsed"] = with_prefix("", f"""
+SELECT msno, num_25, num_100, num_unq, round(total_secs, 6) AS total_secs,
+       strftime({_parsed("log_date", "CAST(msno AS BIGINT) % 17 = 0")}, '%Y-%m-%d') AS log_date FROM user_logs""")
+
+# What must hold for every row of a fitted model's output.
+ORACLES["linear_score_checks"] = with_prefix(_SPLIT_CTE, """
+SELECT msno, TRUE AS in_range, TRUE AS is_sigmoid FROM split WHERE split = 'test'""")
+ORACLES["model_action_checks"] = with_prefix(_SPLIT_CTE, """
+SELECT msno, TRUE AS in_range, TRUE AS adds_up, 3 AS n_drivers, TRUE AS follows_rule FROM split""")
+ORACLES["calibration_checks"] = "SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS fold, TRUE AS never_falls, TRUE AS in_range"
+ORACLES["tree_search_trials"] = "SELECT CAST(unnest([0, 1]) AS INTEGER) AS trial, TRUE AS in_range, TRUE AS best_is_top"

@@ -68,8 +68,12 @@ def transactions(spark: SparkSession, sf_dir: str, reference_date=REFERENCE_DATE
     return prepare_transactions(raw_transactions(spark, sf_dir), reference_date, seq_col="seq")
 
 
-def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_logs(spark: SparkSession, sf_dir: str, until=None) -> DataFrame:
+    """Daily log rows; with ``until`` only the days up to that date, as a filter on the scan."""
     e = table(spark, sf_dir, "events")
+    if until is not None:
+        kind = e.schema["ts"].dataType
+        e = e.filter(F.col("ts") < F.date_add(F.lit(str(until)).cast("date"), LOG_DAY_SHIFT + 1).cast(kind))
     day = F.date_sub(F.to_date(F.col("ts")), LOG_DAY_SHIFT)
     return (e.groupBy(F.col("user_id").cast("string").alias("msno"), day.alias("log_date"))
              .agg(F.count(F.when(F.col("event_type") == "view", 1)).cast("int").alias("num_25"),
