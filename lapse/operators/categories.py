@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_VALUES = 100_000
+
 
 def category_frequency(df: DataFrame, col: str) -> DataFrame:
     """A10: share of each non-null value among the non-null rows.
@@ -18,8 +20,7 @@ def category_frequency(df: DataFrame, col: str) -> DataFrame:
 
 
 def frequent_values(df: DataFrame, col: str, min_freq: float) -> DataFrame:
-    """Values of ``col`` with frequency >= ``min_freq`` (a list of at most
-    1/min_freq values, so it is safe to broadcast)."""
+    """Values of ``col`` with frequency >= ``min_freq``: at most 1/min_freq of them."""
     return (category_frequency(df, col)
             .filter(F.col("freq") >= F.lit(float(min_freq)))
             .select(F.col(col).alias("_kept")))
@@ -30,11 +31,13 @@ def rollup_rare(df: DataFrame, col: str, population: DataFrame, min_freq: float,
     """NULL -> 'Unknown'; frequent code -> its integer text; else 'Other'.
 
     Frequencies are computed over ``population`` (e.g. all members, not the
-    cohort).  The kept list has at most ``1/min_freq`` rows, so it is
-    broadcast, proven small by construction.
+    cohort).  The kept list has at most ``1/min_freq`` rows; where that is a
+    small number it is broadcast, else the join is left to Spark.
     """
     out = out or f"{col}_clean"
-    kept = F.broadcast(frequent_values(population, col, min_freq))
+    kept = frequent_values(population, col, min_freq)
+    if min_freq > 0 and 1 / min_freq <= BROADCAST_VALUES:
+        kept = F.broadcast(kept)
     joined = df.join(kept, df[col] == kept["_kept"], "left")
     label = (F.when(F.col(col).isNull(), F.lit("Unknown"))
               .when(F.col("_kept").isNotNull(), F.col(col).cast("long").cast("string"))

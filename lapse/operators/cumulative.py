@@ -9,8 +9,8 @@ packed into 1 / buckets^2 of their span:
 2. per-fine-bucket totals: one aggregate (combined map-side);
 3. the exclusive prefix of each fine bucket = prefix within its coarse bucket
    (a window over at most ``buckets`` rows) + prefix of the coarse totals (a
-   window over at most ``buckets`` rows per group, broadcast); grand totals
-   ride along;
+   window over at most ``buckets`` rows per group, broadcast if there are no
+   groups); grand totals ride along;
 4. each row: running sum inside its fine bucket (window partitioned by the
    fine bucket) + the fine bucket's offset, joined on the same key, so the
    data itself is shuffled once.
@@ -45,7 +45,7 @@ def running_totals(df: DataFrame, order_cols: str | list[str], sum_cols: list[st
     else:
         rng = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))   # one row per group
         if by:
-            ranged = df.join(F.broadcast(rng), by, "inner")
+            ranged = df.join(rng, by, "inner")                 # one row per group: Spark goes by its size
         else:   # scalar subqueries over one aggregate (merged into one by the optimizer)
             ranged = df.withColumns({"_lo": rng.select("_lo").scalar(), "_hi": rng.select("_hi").scalar()})
     n_fine = buckets * buckets
@@ -65,7 +65,8 @@ def running_totals(df: DataFrame, order_cols: str | list[str], sum_cols: list[st
     coarse_off = coarse_tot.select(*by, "_coarse", *c_cols)          # <= buckets rows per group
 
     f_before = Window.partitionBy(*by, "_coarse").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    fine_off = (fine_tot.join(F.broadcast(coarse_off), [*by, "_coarse"], "inner")
+    # Without groups the offsets are at most `buckets` rows; with them Spark goes by their size.
+    fine_off = (fine_tot.join(coarse_off if by else F.broadcast(coarse_off), [*by, "_coarse"], "inner")
                         .select(*by, "_fine",
                                 *[(F.coalesce(F.sum(f"_t_{c}").over(f_before), F.lit(0)) + F.col(f"_co_{c}"))
                                   .alias(f"_o_{c}") for c in sum_cols],

@@ -79,6 +79,27 @@ def confusion(df: DataFrame, threshold: float = 0.5, score: str = "churn_probabi
                     "brier_score")
 
 
+def summary(df: DataFrame, threshold: float = 0.5, score: str = "churn_probability", label: str = "is_churn") -> DataFrame:
+    """E1 + E2 + E5 + E3 + E4 from one threshold table: the columns of :func:`confusion`, then
+    ``roc_auc`` and ``pr_auc``.  Brier's sum comes from the counts per distinct score."""
+    t = threshold_table(df, score, label)
+    s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    above = F.col("tp") - pos
+    hit = s >= F.lit(float(threshold))
+    c = t.agg(
+        F.sum(F.when(hit, F.lit(0)).otherwise(neg)).alias("tn"), F.sum(F.when(hit, neg).otherwise(F.lit(0))).alias("fp"),
+        F.sum(F.when(hit, F.lit(0)).otherwise(pos)).alias("fn"), F.sum(F.when(hit, pos).otherwise(F.lit(0))).alias("tp"),
+        F.try_divide(F.sum(pos * F.pow(s - 1.0, 2) + neg * F.pow(s, 2)), F.sum(pos + neg)).alias("brier_score"),
+        F.try_divide(F.sum(neg * (above + pos / F.lit(2.0))), F.max("P").cast("double") * F.max("N").cast("double")).alias("roc_auc"),
+        F.try_divide(F.sum(pos * (F.col("tp") / (F.col("tp") + F.col("fp")))), F.max("P").cast("double")).alias("pr_auc"))
+    tn, fp, fn, tp = (F.coalesce(F.col(x), F.lit(0)) for x in ("tn", "fp", "fn", "tp"))
+    return c.select(tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp"),
+                    F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"),
+                    F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"),
+                    F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1_score"),
+                    "brier_score", "roc_auc", "pr_auc")
+
+
 def _thinned(points: DataFrame, n_points: int) -> DataFrame:
     """the points (idx, G, ...) at ``floor(linspace(0, G, n_points))``, with ``j``.
 

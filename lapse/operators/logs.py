@@ -30,7 +30,8 @@ def aggregate_logs(logs: DataFrame, reference_date, cfg: FeatureConfig = Feature
                    key: str = "msno", date_col: str = "log_date") -> DataFrame:
     """Whole per-customer log aggregate at ``reference_date``.
 
-    * rows after the reference date are ignored (P1; pushed into the scan);
+    * rows after the reference date are ignored (P1; pushed into the scan where
+      ``log_date`` is a stored column);
     * ``days_since_last_log`` = min days ago (A1);
     * for each window w: rows with days_ago <= w (w+1 calendar days, rows not
       distinct days) counted (A2) and averaged (A3, NULL for an empty window);

@@ -78,12 +78,6 @@ def load_ensemble(path: str, folds: int = 3) -> ml.CalibratedEnsemble:
                                    IsotonicRegressionModel.load(f"{path}/fold_{k}/isotonic")) for k in range(folds)])
 
 
-def _metrics(scores: DataFrame) -> DataFrame:
-    cm = ev.confusion(scores, 0.5)
-    return cm.select("*", ev.roc_auc(scores).select("roc_auc").scalar().alias("roc_auc"),
-                     ev.average_precision(scores).select("average_precision").scalar().alias("pr_auc"))
-
-
 def training_job(spark: SparkSession, features_path: str, out_dir: str, trials: int = 5, folds: int = 3,
                  tree_params: ml.TreeParams = ml.TreeParams(), search_rounds: int = 100,
                  test_fraction: float = 0.2, seed: int = 42, reference_date=None, operating_threshold: float = 0.245,
@@ -100,7 +94,7 @@ def training_job(spark: SparkSession, features_path: str, out_dir: str, trials:
     # baseline: balanced weights, L2 with C = 1
     lr_train = materialize(ml.with_class_weights(data.filter(F.col("split") == "train"), mode="balanced"))
     lr = ml.linear_pipeline(reg_param=ml.l2_for_c(lr_train)).fit(lr_train)
-    lr_metrics = _metrics(ml.score(lr, test))
+    lr_metrics = ev.summary(ml.score(lr, test))
     writers.save_model(lr, f"{out_dir}/models/linear_baseline")
     writers.log_run(spark, f"{out_dir}/runs", "Baseline_LR", {"max_iter": 1000, "class_weight": "balanced"},
                     lr_metrics)
@@ -115,7 +109,7 @@ def training_job(spark: SparkSession, features_path: str, out_dir: str, trials:
     ens = ml.fit_calibrated(train, lambda: ml.tree_pipeline(params), folds)
     save_ensemble(ens, f"{out_dir}/models/calibrated_trees")
     scores = materialize(ens.transform(test).select("msno", "is_churn", "churn_probability"))
-    metrics = _metrics(scores)
+    metrics = ev.summary(scores)
     writers.log_run(spark, f"{out_dir}/runs", "Calibrated_trees",
                     {k: v for k, v in asdict(params).items() if k != "extra"}, metrics)
     writers.write_curves({"roc": (ev.roc_curve(scores), "j", "fpr", "tpr"), "pr": (ev.pr_curve(scores), "j", "precision", "recall"),

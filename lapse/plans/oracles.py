@@ -8,11 +8,15 @@ orders).
 
 from __future__ import annotations
 
-from lapse.config import FeatureConfig, Settings
+from lapse.config import FeatureConfig
 from lapse.sources.testviews import ORACLE_PREFIX, REFERENCE_DATE
 
 CFG = FeatureConfig()
-SET = Settings()
+# Fixed values of the rules, written out so that a wrong setting on the Spark side shows.
+HIGH, MEDIUM = 0.2533, 0.1687                      # tier cutoffs
+LIFESPAN, MONTHLY, COST, SUCCESS = 20, 149, 0.05, 0.3
+LOW_CONFIDENCE_DAYS, DRIVERS, MIN_FREQ = 14, 3, 0.01
+QUOTA_HIGH, QUOTA_MEDIUM, QUOTA_LOW_NEW, LOW_NEW_DAYS = 4, 3, 3, 180
 REF = f"DATE '{REFERENCE_DATE}'"
 # Days before the reference date of the two trend windows.
 TREND_RECENT, TREND_PRIOR = "age <= 14", "age > 14 AND age <= 28"
@@ -92,7 +96,7 @@ TREND = ("coalesce(recent_avg_secs / (prior_avg_secs + 1e-5), 0.0) AS engagement
          "coalesce(recent_avg_songs / (prior_avg_songs + 1e-5), 0.0) AS engagement_trend_songs_ratio")
 
 
-def features_cte(min_freq: float = CFG.registered_via_min_freq) -> str:
+def features_cte(min_freq: float = MIN_FREQ) -> str:
     """CTEs ending in ``features`` (31 features + msno + is_churn) over base = train."""
     eng = ",\n    ".join(engagement_select("la"))
     return logs_agg_cte() + f""",
@@ -171,10 +175,8 @@ STAND_IN = (f"({_D(0.55)} * (CAST('0x' || substr(md5(msno), 1, 8) AS BIGINT) / {
             f" / (CAST(greatest(days_since_registration, 0) AS DOUBLE) + {_D(365.0)})))")
 
 
-def scored_cte(s: Settings = SET) -> str:
+def scored_cte() -> str:
     """CTE ``scored``: features + stand-in p + tier + CLV + EV + low-confidence."""
-    b, t = s.business, s.thresholds
-    life, dflt = b.avg_customer_lifespan_months, b.default_monthly_revenue
     return features_cte() + f""",
 scored_x AS (
   SELECT *, {STAND_IN} AS _x FROM features
@@ -184,17 +186,17 @@ scored_p AS (
 ),
 scored AS (
   SELECT *,
-    CASE WHEN churn_probability >= {t.high} THEN 'High' WHEN churn_probability >= {t.medium} THEN 'Medium'
+    CASE WHEN churn_probability >= {HIGH} THEN 'High' WHEN churn_probability >= {MEDIUM} THEN 'Medium'
          ELSE 'Low' END AS risk_tier,
     CASE WHEN plan_list_price IS NULL OR payment_plan_days IS NULL OR payment_plan_days <= 0
-         THEN CAST({dflt} AS DOUBLE) * {life}
-         ELSE plan_list_price * (30.0 / payment_plan_days) * {life} END AS estimated_clv,
-    (days_since_registration IS NULL OR days_since_registration < {s.serve.low_confidence_threshold_days}) AS low_confidence
+         THEN CAST({MONTHLY} AS DOUBLE) * {LIFESPAN}
+         ELSE plan_list_price * (30.0 / payment_plan_days) * {LIFESPAN} END AS estimated_clv,
+    (days_since_registration IS NULL OR days_since_registration < {LOW_CONFIDENCE_DAYS}) AS low_confidence
   FROM scored_p
 ),
 scored_ev AS (
-  SELECT *, churn_probability * {b.retention_success_rate} * estimated_clv
-            - {b.discount_cost_percentage} * estimated_clv AS expected_value
+  SELECT *, churn_probability * {SUCCESS} * estimated_clv
+            - {COST} * estimated_clv AS expected_value
   FROM scored
 )"""
 
@@ -300,13 +302,12 @@ _PRED = ("msno, round(churn_probability, 6) AS churn_probability, risk_tier, rou
 _ACT = ("msno, round(expected_value, 6) AS expected_value, round(churn_probability, 6) AS churn_probability, "
         "round(estimated_clv, 6) AS estimated_clv")
 _EVORD = "expected_value DESC NULLS LAST, msno"
-_B, _T, _Q = SET.business, SET.thresholds, SET.quotas
 
 ORACLES["scored_customers"] = with_prefix(scored_cte(), f"""
 SELECT {_PRED}, round((1.0 - churn_probability) * 100.0, 6) AS retention_score FROM scored_ev""")
 
 ORACLES["clv_flat"] = with_prefix("", f"""
-SELECT msno, seq, round(actual_amount_paid * {_B.avg_customer_lifespan_months}, 6) AS estimated_clv FROM transactions""")
+SELECT msno, seq, round(actual_amount_paid * {LIFESPAN}, 6) AS estimated_clv FROM transactions""")
 
 ORACLES["prioritized_actions"] = with_prefix(scored_cte(), f"""
 SELECT row_number() OVER (ORDER BY {_EVORD}) AS rank, {_ACT} FROM scored_ev""")
@@ -326,13 +327,13 @@ def diversified_sql(n: int, where: str = "TRUE") -> str:
     return with_prefix(scored_cte() + f""",
 pool AS (SELECT * FROM scored_ev WHERE {where}),
 strata AS (
-  SELECT *, CASE WHEN churn_probability >= {_T.high} THEN 0 WHEN churn_probability >= {_T.medium} THEN 1
-                 WHEN days_since_registration < {_Q.low_new_max_tenure_days} THEN 2 END AS stratum
+  SELECT *, CASE WHEN churn_probability >= {HIGH} THEN 0 WHEN churn_probability >= {MEDIUM} THEN 1
+                 WHEN days_since_registration < {LOW_NEW_DAYS} THEN 2 END AS stratum
   FROM pool),
 picked AS (
   SELECT * EXCLUDE (rn, stratum) FROM (
     SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_EVORD}) AS rn FROM strata WHERE stratum IS NOT NULL)
-  WHERE rn <= CASE stratum WHEN 0 THEN {_Q.high} WHEN 1 THEN {_Q.medium} ELSE {_Q.low_new} END),
+  WHERE rn <= CASE stratum WHEN 0 THEN {QUOTA_HIGH} WHEN 1 THEN {QUOTA_MEDIUM} ELSE {QUOTA_LOW_NEW} END),
 fill AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (ORDER BY {_EVORD}) AS rn FROM pool WHERE msno NOT IN (SELECT msno FROM picked))
@@ -349,9 +350,9 @@ def _tier_sql(where: str = "TRUE") -> str:
 SELECT *, 'High=' || CAST(floor(high_share * 1e6 + 0.5) AS BIGINT) || ',Low=' || CAST(floor(low_share * 1e6 + 0.5) AS BIGINT)
           || ',Medium=' || CAST(floor(medium_share * 1e6 + 0.5) AS BIGINT) AS risk_tier_distribution
 FROM (SELECT count(*) AS total_customers, round(coalesce(avg(churn_probability), 0.0), 6) AS churn_rate,
-  round(coalesce(avg(CAST(churn_probability >= {_T.high} AS DOUBLE)), 0.0), 6) AS high_share,
-  round(coalesce(avg(CAST(churn_probability >= {_T.medium} AND churn_probability < {_T.high} AS DOUBLE)), 0.0), 6) AS medium_share,
-  round(coalesce(avg(CAST(churn_probability < {_T.medium} AS DOUBLE)), 0.0), 6) AS low_share
+  round(coalesce(avg(CAST(churn_probability >= {HIGH} AS DOUBLE)), 0.0), 6) AS high_share,
+  round(coalesce(avg(CAST(churn_probability >= {MEDIUM} AND churn_probability < {HIGH} AS DOUBLE)), 0.0), 6) AS medium_share,
+  round(coalesce(avg(CAST(churn_probability < {MEDIUM} AS DOUBLE)), 0.0), 6) AS low_share
 FROM scored_ev WHERE {where})"""
 
 
@@ -365,15 +366,15 @@ bucketed AS (SELECT *, CASE WHEN days_since_registration < 30 THEN 'new'
                                       f"""
 SELECT payment_plan_days, tenure_bucket, grouping_id(payment_plan_days, tenure_bucket) AS grouping_id,
   count(*) AS total_customers, round(coalesce(avg(churn_probability), 0.0), 6) AS churn_rate,
-  round(coalesce(avg(CAST(churn_probability >= {_T.high} AS DOUBLE)), 0.0), 6) AS high_share,
-  round(coalesce(avg(CAST(churn_probability >= {_T.medium} AND churn_probability < {_T.high} AS DOUBLE)), 0.0), 6) AS medium_share,
-  round(coalesce(avg(CAST(churn_probability < {_T.medium} AS DOUBLE)), 0.0), 6) AS low_share
+  round(coalesce(avg(CAST(churn_probability >= {HIGH} AS DOUBLE)), 0.0), 6) AS high_share,
+  round(coalesce(avg(CAST(churn_probability >= {MEDIUM} AND churn_probability < {HIGH} AS DOUBLE)), 0.0), 6) AS medium_share,
+  round(coalesce(avg(CAST(churn_probability < {MEDIUM} AS DOUBLE)), 0.0), 6) AS low_share
 FROM bucketed GROUP BY CUBE (payment_plan_days, tenure_bucket)""")
 
 ORACLES["risk_distribution"] = with_prefix(scored_cte(), f"""
 SELECT count(*) AS total_customers,
-  round(avg(CAST(churn_probability >= {_T.high} AS DOUBLE)) * 100, 6) AS high_pct,
-  round(avg(CAST(churn_probability >= {_T.medium} AND churn_probability < {_T.high} AS DOUBLE)) * 100, 6) AS medium_pct
+  round(avg(CAST(churn_probability >= {HIGH} AS DOUBLE)) * 100, 6) AS high_pct,
+  round(avg(CAST(churn_probability >= {MEDIUM} AND churn_probability < {HIGH} AS DOUBLE)) * 100, 6) AS medium_pct
 FROM scored_ev""")
 
 ORACLES["customer_profile"] = with_prefix(scored_cte(), """
@@ -427,17 +428,17 @@ sim AS (
   FROM scen s JOIN scored_ev f ON s.msno = f.msno))),
 sim2 AS (
   SELECT *,
-    CASE WHEN churn_probability >= {_T.high} THEN 'High' WHEN churn_probability >= {_T.medium} THEN 'Medium'
+    CASE WHEN churn_probability >= {HIGH} THEN 'High' WHEN churn_probability >= {MEDIUM} THEN 'Medium'
          ELSE 'Low' END AS risk_tier,
     CASE WHEN plan_list_price IS NULL OR payment_plan_days IS NULL OR payment_plan_days <= 0
-         THEN CAST({_B.default_monthly_revenue} AS DOUBLE) * {_B.avg_customer_lifespan_months}
-         ELSE plan_list_price * (30.0 / payment_plan_days) * {_B.avg_customer_lifespan_months} END AS estimated_clv,
-    (days_since_registration IS NULL OR days_since_registration < {SET.serve.low_confidence_threshold_days}) AS low_confidence
+         THEN CAST({MONTHLY} AS DOUBLE) * {LIFESPAN}
+         ELSE plan_list_price * (30.0 / payment_plan_days) * {LIFESPAN} END AS estimated_clv,
+    (days_since_registration IS NULL OR days_since_registration < {LOW_CONFIDENCE_DAYS}) AS low_confidence
   FROM sim)""", f"""
 SELECT scenario_id, msno, round(plan_list_price, 6) AS plan_list_price, payment_plan_days, is_auto_renew,
        days_since_registration, round(churn_probability, 6) AS churn_probability, risk_tier,
        round(estimated_clv, 6) AS estimated_clv,
-       round(churn_probability * {_B.retention_success_rate} * estimated_clv - {_B.discount_cost_percentage} * estimated_clv, 6) AS expected_value,
+       round(churn_probability * {SUCCESS} * estimated_clv - {COST} * estimated_clv, 6) AS expected_value,
        low_confidence
 FROM sim2""")
 
@@ -564,22 +565,32 @@ ORACLES["average_precision"] = with_prefix(_eval_cte(), """
 SELECT round(sum(pos * (CAST(tp AS DOUBLE) / (tp + fp))) / (SELECT P FROM tot), 6) AS average_precision FROM t""")
 
 
-def _confusion_sql(th: float) -> str:
-    return with_prefix(scored_cte() + f""",
+def _confusion_cte(th: float) -> str:
+    return f""",
 c AS (SELECT count(CASE WHEN churn_probability < {th} AND is_churn = 0 THEN 1 END) AS tn,
              count(CASE WHEN churn_probability >= {th} AND is_churn = 0 THEN 1 END) AS fp,
              count(CASE WHEN churn_probability < {th} AND is_churn = 1 THEN 1 END) AS fn,
              count(CASE WHEN churn_probability >= {th} AND is_churn = 1 THEN 1 END) AS tp,
              avg(pow(churn_probability - is_churn, 2)) AS brier_score
-      FROM scored_ev WHERE churn_probability IS NOT NULL AND is_churn IS NOT NULL)""", """
-SELECT tn, fp, fn, tp,
+      FROM scored_ev WHERE churn_probability IS NOT NULL AND is_churn IS NOT NULL)"""
+
+
+_CONFUSION = """tn, fp, fn, tp,
        round(coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 0.0), 6) AS precision,
        round(coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0.0), 6) AS recall,
        round(coalesce(CAST(2 * tp AS DOUBLE) / NULLIF(2 * tp + fp + fn, 0), 0.0), 6) AS f1_score,
-       round(brier_score, 6) AS brier_score
-FROM c""")
+       round(brier_score, 6) AS brier_score"""
 
 
+def _confusion_sql(th: float) -> str:
+    return with_prefix(scored_cte() + _confusion_cte(th), f"SELECT {_CONFUSION} FROM c")
+
+
+ORACLES["score_summary"] = with_prefix(_eval_cte() + _confusion_cte(0.245), f"""
+SELECT {_CONFUSION},
+       (SELECT round(sum(neg * ((tp - pos) + pos / 2.0)) / ((SELECT P FROM tot) * (SELECT N FROM tot)), 6) FROM t) AS roc_auc,
+       (SELECT round(sum(pos * (CAST(tp AS DOUBLE) / (tp + fp))) / (SELECT P FROM tot), 6) FROM t) AS pr_auc
+FROM c""")
 ORACLES["confusion_at_half"] = _confusion_sql(0.5)
 ORACLES["confusion_report"] = _confusion_sql(0.245)
 
@@ -662,7 +673,7 @@ contrib AS ({' UNION ALL '.join(parts)}),
 top3 AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY msno ORDER BY abs(contribution) DESC, pos) - 1 AS rk FROM contrib)
-  WHERE rk < {SET.serve.top_drivers_n})"""
+  WHERE rk < {DRIVERS})"""
 
 
 ORACLES["feature_contributions"] = with_prefix(_standin_long_cte(), """
@@ -674,24 +685,19 @@ SELECT msno, CAST(rk AS INTEGER) AS rank,
 FROM top3""")
 
 
-def _family_case(col: str) -> str:
-    from lapse import config as C
-
-    def lst(xs):
-        return ", ".join(f"'{x}'" for x in xs)
-    return (f"CASE WHEN {col} IN ({lst(C.PAYMENT_FRICTION)}) THEN '{C.ACTION_PAYMENT}' "
-            f"WHEN {col} IN ({lst(C.RENEWAL_TIMING)}) THEN '{C.ACTION_RENEWAL}' "
-            f"WHEN {col} IN ({lst(C.PRICE_SENSITIVITY)}) THEN '{C.ACTION_DISCOUNT}' END")
+# The action rule's driver families and texts.
+_FAMILIES = """CASE WHEN feature IN ('payment_method_id', 'is_cancel', 'days_since_last_transaction') THEN 'Offer alternative payment method'
+     WHEN feature IN ('days_until_expire', 'is_auto_renew') THEN 'Proactive renewal outreach'
+     WHEN feature IN ('plan_list_price', 'actual_amount_paid', 'payment_plan_days') THEN 'Offer discount' END"""
 
 
 def _actions_sql() -> str:
-    from lapse import config as C
     return with_prefix(_standin_long_cte() + f""",
-hits AS (SELECT msno, rk, {_family_case('feature')} AS action FROM top3 WHERE contribution > 0),
-first_hit AS (SELECT msno, arg_min(action, rk) AS action FROM hits WHERE action IS NOT NULL GROUP BY msno)""", f"""
+hits AS (SELECT msno, rk, {_FAMILIES} AS action FROM top3 WHERE contribution > 0),
+first_hit AS (SELECT msno, arg_min(action, rk) AS action FROM hits WHERE action IS NOT NULL GROUP BY msno)""", """
 SELECT s.msno, s.risk_tier,
-       CASE WHEN s.risk_tier = 'Low' THEN '{C.ACTION_LOW}' WHEN s.risk_tier = 'Medium' THEN '{C.ACTION_MEDIUM}'
-            ELSE coalesce(h.action, '{C.ACTION_FALLBACK_HIGH}') END AS suggested_action
+       CASE WHEN s.risk_tier = 'Low' THEN 'No action needed' WHEN s.risk_tier = 'Medium' THEN 'Send engagement email'
+            ELSE coalesce(h.action, 'Send targeted retention offer') END AS suggested_action
 FROM scored_ev s LEFT JOIN first_hit h ON s.msno = h.msno""")
 
 

@@ -124,3 +124,14 @@ def test_no_positives(spark):
     assert set(pr[pr["idx"] < 2]["recall"]) == {1.0}          # recall is 1 with no positives
     r = ev.confusion(df, 0.5).first()
     assert (r["tp"], r["precision"], r["recall"], r["f1_score"]) == (0, 0.0, 0.0, 0.0)
+
+
+def test_summary_equals_the_single_measures(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 101 / 100.0).alias("churn_probability"),
+                                 F.when(F.col("id") % 50 == 7, F.lit(None)).otherwise((F.col("id") % 3 == 0).cast("int")).alias("is_churn"))
+    for frame in (df, df.where("is_churn = 1"), df.limit(0)):
+        s, c = ev.summary(frame, 0.3).first(), ev.confusion(frame, 0.3).first()
+        for name in c.asDict():
+            assert s[name] == c[name] or abs(s[name] - c[name]) < 1e-12
+        for name, single in (("roc_auc", ev.roc_auc(frame).first()[0]), ("pr_auc", ev.average_precision(frame).first()[0])):
+            assert s[name] == single or abs(s[name] - single) < 1e-12
