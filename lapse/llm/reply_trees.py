@@ -18,7 +18,8 @@ value by definition, is in one place.
 Null text and role count as empty; null conversation ids are one conversation; rows equal
 in all columns are messages of their own; equal turns are ordered by role, then by a hash
 of the text; conversations without rows give no row; extra columns are ignored.  A message
-whose parent is missing starts a tree of its own.
+whose parent is missing starts a tree of its own.  Messages that answer each other in a
+circle (or themselves) have no root: the circle's message of least node starts the tree.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from lapse.llm.common import work_dir, written
 
 BLOCK = 64
+COUNTED_ROUNDS = 6                       # paths of up to 64 replies are done before messages are counted
 OPEN, CLOSE = "<turn ", "</turn>\n"
 
 
@@ -60,31 +62,47 @@ def chained(messages: DataFrame, order: list[str], tree: str = "tree") -> DataFr
             .withColumn("parent", F.coalesce("parent", "before")).select("node", "parent"))
 
 
-def jump_tables(replies: DataFrame, folder: str) -> tuple[list[DataFrame], DataFrame]:
-    """replies: (node, parent, score).  ([node -> up 2**k], (node, root, depth, score))."""
+def jump_tables(replies: DataFrame, folder: str) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """replies: (node, parent, score).  ([node -> up 2**k], (node, root, depth, score), the replies
+    without circles).
+
+    A message that has no root after as many steps as there are messages leads into a
+    circle.  Those steps lead onto the circle itself, and the least node passed on the way from
+    a message on it is the circle's: there it is cut, once for all circles."""
     known = replies.select(F.col("node").alias("id"))
     now = written(replies.join(known, replies["parent"] == known["id"], "left")
                   .select("node", F.col("id").alias("up"), F.when(F.col("id").isNull(), F.col("node")).alias("root"),
-                          F.lit(0).cast("long").alias("depth"), F.col("score").cast("double").alias("score")), f"{folder}/jump0")
+                          F.lit(0).cast("long").alias("depth"), F.col("score").cast("double").alias("score"),
+                          F.col("node").alias("low")), f"{folder}/jump0")
     # depth and score: over the messages passed so far, the one the row stands at not counted in depth
-    jumps = []
+    jumps, total = [], None
     while True:
         open_ = now.where("up is not null")
         if open_.isEmpty():
-            return jumps, now.select("node", "root", "depth", "score")
+            return jumps, now.select("node", "root", "depth", "score"), replies
+        if len(jumps) >= COUNTED_ROUNDS:
+            total = total or replies.count()
+            if 1 << len(jumps) > total:
+                break
         jumps.append(open_.select("node", "up"))
         far = now.select(F.col("node").alias("id"), F.col("up").alias("up2"), F.col("root").alias("root2"),
-                         F.col("depth").alias("depth2"), F.col("score").alias("score2"))
+                         F.col("depth").alias("depth2"), F.col("score").alias("score2"), F.col("low").alias("low2"))
         step = 1 << (len(jumps) - 1)
         moved = (open_.join(far, open_["up"] == far["id"])
                  .select("node", F.col("up2").alias("up"), F.col("root2").alias("root"),
-                         (F.lit(step) + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score")))
+                         (F.lit(step) + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score"),
+                         F.least("low", "low2").alias("low")))
         now = written(moved.unionByName(now.where("up is null")), f"{folder}/jump{len(jumps)}")
+    circle = open_.select(F.col("up").alias("node")).distinct().join(now.select("node", "low"), "node")
+    cut = written(circle.where("node = low").select(F.col("node").alias("first")), f"{folder}/circles")
+    opened = replies.join(cut, replies["node"] == cut["first"], "left").select(
+        "node", F.when(F.col("first").isNull(), F.col("parent")).alias("parent"), "score")
+    return jump_tables(written(opened, f"{folder}/opened"), f"{folder}/opened-jumps")
 
 
 def chosen_paths(replies: DataFrame, folder: str, branches: int) -> DataFrame:
     """(leaf, node, depth, rank) for every message of the best ``branches`` paths of each tree."""
-    jumps, placed = jump_tables(replies, folder)
+    jumps, placed, replies = jump_tables(replies, folder)
     parents = replies.select(F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = placed.join(parents, "node", "left_anti")
     best = Window.partitionBy("root").orderBy(F.col("score").desc(), "node")

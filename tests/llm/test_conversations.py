@@ -80,3 +80,28 @@ def test_mask_is_spans_of_the_formatted_bytes(spark):
     raw = out.formatted.encode()
     assert [raw[s["start"]:s["start"] + s["length"]].decode() for s in out.loss_spans] == ["a\\lb", "ü"]
     assert F.col("x") is not None
+
+
+def test_circles_are_cut_at_their_least_message(spark):
+    rows = [(1, None), (2, 1), (3, 2),                       # a healthy tree
+            (10, 11), (11, 10),                              # two that answer each other
+            (20, 20), (21, 20),                              # one that answers itself, and a reply to it
+            (35, 31), (31, 32), (32, 33), (33, 34), (34, 35), (36, 33), (37, 36),   # a circle of five with a tail
+            (40, 999)]                                       # a missing parent
+    messages = spark.createDataFrame([(n, p, 0.0, "user", f"m{n}") for n, p in rows],
+                                     "node long, parent long, score double, role string, text string")
+    got = {r.leaf: [t.split(">", 1)[1] for t in r.formatted.split("</turn>\n") if t]
+           for r in reply_trees.format_trees(messages, branches=5).collect()}
+    assert got[3] == ["m1", "m2", "m3"] and got[40] == ["m40"]
+    assert got[11] == ["m10", "m11"] and got[21] == ["m20", "m21"]
+    # 31 is the circle's least: 32, whose reply it was, no longer leads on.
+    assert got[37] == ["m31", "m35", "m34", "m33", "m36", "m37"] and got[32] == ["m31", "m35", "m34", "m33", "m32"]
+    assert set(got) == {3, 11, 21, 37, 32, 40}
+
+
+def test_deep_trees_pass_the_counted_rounds(spark):
+    n = 300
+    messages = spark.createDataFrame([(i, i - 1 if i else None, float(i), "user", str(i)) for i in range(n)],
+                                     "node long, parent long, score double, role string, text string")
+    row, = reply_trees.format_trees(messages).collect()
+    assert [t.split(">", 1)[1] for t in row.formatted.split("</turn>\n") if t] == [str(i) for i in range(n)]
