@@ -10,16 +10,22 @@ phrase is known by its trigger gram's hash and its own.
 
 *Dictionary.*  Phrases that occur again (counted over the parse) are
 repeated whole, whatever the number of copies: for highly repetitive text that settles
-nearly all.  What is left are distinct phrases of one trigger gram.  Their windows'
-hashes are sorted together, one representative text per distinct phrase; equal neighbours
-are windows that occur again.  That is hash order, not byte order: it finds every window
-that occurs twice, but no suffix array of dictionary or parse is built and no corpus order
-of suffixes comes out.
+nearly all.  What is left are distinct phrases of one trigger gram, one representative
+text each.  Those that may share a window (equal hashes, a filter) are put in suffix
+order: prefix doubling on their bytes ranks the first ``window`` bytes of every suffix,
+and neighbours of equal rank, with a common prefix of ``window`` bytes or more, are windows that
+occur again.  Bytes decide, not hashes.
+
+The orders are those of the groups that a trigger makes, which hold all equal windows; they
+aren't merged to one order of the corpus, and no suffix array of the parse is needed, as
+every window lies whole in one phrase.
 
 Only hashes of phrases are shuffled, plus texts of documents that hold representatives
 or something to remove.  Trigger grams with over ``block`` distinct phrases aren't
-gathered: their windows are counted by hash with partial sums.  Identity is by 128 hash
-bits (64 of the gram, 64 of the phrase; for windows 64 besides the gram).
+gathered: their windows are counted by gram and hash with partial sums (about 124 bits).
+Phrases of one dictionary entry are told apart by the hashes of gram and phrase (the same).
+Texts of over ``SLICE`` bytes are parsed in pieces that overlap by ``window`` - 1 bytes, so
+memory doesn't grow with a text's length beyond its bytes and one mark per byte.
 
 Null text counts as empty; texts shorter than a window lose nothing; repeated rows
 are copies of each other; null ids are kept; extra columns are ignored.
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import column_bytes, drop_dir, map_batches, mix64, prefix_hash, slices, span_hash, texts, work_dir, written
+from lapse.llm.common import column_bytes, drop_dir, map_batches, mix64, prefix_hash, repeated, slices, span_hash, texts, work_dir, written
 
 WINDOW, GRAM, BLOCK, SLICE = 200, 32, 4096, 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
@@ -82,17 +88,25 @@ class Parse:
         return mix64(self.key ^ mix64(self.phrase)).view(np.int64)
 
 
-def _each_slice(column: pa.Array):
+def _each_slice(column: pa.Array, window: int, piece: int = SLICE):
+    """(first row, end row, bytes before, offsets, data): rows of together at most ``piece`` bytes, or
+    a piece of a longer row, which holds its window starts and the rest of their windows."""
     offsets, data = column_bytes(column)
-    for a, b in slices(offsets, SLICE):
-        yield a, b, offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]]
+    for a, b in slices(offsets, piece):
+        own = data[offsets[a]:offsets[b]]
+        if len(own) <= piece:
+            yield a, b, 0, offsets[a:b + 1] - offsets[a], own
+            continue
+        for at in range(0, len(own), piece):
+            part = own[at:at + piece + window - 1]
+            yield a, b, at, np.array([0, len(part)]), part
 
 
-def parse(keyed: DataFrame, window: int, gram: int) -> DataFrame:
+def parse(keyed: DataFrame, window: int, gram: int, piece: int = SLICE) -> DataFrame:
     """(key, phrase, doc) per phrase occurrence; keyed: (doc, text)."""
     def run(batch):
         parts = []
-        for a, _, offsets, data in _each_slice(batch.column(1)):
+        for a, _, _, offsets, data in _each_slice(batch.column(1), window, piece):
             p = Parse(offsets, data, window, gram)
             parts.append(pa.RecordBatch.from_arrays(
                 [pa.array(p.key.view(np.int64)), pa.array(p.phrase.view(np.int64)),
@@ -101,15 +115,15 @@ def parse(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     return map_batches(keyed, run, "key long, phrase long, doc long")
 
 
-def representatives(keyed: DataFrame, wanted: DataFrame, window: int, gram: int) -> DataFrame:
+def representatives(keyed: DataFrame, wanted: DataFrame, window: int, gram: int, piece: int = SLICE) -> DataFrame:
     """(key, phrase, n, hot, bytes) of the wanted phrases (doc, key, phrase, n, hot)."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "phrase", "n", "hot")).alias("want"))
+    lists = wanted.groupBy("doc").agg(F.collect_set(F.struct("key", "phrase", "n", "hot")).alias("want"))
     rows = keyed.join(lists, "doc").select("text", "want")
 
     def run(batch):
         want = batch.column(1)
         out: list[tuple] = []
-        for a, b, offsets, data in _each_slice(batch.column(0)):
+        for a, b, _, offsets, data in _each_slice(batch.column(0), window, piece):
             p = Parse(offsets, data, window, gram)
             first = np.searchsorted(p.row, np.arange(b - a + 1))
             raw = data.tobytes()
@@ -126,14 +140,59 @@ def representatives(keyed: DataFrame, wanted: DataFrame, window: int, gram: int)
     return map_batches(rows, run, "key long, phrase long, n long, hot boolean, bytes binary").dropDuplicates(["key", "phrase"])
 
 
-def window_hashes(key: np.ndarray, bytes_: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(bytes_: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, phrase number, start within the phrase) of every window of the phrases."""
     offsets, data = column_bytes(bytes_.cast(pa.large_binary()).view(pa.large_string()))
     sizes = np.diff(offsets) - window + 1
     number = np.repeat(np.arange(len(sizes)), sizes)
     inner = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     begin = offsets[number] + inner
-    return span_hash(prefix_hash(data), begin, begin + window) ^ mix64(key[number]), number, inner
+    return span_hash(prefix_hash(data), begin, begin + window), number, inner
+
+
+def window_ranks(data: np.ndarray, window: int) -> np.ndarray:
+    """For every position the rank of its next ``window`` bytes in byte order, equal for equal bytes,
+    by prefix doubling; positions with fewer bytes left have some rank."""
+    width = 1 << min(window, 8).bit_length() - 1
+    padded = np.concatenate([data, np.zeros(width, np.uint8)]).astype(np.uint64)
+    key = np.zeros(len(data), np.uint64)
+    for j in range(width):
+        key = key << np.uint64(8) | padded[j:j + len(data)]
+
+    def ranked(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(key), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        out = np.empty(len(key), np.int64)
+        out[order] = np.cumsum(new) - 1
+        return out
+
+    rank = ranked(key)
+    while width < window:
+        step = min(width, window - width)         # the last doubling overlaps where window isn't a power of two
+        ahead = np.zeros(len(rank), np.int64)
+        ahead[:max(len(rank) - step, 0)] = rank[step:]
+        rank = ranked(rank * (len(rank) + 1) + ahead)
+        width += step
+    return rank
+
+
+def repeated_windows(bytes_: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether it occurs again, phrase number, start) of every window of the phrases.  Equal hashes
+    say which phrases may share a window; the order of their suffixes says which windows do."""
+    hashes, number, inner = window_hashes(bytes_, window)
+    found = repeated(hashes)[0]
+    some = np.unique(number[found])
+    if len(some):
+        offsets, data = column_bytes(bytes_.cast(pa.large_binary()).view(pa.large_string()))
+        sizes = np.diff(offsets)[some]
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        part = data[np.arange(begin[-1]) + np.repeat(offsets[some] - begin[:-1], sizes)]
+        at = np.full(len(bytes_), -1)
+        at[some] = begin[:-1]
+        held = at[number] >= 0
+        found[held] = repeated(window_ranks(part, window)[at[number[held]] + inner[held]])[0]
+    return found, number, inner
 
 
 def spans_of(number: np.ndarray, inner: np.ndarray, n: int, window: int) -> list[list[int] | None]:
@@ -161,13 +220,7 @@ def ordered_suffixes(rows: DataFrame, window: int, memory: int = 4 << 20) -> Dat
     def settle(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch | None:
         table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
         table = table.combine_chunks()
-        key = table["key"].to_numpy().view(np.uint64)
-        hashes, number, inner = window_hashes(key, table["bytes"].combine_chunks(), window)
-        order = np.argsort(hashes, kind="stable")                     # hash order: equal windows are neighbours
-        same = np.zeros(len(order) + 1, bool)
-        same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
-        found = np.zeros(len(order), bool)
-        found[order] = same[1:] | same[:-1]
+        found, number, inner = repeated_windows(table["bytes"].combine_chunks(), window)
         found &= (table["n"].to_numpy() == 1)[number]
         spans = spans_of(number[found], inner[found], table.num_rows, window)
         keep = [i for i, s in enumerate(spans) if s]
@@ -197,15 +250,15 @@ def ordered_suffixes(rows: DataFrame, window: int, memory: int = 4 << 20) -> Dat
 def counted_suffixes(rows: DataFrame, window: int) -> DataFrame:
     """The same for grams with very many distinct phrases, by counting their windows."""
     def explode(batch):
-        hashes, number, inner = window_hashes(batch.column(0).to_numpy().view(np.uint64), batch.column(3), window)
+        hashes, number, inner = window_hashes(batch.column(3), window)
         take = pa.array(number)
         return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take),
                                            pa.array(inner.astype(np.int32)), pa.array(hashes.view(np.int64))],
                                           ["key", "phrase", "n", "inner", "hash"])
     windows = map_batches(rows.select("key", "phrase", "n", "bytes"), explode,
                           "key long, phrase long, n long, inner int, hash long")
-    again = windows.groupBy("hash").count().where("count > 1").select("hash")
-    starts = (windows.where("n = 1").join(again, "hash", "left_semi").groupBy("key", "phrase")
+    again = windows.groupBy("key", "hash").count().where("count > 1").select("key", "hash")
+    starts = (windows.where("n = 1").join(again, ["key", "hash"], "left_semi").groupBy("key", "phrase")
               .agg(F.sort_array(F.collect_list("inner")).alias("starts")))
 
     def merge(batch):
@@ -224,7 +277,7 @@ def cut_text(raw: bytes, covered: np.ndarray) -> tuple[int, int, bytes]:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", piece: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null where
     nothing was removed), one row per input row."""
     spark = docs.sparkSession
@@ -232,18 +285,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     base = texts(docs, id_col, text_col).withColumn("doc", F.xxhash64("doc_id", "text"))
     keyed = base.select("doc", "text").where(F.octet_length("text") >= window)
 
-    occurrences = written(parse(keyed, window, gram), f"{folder}/parse")
+    occurrences = written(parse(keyed, window, gram, piece), f"{folder}/parse")
     dictionary = written(occurrences.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc")),
                          f"{folder}/dictionary")
     shared = dictionary.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     wanted = dictionary.join(shared, "key").withColumn("hot", F.col("m") > block).drop("m")
-    found = written(representatives(keyed, wanted, window, gram), f"{folder}/representatives")
+    found = written(representatives(keyed, wanted, window, gram, piece), f"{folder}/representatives")
     partly = ordered_suffixes(found.where("not hot"), window).unionByName(counted_suffixes(found.where("hot"), window))
     partly = partly.join(dictionary.where("n = 1"), ["key", "phrase"]).select("doc", "key", "phrase", "spans")
 
     whole = occurrences.join(dictionary.where("n > 1").select("key", "phrase"), ["key", "phrase"], "left_semi")
     marks = (whole.select("doc", "key", "phrase", F.lit(None).cast("array<int>").alias("spans")).unionByName(partly)
-             .groupBy("doc").agg(F.collect_list(F.struct("key", "phrase", "spans")).alias("marks")))
+             .groupBy("doc").agg(F.collect_set(F.struct("key", "phrase", "spans")).alias("marks")))
     marks = written(marks, f"{folder}/marks")
     for done in ("parse", "dictionary", "representatives"):
         drop_dir(spark, f"{folder}/{done}")
@@ -252,28 +305,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
 
     def run(batch):
         marks = batch.column(2)
-        out = []
-        for a, b, offsets, data in _each_slice(batch.column(1)):
-            some = [marks[i].as_py() for i in range(a, b)]
-            p = Parse(offsets, data, window, gram) if any(some) else None
-            for i, mark in enumerate(some):
-                low, high = int(offsets[i]), int(offsets[i + 1])
-                raw = data[low:high].tobytes()
-                if not mark:
-                    out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), None))
-                    continue
-                s = slice(*np.searchsorted(p.row, [i, i + 1]))
-                known = {(m["key"], m["phrase"]): m["spans"] for m in mark}
-                edge = np.zeros(len(raw) + 1, np.int32)
+        text_offsets, text_bytes = column_bytes(batch.column(1))
+        covered: dict[int, np.ndarray] = {}
+        for a, b, before, offsets, data in _each_slice(batch.column(1), window, piece):
+            if not before:                    # a long row's later pieces have the marks of its first
+                some = {i: {(m["key"], m["phrase"]): m["spans"] for m in found} for i in range(a, b) if (found := marks[i].as_py())}
+            p = Parse(offsets, data, window, gram) if some else None
+            for i, known in some.items():
+                low = int(offsets[i - a]) - before
+                if i not in covered:
+                    covered[i] = np.zeros(text_offsets[i + 1] - text_offsets[i], bool)
+                mask = covered[i]
+                s = slice(*np.searchsorted(p.row, [i - a, i - a + 1]))
                 for k, h, start, end in zip(p.key[s].view(np.int64).tolist(), p.phrase[s].view(np.int64).tolist(),
                                             (p.start[s] - low).tolist(), (p.end[s] - low).tolist()):
                     if (k, h) in known:
                         spans = known[k, h]
                         for x, y in [(0, end - start)] if spans is None else zip(spans[::2], spans[1::2]):
-                            edge[start + x] += 1
-                            edge[start + y] -= 1
-                removed, runs, kept = cut_text(raw, np.cumsum(edge[:-1]) > 0)
-                out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept if removed else None))
+                            mask[start + x:start + y] = True
+        out = []
+        for i in range(batch.num_rows):
+            raw = text_bytes[text_offsets[i]:text_offsets[i + 1]].tobytes()
+            if i not in covered:
+                out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), None))
+                continue
+            removed, runs, kept = cut_text(raw, covered.pop(i))
+            out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept if removed else None))
         columns = list(zip(*out))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
