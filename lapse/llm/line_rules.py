@@ -4,10 +4,11 @@ A line is normalised by lower-casing A-Z, reading every digit as 0 and ignoring
 other than between words.  One pass over the texts (vectorised in the worker) gives the
 distinct normalised lines of each document as 64-bit hashes.  Spark counts, per host
 (``source``), the distinct documents that hold each line (partial sums before the
-shuffle, so a line of a third of all documents is no hot spot) and joins the lines above
-the limit back to the texts that hold them.  A second pass takes those lines, line end
-included, out of the texts and gives the base measures of the text as it was; only texts
-that may hold such a line are shuffled.  A document is depleted if too few words are left.
+shuffle, so a line of a third of all documents is no hot spot).  ``line_rules`` joins the
+lines above the limit back to the documents' line hashes and word counts and needs the texts
+once.  ``clean_texts`` also takes those lines, line end included, out of the texts in a second
+pass; only texts that may hold such a line are shuffled.  A document is depleted if too
+small a share or too few of its words are left.  Both give the same words and verdicts.
 
 Copies of one text count as one document: a line is boilerplate because different
 documents of a host share it, not because one document was stored many times (that
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 from lapse.llm.common import (ASCII_LOWER, column_bytes, drop_dir, lines_of_words, map_batches, mix64, per_row,
                               prefix_hash, repeated, sequence_hash, sifted, slices, span_hash, words, work_dir, written)
 
-MIN_DOCUMENTS, SHARE, MIN_LEFT, MIN_LEFT_WORDS = 20, 0.05, 0.3, 50
+MIN_DOCUMENTS, SHARE, MIN_LEFT, MIN_LEFT_WORDS = 20, 0.0, 0.3, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NORMAL = ASCII_LOWER.copy()
 _NORMAL[48:58] = 48
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-LINES = "host string, key long, line array<long>"
+LINES = "doc_id long, host string, key long, " + ", ".join(f"{m} long" for m in MEASURES) + ", line array<long>, words array<int>"
 CLEANED = "doc_id long, text string, " + ", ".join(f"{m} long" for m in MEASURES) + ", words_removed long"
 
 
@@ -60,13 +61,14 @@ class Lines:
         normal = span_hash(prefix_hash(_NORMAL[data]), self.start, self.end)
         self.hashed = sequence_hash(normal, self.first, self.after)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row, hash), one entry per text and line."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, hash, words on all copies), one entry per text and line."""
         order = np.lexsort((self.hashed, self.line_row))
         r, h = self.line_row[order], self.hashed[order]
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-        return r[new], h[new]
+        first = np.flatnonzero(new)
+        return r[first], h[first], np.add.reduceat((self.after - self.first)[order], first) if len(first) else np.zeros(0, np.int64)
 
     def held(self, row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Which lines are among the given (row, hash) pairs."""
@@ -115,22 +117,25 @@ def without(offsets: np.ndarray, data: np.ndarray, lines: Lines, gone: np.ndarra
 def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """(doc_id, text as it is, host, key); equal texts of one host have one key."""
     text = F.col(text_col).cast("string")
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))     # null: a host of its own
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), host.alias("host"),
                        F.xxhash64(host, F.coalesce(text, F.lit(""))).alias("key"))
 
 
 def document_lines(rows: DataFrame) -> DataFrame:
-    """(host, key, line) with the distinct lines of each row's text."""
+    """The measures of each row's text, its distinct lines and the words on each (all copies)."""
     def run(batch):
         offsets, data = column_bytes(batch.column(1).fill_null(""))
         parts = []
         for a, b in slices(offsets, 1 << 20):
-            r, h = Lines(offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]]).distinct()
+            o, d = offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]]
+            lines = Lines(o, d)
+            values, (r, h, n) = measure(o, d, lines), lines.distinct()
             counts = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=b - a))]).astype(np.int32)
             parts.append(pa.RecordBatch.from_arrays(
-                [batch.column(2)[a:b], batch.column(3)[a:b],
-                 pa.ListArray.from_arrays(pa.array(counts), pa.array(h.view(np.int64)))], ["host", "key", "line"]))
+                [batch.column(0)[a:b], batch.column(2)[a:b], batch.column(3)[a:b], *(pa.array(values[m].astype(np.int64)) for m in MEASURES),
+                 pa.ListArray.from_arrays(pa.array(counts), pa.array(h.view(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(counts), pa.array(n.astype(np.int32)))], [f.split()[0] for f in LINES.split(", ")]))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     return map_batches(rows, run, LINES)
@@ -170,34 +175,51 @@ def _cut(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("doc_id", "text", "gone"), run, CLEANED)
 
 
+def _verdict(out: DataFrame, min_left: float, min_left_words: int) -> DataFrame:
+    left = F.col("n_words") - F.col("words_removed")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    depleted = (left < min_left * F.col("n_words")) | (left < min_left_words)
+    return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
+
+
+def _found(rows: DataFrame, folder: str, min_documents: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the documents' measures and lines, one row per distinct text of a host, its lines above the limit)."""
+    measured = written(document_lines(rows), f"{folder}/lines")
+    distinct = written(measured.groupBy("host", "key").agg(F.first(F.struct("line", "words")).alias("l")).select("host", "key", "l.*"),
+                       f"{folder}/distinct")
+    frequent = written(frequent_lines(distinct, min_documents, share), f"{folder}/frequent")
+    held = (distinct.select("host", "key", F.inline(F.arrays_zip("line", "words"))).join(frequent, ["host", "line"]))
+    return measured, distinct, held
+
+
 def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                 min_documents: int = MIN_DOCUMENTS, share: float = SHARE, min_left: float = MIN_LEFT,
-                min_left_words: int = MIN_LEFT_WORDS, either: bool = False) -> DataFrame:
+                min_left_words: int = MIN_LEFT_WORDS) -> DataFrame:
     """doc_id, text without the lines above the limit, the measures of the text as it was,
-    words_removed, base_failed, kept; one row per input row.
-
-    Without ``share`` the limit doesn't grow with the host; with ``either`` a document is
-    depleted if too small a share or too few words are left, otherwise if both are."""
+    words_removed, base_failed, kept; one row per input row."""
     spark = docs.sparkSession
     folder = work_dir(spark, "line-rules")
     rows = _rows(docs, id_col, text_col, host_col)
-    measured = written(document_lines(rows), f"{folder}/lines")
-    distinct = written(measured.groupBy("host", "key").agg(F.first("line").alias("line")), f"{folder}/distinct")
-    drop_dir(spark, f"{folder}/lines")
-    frequent = written(frequent_lines(distinct, min_documents, share), f"{folder}/frequent")
-    gone = written(distinct.select("host", "key", F.explode("line").alias("line")).join(frequent, ["host", "line"])
-                   .groupBy("key").agg(F.collect_set("line").alias("gone")), f"{folder}/gone")
-    drop_dir(spark, f"{folder}/distinct")
+    *_, held = _found(rows, folder, min_documents, share)
+    gone = written(held.groupBy("key").agg(F.collect_set("line").alias("gone")), f"{folder}/gone")
+    for done in ("lines", "distinct", "frequent"):
+        drop_dir(spark, f"{folder}/{done}")
     # Texts that hold no such line by the bit filter stay where they are.
     hold, rest = sifted(rows, "key", gone), sifted(rows, "key", gone, others=True)
     out = _cut(hold.join(gone, "key", "left").unionByName(rest.withColumn("gone", F.lit(None).cast("array<long>"))))
-    left = F.col("n_words") - F.col("words_removed")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    low, few = left < min_left * F.col("n_words"), left < min_left_words
-    depleted = (low | few) if either else (low & few)
-    return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
+    return _verdict(out, min_left, min_left_words)
 
 
-def line_rules(docs: DataFrame, *columns: str, **options) -> DataFrame:
-    """doc_id, the measures, words_removed, base_failed, kept of :func:`clean_texts`."""
-    return clean_texts(docs, *columns, **options).drop("text")
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+               min_documents: int = MIN_DOCUMENTS, share: float = SHARE, min_left: float = MIN_LEFT,
+               min_left_words: int = MIN_LEFT_WORDS) -> DataFrame:
+    """doc_id, the measures, words_removed, base_failed, kept, as :func:`clean_texts` has them."""
+    spark = docs.sparkSession
+    folder = work_dir(spark, "line-rules")
+    measured, _, held = _found(_rows(docs, id_col, text_col, host_col), folder, min_documents, share)
+    removed = written(held.groupBy("key").agg(F.sum("words").cast("long").alias("words_removed")), f"{folder}/removed")
+    for done in ("distinct", "frequent"):
+        drop_dir(spark, f"{folder}/{done}")
+    out = measured.select("doc_id", "key", *MEASURES).join(removed, "key", "left")
+    out = out.select("doc_id", *MEASURES, F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"))
+    return _verdict(out, min_left, min_left_words)

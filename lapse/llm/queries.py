@@ -48,7 +48,7 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.clean_texts(read_table(spark, sf_dir, "documents"), share=0.0, either=True)
+    return line_rules.clean_texts(read_table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 FROM g""",
 
     "op6_line_rules": rf"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {_WORDS("t")} AS words,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
@@ -135,15 +135,14 @@ again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, second, th
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(3) r(k) WHERE n > 1 GROUP BY doc_id),
 line AS (SELECT doc_id, host, t, unnest(lines) AS line FROM w),
 normal AS (SELECT *, len({_WORDS("line")}) AS n, array_to_string({_WORDS("regexp_replace(" + _LOWER("line") + ", '[0-9]', '0', 'g')")}, ' ') AS norm FROM line),
-limits AS (SELECT host, greatest(20.0, 0.05 * count(DISTINCT t)) AS most FROM d GROUP BY host),
-frequent AS (SELECT host, norm FROM normal JOIN limits USING (host) GROUP BY host, norm, most HAVING count(DISTINCT t) > most),
+frequent AS (SELECT host, norm FROM normal GROUP BY host, norm HAVING count(DISTINCT t) > 20),
 removed AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS words_removed FROM normal JOIN frequent USING (host, norm) GROUP BY doc_id),
 m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(words_removed, 0) AS words_removed
       FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN removed USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             n_words - words_removed < 0.3 * n_words AND n_words - words_removed < 50 AS depleted FROM m)
+             n_words - words_removed < 0.3 * n_words OR n_words - words_removed < 50 AS depleted FROM m)
 SELECT * EXCLUDE (depleted), NOT base_failed AND NOT depleted AS kept FROM f""",
 
     "op10_near_dedup": rf"""

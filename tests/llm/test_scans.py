@@ -97,19 +97,19 @@ def test_depleted_documents_go_and_copies_are_one_document(spark):
     assert got[200].kept and got[200].words_removed == 64 and got[300].words_removed == 0
 
 
-def plain_clean(rows, most=20, share=0.05):
+def plain_clean(rows, most=20, share=0.0):
     """Texts without the lines that more than the limit of a host's distinct texts hold."""
     def normal(line):
         return " ".join(re.sub("[0-9]", "0", lower(line)).split())
 
     held, texts = {}, {}
     for _, t, h in rows:
-        texts.setdefault(h or "", set()).add(t or "")
+        texts.setdefault(h, set()).add(t or "")
     for h, distinct in texts.items():
         held[h] = Counter(n for t in distinct for n in {normal(x) for x in t.split("\n")} if n)
     return [None if t is None else "".join(
         x for x in re.findall(r"[^\n]*\n|[^\n]+", t)
-        if held[h or ""][normal(x)] <= max(most, share * len(texts[h or ""]))) for _, t, h in rows]
+        if held[h][normal(x)] <= max(most, share * len(texts[h]))) for _, t, h in rows]
 
 
 def test_lines_above_the_limit_leave_the_texts(spark):
@@ -131,6 +131,19 @@ def test_lines_above_the_limit_leave_the_texts(spark):
     assert {r.doc_id: (r.words_removed, r.kept) for r in op6_line_rules(spark, SF).collect()} == {
         i: (r.words_removed, r.kept) for i, r in got.items()}
     assert line_rules.clean_texts(empty(spark)).collect() == []
+    shared = {i: r.words_removed for i, r in ((r.doc_id, r) for r in line_rules.line_rules(docs, share=0.05).collect())}
+    assert shared == {r.doc_id: r.words_removed for r in line_rules.clean_texts(docs, share=0.05).collect()}
+
+
+def test_null_host_is_a_host_of_its_own_and_few_left_is_enough(spark):
+    line = " ".join(f"common{k}" for k in range(30))
+    rows = [(i, f"{line}\n" + " ".join(f"w{i}x{j}" for j in range(60)), "" if i % 2 else None) for i in range(30)]
+    rows += [(100 + i, f"{line}\n" + " ".join(f"v{chr(97 + i)}{chr(97 + j)}" for j in range(25)), "h") for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for got in (line_rules.line_rules(docs).collect(), line_rules.clean_texts(docs).collect()):
+        by = {r.doc_id: r for r in got}
+        assert all(by[i].words_removed == 0 and by[i].kept for i in range(30))             # 15 documents in each host
+        assert all(by[100 + i].words_removed == 30 and not by[100 + i].base_failed and not by[100 + i].kept for i in range(25))
 
 
 def test_clean_texts_of_hot_hosts_and_long_pages(spark, monkeypatch):
