@@ -8,7 +8,10 @@ in bytes.  ``sufficient_lookahead`` finds it with one pass over the merges.
 
 ``Transducer`` keeps the bytes after the last stable token only: it encodes its
 buffer, emits the tokens that end at least L bytes before the buffer's end and
-drops their bytes.  (No merge crosses a token border, so the rest encodes alone.)
+drops their bytes.  (No merge crosses a token border, so the rest encodes alone.)  Every
+pre-token goes through it: the short ones of ordinary text end before the lookahead is
+full and are settled by their end, longer ones are emitted as they come.  Distinct short
+pre-tokens are remembered with their ids.
 Decoding is a byte table followed by an incremental UTF-8 state machine with the
 library's replacement rule.
 """
@@ -21,6 +24,7 @@ import heapq
 import json
 from array import array
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +33,7 @@ from lapse.llm.common import map_batches, texts
 from lapse.llm.pretokens import PieceCache, byte_letters, load
 
 SHORT, BLOCK = 48, 4096                   # bytes: plain merging below, buffer growth between two emissions
+NO_RULE, ID_MASK = 1 << 63, (1 << 32) - 1
 
 
 class Merges:
@@ -45,6 +50,7 @@ class Merges:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.rules.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+        self.coded = {pair: rank << 32 | joined for pair, (rank, joined) in self.rules.items()}
         self.lookahead = sufficient_lookahead(self.rules, {i: len(b) for i, b in self.bytes_of.items()})
 
     def encode(self, data: bytes) -> list[int]:
@@ -53,16 +59,20 @@ class Merges:
         return self._few(ids) if len(ids) <= SHORT else self._many(ids)
 
     def _few(self, ids: list[int]) -> list[int]:
-        rules = self.rules
-        while len(ids) > 1:
-            best, at = None, 0
-            for i, pair in enumerate(zip(ids, ids[1:])):
-                rule = rules.get(pair)
-                if rule is not None and (best is None or rule < best):
-                    best, at = rule, i
-            if best is None:
+        rules = self.coded
+        steps = [rules.get(pair, NO_RULE) for pair in zip(ids, ids[1:])]
+        while steps:
+            best = min(steps)
+            if best == NO_RULE:
                 break
-            ids[at:at + 2] = [best[1]]
+            at = steps.index(best)
+            joined = best & ID_MASK
+            ids[at:at + 2] = [joined]
+            del steps[at]                 # the pair itself; its neighbours' pairs have a new part
+            if at:
+                steps[at - 1] = rules.get((ids[at - 1], joined), NO_RULE)
+            if at < len(steps):
+                steps[at] = rules.get((joined, ids[at + 1]), NO_RULE)
         return ids
 
     def _many(self, ids: list[int]) -> list[int]:
@@ -168,13 +178,18 @@ class Codec:
         self.bytes_of = self.merges.bytes_of | {i: c.encode() for c, i in self.kit.added.items()}
         self.digits = {i: str(i).encode() for i in self.bytes_of}
         self.cache = PieceCache(self._piece)
+        self.run = Transducer(self.merges)      # empty between two pre-tokens
 
     def _piece(self, piece: str) -> bytes:
+        return array("I", [i for ids in self.stream(piece) for i in ids]).tobytes()
+
+    def stream(self, piece: str, step: int = 1 << 16) -> Iterator[list[int]]:
+        """Ids of one pre-token as the transducer emits them."""
         data = piece.encode()
-        if len(data) <= BLOCK:
-            return array("I", self.merges.encode(data)).tobytes()
-        run = Transducer(self.merges)
-        return array("I", run.feed(data) + run.finish()).tobytes()
+        for at in range(0, len(data), step):
+            if ids := self.run.feed(data[at:at + step]):
+                yield ids
+        yield self.run.finish()
 
     def encode(self, text: str, step: int = 1 << 16):
         """Blocks of ids; a step of pre-tokens at a time for a long text."""
@@ -189,6 +204,11 @@ class Codec:
             else:
                 some: list[bytes] = []
                 for m in self.kit.spans(part):
+                    if m.end() - m.start() > step:
+                        yield array("I", b"".join(some)).tolist()
+                        some.clear()
+                        yield from self.stream(m[0])
+                        continue
                     some.append(self.cache[m[0]])
                     if len(some) >= step // 8:
                         yield array("I", b"".join(some)).tolist()

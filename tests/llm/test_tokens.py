@@ -154,3 +154,28 @@ def test_long_pretoken_goes_through_the_transducer(spark, library):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert bpe_stream.round_trip(docs, PATH).first().n_tokens == len(ids_of(library, text))
     assert len(awkward_texts()) == 30
+
+
+def test_one_long_pre_token_streams_in_bounded_memory():
+    """A word of over half a megabyte: the library's ids, from a buffer of a few kilobytes."""
+    rng = random.Random(11)
+    word = "".join(rng.choice("abcdefghijklmnop") for _ in range(300_000)) + "ab" * 120_000
+    kit = bpe_stream.codec(PATH)
+    longest, feed = 0, bpe_stream.Transducer.feed
+
+    class Watched(bpe_stream.Transducer):
+        def feed(self, data):
+            nonlocal longest
+            out = []
+            for i in range(0, len(data), 1000):
+                out += feed(self, data[i:i + 1000])
+                longest = max(longest, len(self.buffer))
+            return out
+
+    kit.run, before = Watched(kit.merges), kit.run
+    try:
+        blocks = list(kit.encode(f"see {word} end"))
+    finally:
+        kit.run = before
+    assert [i for b in blocks for i in b] == kit.kit.library_ids(f"see {word} end")
+    assert longest < 2 * (kit.merges.lookahead + bpe_stream.BLOCK) and max(map(len, blocks)) <= 1 << 16
