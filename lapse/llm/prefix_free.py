@@ -34,15 +34,17 @@ are copies of each other; null ids are kept; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import column_bytes, drop_dir, map_batches, mix64, prefix_hash, repeated, slices, span_hash, texts, work_dir, written
+from lapse.llm.common import column_bytes, drop_dir, map_batches, mix64, prefix_hash, slices, span_hash, texts, work_dir, written
 
-WINDOW, GRAM, BLOCK, SLICE = 200, 32, 4096, 1 << 20
+WINDOW, GRAM, BLOCK, SLICE, GROUP = 200, 32, 4096, 1 << 20, 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -150,29 +152,41 @@ def window_hashes(bytes_: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray
     return span_hash(prefix_hash(data), begin, begin + window), number, inner
 
 
+def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, keys in order) of keys below ``2**bits``; with the place packed behind the key where
+    both fit, which sorts much faster."""
+    place = max(len(key) - 1, 1).bit_length()
+    if bits + place > 64:
+        order = np.argsort(key)
+        return order, key[order]
+    packed = np.sort(key << np.uint64(place) | np.arange(len(key), dtype=np.uint64))
+    return (packed & np.uint64((1 << place) - 1)).astype(np.int64), packed >> np.uint64(place)
+
+
 def window_ranks(data: np.ndarray, window: int) -> np.ndarray:
     """For every position the rank of its next ``window`` bytes in byte order, equal for equal bytes,
     by prefix doubling; positions with fewer bytes left have some rank."""
-    width = 1 << min(window, 8).bit_length() - 1
+    n, width = len(data), min(window, 5)
     padded = np.concatenate([data, np.zeros(width, np.uint8)]).astype(np.uint64)
-    key = np.zeros(len(data), np.uint64)
+    key = np.zeros(n, np.uint64)
     for j in range(width):
-        key = key << np.uint64(8) | padded[j:j + len(data)]
-
-    def ranked(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
-        new = np.ones(len(key), bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        out = np.empty(len(key), np.int64)
-        out[order] = np.cumsum(new) - 1
+        key = key << np.uint64(8) | padded[j:j + n]
+    place = np.uint64(max(n, 1).bit_length())
+
+    def ranked(key: np.ndarray, bits: int) -> np.ndarray:
+        order, key = _ordered(key, bits)
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
+        out = np.empty(n, np.uint64)
+        out[order] = (np.cumsum(new) - 1).astype(np.uint64)
         return out
 
-    rank = ranked(key)
+    rank = ranked(key, 8 * width)
     while width < window:
-        step = min(width, window - width)         # the last doubling overlaps where window isn't a power of two
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:max(len(rank) - step, 0)] = rank[step:]
-        rank = ranked(rank * (len(rank) + 1) + ahead)
+        step = min(width, window - width)         # the last doubling overlaps
+        ahead = np.zeros(n, np.uint64)
+        ahead[:max(n - step, 0)] = rank[step:]
+        rank = ranked(rank << place | ahead, 2 * int(place))
         width += step
     return rank
 
@@ -181,7 +195,7 @@ def repeated_windows(bytes_: pa.Array, window: int) -> tuple[np.ndarray, np.ndar
     """(whether it occurs again, phrase number, start) of every window of the phrases.  Equal hashes
     say which phrases may share a window; the order of their suffixes says which windows do."""
     hashes, number, inner = window_hashes(bytes_, window)
-    found = repeated(hashes)[0]
+    found = _again(hashes)
     some = np.unique(number[found])
     if len(some):
         offsets, data = column_bytes(bytes_.cast(pa.large_binary()).view(pa.large_string()))
@@ -191,10 +205,24 @@ def repeated_windows(bytes_: pa.Array, window: int) -> tuple[np.ndarray, np.ndar
         at = np.full(len(bytes_), -1)
         at[some] = begin[:-1]
         held = at[number] >= 0
-        found[held] = repeated(window_ranks(part, window)[at[number[held]] + inner[held]])[0]
+        rank = window_ranks(part, window)[at[number[held]] + inner[held]]
+        found[held] = _again(rank, max(len(part), 1).bit_length())
     return found, number, inner
 
 
+def _again(key: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Whether a key occurs more than once; of wide keys (a filter) only the upper bits count."""
+    place = max(len(key) - 1, 1).bit_length()
+    if bits + place > 64:
+        key, bits = key >> np.uint64(bits + place - 64), 64 - place
+    order, key = _ordered(key, bits)
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[1:] == key[:-1]
+    out = np.empty(len(key), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
 def spans_of(number: np.ndarray, inner: np.ndarray, n: int, window: int) -> list[list[int] | None]:
     """Per phrase the covered byte ranges [start, end, ...] of its repeated windows, merged."""
     out: list[list[int] | None] = [None] * n
@@ -212,6 +240,18 @@ def spans_of(number: np.ndarray, inner: np.ndarray, n: int, window: int) -> list
 _SPANS = "key long, phrase long, spans array<int>"
 
 
+def _key_runs(key: np.ndarray, size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of whole runs of one key, of about ``most`` bytes together; a longer run stands alone."""
+    borders = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    start = 0
+    for low, high in zip(borders[:-1], borders[1:]):
+        if low > start and size[high] - size[start] > most:
+            yield start, int(low)
+            start = int(low)
+    if len(key):
+        yield start, len(key)
+
+
 def ordered_suffixes(rows: DataFrame, window: int, memory: int = 4 << 20) -> DataFrame:
     """Spans of single phrases that other phrases of their gram repeat; rows: (key, phrase, n,
     bytes) in bounded groups of one key.  Groups are streamed, whole ones at a time."""
@@ -220,7 +260,15 @@ def ordered_suffixes(rows: DataFrame, window: int, memory: int = 4 << 20) -> Dat
     def settle(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch | None:
         table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
         table = table.combine_chunks()
-        found, number, inner = repeated_windows(table["bytes"].combine_chunks(), window)
+        key, bytes_ = table["key"].to_numpy(), table["bytes"].combine_chunks()
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(bytes_).to_numpy())])
+        found, number, inner = [], [], []
+        for a, b in _key_runs(key, size, GROUP):                      # whole trigger groups, a cache-sized part at a time
+            f, of, start = repeated_windows(bytes_[a:b], window)
+            found.append(f)
+            number.append(of + a)
+            inner.append(start)
+        found, number, inner = (np.concatenate(x) for x in (found, number, inner))
         found &= (table["n"].to_numpy() == 1)[number]
         spans = spans_of(number[found], inner[found], table.num_rows, window)
         keep = [i for i, s in enumerate(spans) if s]
