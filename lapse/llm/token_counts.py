@@ -1,10 +1,11 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a compact table of frequent pre-token lengths, broadcast once: at
-most ``table_size`` entries, counted over a seeded sample of about ``warm_rows``
-documents.  It only saves time; every count is exact whatever it holds.  Tier two
-is a bounded cache in each worker, filled by encoding what tier one misses.  No
-pre-token is shuffled and the job is one narrow pass over the texts.
+most ``table_size`` entries.  It is counted over all documents, each batch giving out its
+``per_batch`` most frequent pre-tokens with their counts; only these are summed up.  The table
+only saves time; every count is exact whatever it holds.  Tier two is a bounded cache
+in each worker, filled by encoding what tier one misses.  In the counting pass itself
+nothing is shuffled.
 
 Null text counts as empty; rows with null or repeated ids each get a row; extra
 columns are ignored; an empty table gives an empty result; a very long text is
@@ -13,6 +14,9 @@ split lazily pre-token by pre-token.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,30 +24,31 @@ from pyspark.sql import functions as F
 from lapse.llm.common import column_bytes, map_batches, texts
 from lapse.llm.pretokens import PieceCache, load
 
-WARM_ROWS, TABLE_SIZE, LONGEST = 2_000, 65_536, 32
+PER_BATCH, TABLE_SIZE, LONGEST, LAZY = 8_192, 65_536, 32, 1 << 16
+
+
+def pieces(kit, part: str) -> Iterable[str]:
+    """Pre-tokens of ordinary text; those of a long one are found as they are asked for."""
+    return kit.split(part) if len(part) <= LAZY else (m[0] for m in kit.spans(part))
 
 
-def frequent_lengths(docs: DataFrame, tokenizer: str, warm_rows: int = WARM_ROWS,
-                     table_size: int = TABLE_SIZE) -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, tokenizer: str, table_size: int = TABLE_SIZE, per_batch: int = PER_BATCH) -> dict[str, int]:
     """The first tier: pre-token -> number of tokens, at most ``table_size`` of them."""
-    rows = docs.count()
-    if not rows:
-        return {}
-    sample = docs.sample(False, min(1.0, warm_rows / rows), 17).select("text")
-
-    def pieces(batch):
-        kit, seen = load(tokenizer), {}
-        for text in batch.column(0).to_pylist():
+    def counted(batch):
+        kit, seen = load(tokenizer), Counter()
+        for text in batch.column(0):
+            text = text.as_py()
             if not kit.needs_library(text):
                 for part, special in kit.parts(text):
                     if special is None:
-                        for p in kit.split(part):
-                            seen[p] = seen.get(p, 0) + 1
-        seen = {p: n for p, n in seen.items() if n > 1 and len(p) <= LONGEST}
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
+                        seen.update(pieces(kit, part))
+            if len(seen) > 64 * per_batch:                           # bounded: what came once or seldom goes
+                seen = Counter(dict(seen.most_common(16 * per_batch)))
+        top = [(p, n) for p, n in seen.most_common(per_batch) if n > 1 and len(p) <= LONGEST]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())],
                                           ["piece", "n"])
 
-    top = (map_batches(sample, pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = (map_batches(docs.select("text"), counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "piece").limit(table_size))
     kit = load(tokenizer)
     return {r.piece: len(kit.encode_piece(r.piece)) for r in top.collect()}
@@ -66,16 +71,16 @@ _TIERS: dict[tuple[str, int], _Tier] = {}
 def count_text(kit, length_of, text: str) -> int:
     if kit.needs_library(text):
         return len(kit.library_ids(text))
-    return sum(1 if special is not None else sum(map(length_of, kit.split(part)))
+    return sum(1 if special is not None else sum(map(length_of, pieces(kit, part)))
                for part, special in kit.parts(text))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512,
-                 warm_rows: int = WARM_ROWS, table_size: int = TABLE_SIZE) -> DataFrame:
+                 table_size: int = TABLE_SIZE, per_batch: int = PER_BATCH) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens (tokenizers library, no special tokens added),
     over_limit (n_tokens > limit), one row per input row."""
     docs = texts(docs, id_col, text_col)
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer, warm_rows, table_size))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer, table_size, per_batch))
 
     def count(batch):
         kit, key = load(tokenizer), (tokenizer, id(table.value))

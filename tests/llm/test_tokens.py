@@ -37,8 +37,8 @@ def test_counts_equal_library(spark, library):
 
 def test_counts_do_not_depend_on_the_first_tier(spark):
     docs = documents(spark)
-    one, two = (sorted((r.doc_id or -1, r.n_tokens) for r in token_counts.token_counts(docs, PATH, warm_rows=w, table_size=s).collect())
-                for w, s in ((1, 1), (1000, 5000)))
+    one, two = (sorted((r.doc_id or -1, r.n_tokens) for r in token_counts.token_counts(docs, PATH, table_size=s, per_batch=b).collect())
+                for s, b in ((1, 1), (5000, 10_000)))
     assert one == two
 
 
