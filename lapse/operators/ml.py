@@ -168,7 +168,7 @@ class TreeParams:
 
 
 def tree_pipeline(p: TreeParams = TreeParams(), features: tuple[str, ...] = MODEL_FEATURES,
-                  checkpoint_interval: int = 10) -> Pipeline:
+                  checkpoint_interval: int = 50) -> Pipeline:
     """M6: boosted trees; categoricals enter as indices with nominal metadata,
     so the trees split them natively (:func:`with_bins` widens ``maxBins`` to the
     widest one)."""

@@ -9,6 +9,7 @@ dates as ISO text).
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -35,9 +36,9 @@ from lapse.operators import asof, idsearch
 from lapse.operators import isotonic as iso
 from lapse.operators import sketches as sk
 from lapse.operators import snapshots as sn
-from lapse.plans.jobs import model_actions
+from lapse.plans.jobs import load_ensemble, model_actions, save_ensemble
 from lapse.session import materialize, shared_folder
-from lapse.sources import readers, serving
+from lapse.sources import commits, readers, serving, writers
 
 S = Settings()
 REF = tv.REFERENCE_DATE
@@ -467,39 +468,26 @@ def q_class_weights(spark, sf_dir):
     return for_oracle(ml.with_class_weights(train).select("msno", "is_churn", "weight"))
 
 
-_FITS: dict = {}
-
-
-def _signature(spark: SparkSession, sf_dir: str) -> tuple:
-    """Change times of the tables that a fit reads."""
-    out = []
+def _model_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Where the (seeded, deterministic) model of these tables, at their change times, is kept in the
+    session's shared folder: queries that read one model load it, the first one fits it."""
+    parts = [sf_dir, kind]
     for name in ("customer", "orders", "events"):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        out.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
-    return tuple(out)
-
-
-def _memo(kind: str, spark: SparkSession, sf_dir: str, fit):
-    """One (seeded, deterministic) fit per kind, shared by the queries that read the same
-    model; dropped as soon as the session, the folder or its tables differ."""
-    k = (spark.sparkContext.applicationId, sf_dir, _signature(spark, sf_dir))
-    if _FITS.get("of") != k:
-        _FITS.clear()
-        _FITS["of"] = k
-    if kind not in _FITS:
-        _FITS[kind] = fit()
-    return _FITS[kind]
+        parts.append(str(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()))
+    return f"{shared_folder(spark).rstrip('/')}/models/{kind}-{hashlib.md5('|'.join(parts).encode()).hexdigest()}"
 
 
 def _fit_linear(spark, sf_dir):
-    return _memo("linear", spark, sf_dir, lambda: _fit_linear_now(spark, sf_dir))
-
-
-def _fit_linear_now(spark, sf_dir):
     data = materialize(split_table(spark, sf_dir))
     train = materialize(ml.with_class_weights(data.filter(F.col("split") == "train"), mode="balanced"))
-    model = ml.linear_pipeline(reg_param=ml.l2_for_c(train, 1.0)).fit(train)
-    return model, data, train
+
+    def fit() -> None:
+        writers.save_model(ml.linear_pipeline(reg_param=ml.l2_for_c(train, 1.0)).fit(train), f"{folder}/model")
+
+    folder = _model_folder(spark, sf_dir, "linear")
+    commits.once(spark, folder, fit)
+    return writers.load_model(f"{folder}/model"), data, train
 
 
 @register("linear_baseline_scores")
@@ -523,15 +511,15 @@ def q_linear_contributions(spark, sf_dir):
 
 
 def _fit_calibrated_trees(spark, sf_dir):
-    return _memo("trees", spark, sf_dir, lambda: _fit_calibrated_trees_now(spark, sf_dir))
+    data = materialize(split_table(spark, sf_dir))
 
+    def fit() -> None:
+        train = materialize(ml.sized(ml.with_class_weights(data.filter(F.col("split") == "train"))))
+        params = ml.with_bins(ml.TreeParams(), train)
+        save_ensemble(ml.fit_calibrated(train, lambda: ml.tree_pipeline(params), folds=3), folder)
 
-def _fit_calibrated_trees_now(spark, sf_dir):
-    data = materialize(split_table(spark, sf_dir))
-    train = materialize(ml.sized(ml.with_class_weights(data.filter(F.col("split") == "train"))))
-    params = ml.with_bins(ml.TreeParams(), train)
-    ens = ml.fit_calibrated(train, lambda: ml.tree_pipeline(params), folds=3)
-    return ens, data
+    folder = _model_folder(spark, sf_dir, "trees")
+    return load_ensemble(commits.once(spark, folder, fit), 3), data
 
 
 @register("calibrated_tree_scores")

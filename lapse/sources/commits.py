@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,3 +109,13 @@ def orphans(spark: SparkSession, path: str) -> list[str]:
     """Versions that the last two manifests don't name."""
     named = {e["version"] for n in _numbers(spark, path)[-2:] for e in _manifest(spark, path, n)["entries"].values()}
     return [v for v in _names(spark, f"{path}/data") if v not in named]
+
+
+def once(spark: SparkSession, folder: str, write: Callable[[], None]) -> str:
+    """``folder``, filled by ``write`` unless that was done before; a marker is written last, so what a
+    killed job left is written again."""
+    fs, marker = _at(spark, f"{folder}/_complete")
+    if not fs.exists(marker):
+        write()
+        fs.create(marker, True).close()
+    return folder

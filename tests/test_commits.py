@@ -69,3 +69,18 @@ def test_a_commit_by_another_writer_in_between_is_kept(spark, tmpdir_path, monke
     monkeypatch.setattr(commits, "_commit", race)
     commits.publish(rows(spark, 3, "a2"), path, "a")
     assert raced == [2] and content(spark, path) == {"a2": 3, "b1": 2}
+
+
+def test_once_writes_again_what_was_not_finished(spark, tmpdir_path):
+    done = []
+
+    def write():
+        done.append(1)
+        if len(done) == 1:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        commits.once(spark, f"{tmpdir_path}/m", write)
+    for _ in range(3):
+        assert commits.once(spark, f"{tmpdir_path}/m", write) == f"{tmpdir_path}/m"
+    assert len(done) == 2
