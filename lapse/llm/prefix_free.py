@@ -60,6 +60,25 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
+def gram_hashes(data: np.ndarray, gram: int, part: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes at every place: bytes are read eight at a time and pairs of
+    hashes mixed to those of twice the width, so no two contents cancel out by their form."""
+    n, first = len(data) - gram + 1, min(gram, 8)
+    out = np.empty(max(n, 0), np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    for at in range(0, n, part):
+        size = min(part, n - at) + gram - first
+        eight = np.ndarray((size,), "<u8", padded, at, (1,))
+        h = mix64((eight << np.uint64(64 - 8 * first)) + np.uint64(first))
+        width = first
+        while width < gram:
+            step = min(width, gram - width)
+            h = mix64(h[:-step] * np.uint64(0x9E3779B97F4A7C55) + h[step:])
+            width += step
+        out[at:at + part] = h
+    return out
+
+
 class Parse:
     """Phrases of a slice of texts: ``row``, ``start`` and ``end`` (bytes in the slice), ``key``, ``phrase``."""
 
@@ -70,11 +89,12 @@ class Parse:
             self.key = self.phrase = np.zeros(0, np.uint64)
             return
         begin = np.arange(len(data) - gram + 1)
-        grams = span_hash(self.prefix, begin, begin + gram)
+        grams = gram_hashes(data, gram)
         order = (grams & ~_PLACE) | (begin.astype(np.uint64) & _PLACE)      # ties: the leftmost
         trigger = (sliding_least(order, window - gram + 1) & _PLACE).astype(np.int64)
-        row = np.searchsorted(offsets, np.arange(len(trigger)), side="right") - 1
-        inside = np.arange(len(trigger)) + window <= offsets[row + 1]
+        sizes = np.diff(offsets)
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[:len(trigger)]
+        inside = begin[:len(trigger)] + window <= np.repeat(offsets[1:], sizes)[:len(trigger)]
         new = inside.copy()
         new[1:] &= (trigger[1:] != trigger[:-1]) | (row[1:] != row[:-1])
         self.start = np.flatnonzero(new)
