@@ -150,16 +150,17 @@ def shap_matrix(X: np.ndarray, leaves: list[Leaf], n_features: int) -> np.ndarra
         k = len(leaf.features)
         if not k or not n:
             continue
-        pattern = np.zeros(n, np.int64)
+        kind = np.uint16 if k <= 16 else np.int64
+        pattern = np.zeros(n, kind)
         for a, (f, conds) in enumerate(zip(leaf.features, leaf.conds)):
             took = np.ones(n, bool)
             for is_cat, split, go_left in conds:
                 took &= left(f, is_cat, split) if go_left else ~left(f, is_cat, split)
-            pattern |= took.astype(np.int64) << a
+            pattern |= took.astype(kind) << kind(a)
         codes = np.arange(1 << k)
         if 1 << k > n:                         # deep paths: only the patterns that occur
             codes, pattern = np.unique(pattern, return_inverse=True)
-        table = leaf.value * pattern_values(leaf.z, (codes[:, None] >> np.arange(k) & 1).astype(bool))
+        table = leaf.value * pattern_values(leaf.z, (codes.astype(np.int64)[:, None] >> np.arange(k) & 1).astype(bool))
         for a, f in enumerate(leaf.features):
             phi[f] += table[:, a][pattern]
     return phi.T
