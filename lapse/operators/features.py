@@ -146,6 +146,16 @@ def build_engagement_features(logs_agg: DataFrame, base: DataFrame,
 
 # ------------------------------------------------------------------ full table
 
+def with_unique_keys(df: DataFrame, name: str, key: str = "msno") -> DataFrame:
+    """J5's assertion: ``df`` unchanged, or an error at run time that names a repeated key, which
+    would multiply rows in the join.  The aggregate's partitioning is the join's."""
+    others = [c for c in df.columns if c != key]
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.max(F.struct(*others)).alias("_row"))
+    repeated = F.raise_error(F.concat(F.lit(f"{name} repeat {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return per.select(key, *(F.when(F.col("_rows") > 1, repeated.cast(df.schema[c].dataType)).otherwise(F.col(f"_row.{c}")).alias(c)
+                             for c in others))
+
+
 def feature_columns(cfg: FeatureConfig = FeatureConfig()) -> list[str]:
     return [*DEMOGRAPHIC_COLUMNS, *TRANSACTION_COLUMNS, *TENURE_COLUMNS, *engagement_columns(cfg),
             "engagement_trend_secs_ratio", "engagement_trend_songs_ratio"]

@@ -30,7 +30,7 @@ from lapse.config import NON_MODEL_COLUMNS, BusinessConfig, FeatureConfig, RiskT
 from lapse.operators import evaluate as ev
 from lapse.operators import ml
 from lapse.operators.attribute import driver_strings, retention_action, top_drivers
-from lapse.operators.features import build_customer_feature_table
+from lapse.operators.features import build_customer_feature_table, with_unique_keys
 from lapse.operators.labels import agreed_labels
 from lapse.operators.treeshap import with_tree_contributions
 from lapse.operators.value import score_customers
@@ -45,11 +45,11 @@ def feature_job(spark: SparkSession, members: DataFrame, transactions: DataFrame
                 snapshots: bool = False) -> str:
     """Entry point 1.  ``transactions`` are typed but not yet cut off or
     deduplicated; ``labels`` (msno, is_churn) define the cohort; contradicting labels of
-    one customer stop the job.  With ``snapshots`` the table keeps one snapshot per reference
+    one customer, or several member rows, stop the job.  With ``snapshots`` the table keeps one snapshot per reference
     date, and a run replaces its own only."""
     tx = prepare_transactions(transactions, reference_date, seq_col=seq_col)
     base = agreed_labels(labels)
-    table = build_customer_feature_table(members, tx, logs, base, reference_date, cfg)
+    table = build_customer_feature_table(with_unique_keys(members, "members"), tx, logs, base, reference_date, cfg)
     path = f"{out_dir}/customer_features"
     writers.publish_feature_table(table, path, reference_date,
                                   writers.metadata_record(reference_date, pipeline_version, is_synthetic), snapshots)

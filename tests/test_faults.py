@@ -96,3 +96,12 @@ def test_ranks_and_usage_order(spark):
     assert sorted((r.msno, r.day_no, r.date) for r in serve.usage_history(logs).collect()) == [
         ("a", 1, "2020-01-01"), ("a", 2, "2020-01-02"), ("b", 1, "2020-01-01")]
     assert sorted((r.msno, r.pct_of_max) for r in serve.usage_share_of_max(logs).collect()) == [("a", 50.0), ("a", 100.0), ("b", 0.0)]
+
+
+def test_repeated_member_rows_stop_the_job(spark):
+    from lapse.operators.features import with_unique_keys
+    one = spark.createDataFrame([("a", 1, "male"), ("b", 2, None), (None, 3, "x")], "msno string, city int, gender string")
+    assert sorted(map(tuple, with_unique_keys(one, "members").collect()), key=repr) == sorted(map(tuple, one.collect()), key=repr)
+    assert with_unique_keys(one, "members").columns == one.columns
+    with pytest.raises(Exception, match="members repeat msno a"):
+        with_unique_keys(one.union(one.where("msno = 'a'")), "members").collect()
