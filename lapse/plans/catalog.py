@@ -36,6 +36,7 @@ from lapse.operators import asof, idsearch
 from lapse.operators import isotonic as iso
 from lapse.operators import sketches as sk
 from lapse.operators import snapshots as sn
+from lapse.operators import transactions as tr
 from lapse.plans.jobs import load_ensemble, model_actions, save_ensemble
 from lapse.session import materialize, shared_folder
 from lapse.sources import commits, readers, serving, writers
@@ -516,10 +517,12 @@ def _fit_calibrated_trees(spark, sf_dir):
     def fit() -> None:
         train = materialize(ml.sized(ml.with_class_weights(data.filter(F.col("split") == "train"))))
         params = ml.with_bins(ml.TreeParams(), train)
-        save_ensemble(ml.fit_calibrated(train, lambda: ml.tree_pipeline(params), folds=3), folder)
+        fitted.append(ml.fit_calibrated(train, lambda: ml.tree_pipeline(params), folds=3))
+        save_ensemble(fitted[0], folder)
 
-    folder = _model_folder(spark, sf_dir, "trees")
-    return load_ensemble(commits.once(spark, folder, fit), 3), data
+    fitted, folder = [], _model_folder(spark, sf_dir, "trees")
+    commits.once(spark, folder, fit)
+    return fitted[0] if fitted else load_ensemble(folder, 3), data
 
 
 @register("calibrated_tree_scores")
@@ -630,6 +633,12 @@ def q_engagement_snapshots(spark, sf_dir):
     return for_oracle(sn.engagement_snapshots(sn.daily_states(tv.user_logs(spark, sf_dir)), base, list(SNAPSHOTS), S.features))
 
 
+@register("history_from_states")
+def q_history_from_states(spark, sf_dir):
+    """The transaction history merged from one state per customer, month and payment method."""
+    return for_oracle(tr.merged_history(tr.monthly_states(tv.transactions(spark, sf_dir))))
+
+
 SKETCHED = ("msno", "payment_method_id", "payment_plan_days", "plan_list_price", "seq")
 
 

@@ -795,6 +795,13 @@ SELECT msno, strftime(reference_date, '%Y-%m-%d') AS reference_date, {_eng_final
        {r6("engagement_trend_secs_ratio")} AS engagement_trend_secs_ratio, {r6("engagement_trend_songs_ratio")} AS engagement_trend_songs_ratio
 FROM eng2""")
 
+ORACLES["history_from_states"] = with_prefix(features_cte(), """
+SELECT h.msno, l.plan_list_price AS last_plan_list_price, l.payment_plan_days AS last_payment_plan_days, l.is_auto_renew AS last_is_auto_renew,
+       l.payment_method_id AS last_payment_method_id, strftime(l.transaction_date, '%Y-%m-%d') AS last_transaction_date,
+       CAST(h.num_plan_changes AS BIGINT) AS num_plan_changes, h.num_payment_methods, CAST(h.num_cancellations AS BIGINT) AS num_cancellations,
+       strftime(h.max_expire_date, '%Y-%m-%d') AS max_expire_date
+FROM tx_hist h JOIN tx_last l USING (msno)""")
+
 _SKETCHED = ("msno", "payment_method_id", "payment_plan_days", "plan_list_price", "seq")
 ORACLES["sketch_distinct_counts"] = with_prefix("", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, "

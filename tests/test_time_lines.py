@@ -110,7 +110,8 @@ def test_snapshots_equal_single_dates(spark):
 
 def test_merged_months_equal_whole_histories(spark):
     tx, rows = transactions_of(spark, unique_days=True)
-    got = {r.msno: r for r in transactions.transaction_history(tx).collect()}
+    got = {r.msno: r for r in transactions.merged_history(transactions.monthly_states(tx)).collect()}
+    assert {k: tuple(r) for k, r in got.items()} == {r.msno: tuple(r) for r in transactions.transaction_history(tx).collect()}
     late = dt.date(9999, 1, 1)
     for key in {r[0] for r in rows}:
         own = sorted((r for r in rows if r[0] == key), key=lambda r: r[1] or late)
