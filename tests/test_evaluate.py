@@ -1,5 +1,7 @@
 """Distributed evaluation operators against brute-force numpy on small fixtures."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +47,17 @@ def test_running_totals_by_group(spark):
         assert list(part["cum_one"]) == list(range(1, 51))
 
 
+def test_group_ranges_never_shuffle_a_group_into_one_task(spark):
+    df = spark.range(2000).selectExpr("id % 2 AS g", "CAST(id AS DOUBLE) AS v", "1 AS one")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # as on tables too large to broadcast
+    try:
+        plan = running_totals(df, "v", ["one"], by=["g"], buckets=5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"SortMergeJoin \[g#\d+L?\], ", plan), plan
+
+
 def test_roc_auc_and_average_precision_brute_force(spark):
     df, p, y = _fixture(spark)
     pos, neg = p[y == 1], p[y == 0]
