@@ -12,9 +12,12 @@ per-customer grouping.  Global drivers are one aggregate over the long form.
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.feature import OneHotEncoderModel
+from pyspark.ml.feature import OneHotEncoderModel, StandardScalerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +32,14 @@ def _contrib_struct(names: list[str], values: list[Column]) -> Column:
                      for i, (n, v) in enumerate(zip(names, values))])
 
 
+def _sums_by_index(weights: list[float], means: list[float]) -> list[float]:
+    """Sum of w_j * ((j == i) - m_j), added in column order, for every index i of a one-hot
+    block; the last index (unseen values) has no column of its own."""
+    terms = np.tile(np.array(weights) * (0.0 - np.array(means)), (len(weights) + 1, 1))
+    np.fill_diagonal(terms, np.array(weights) * (1.0 - np.array(means)))
+    return functools.reduce(np.add, terms.T, np.zeros(len(weights) + 1)).tolist()
+
+
 def linear_contributions(model: PipelineModel, df: DataFrame, reference: DataFrame,
                          features: tuple[str, ...] = C.MODEL_FEATURES, key: str = "msno") -> DataFrame:
     """X1 (linear): ``contributions`` array<struct<feature, pos, contribution>>
@@ -40,6 +51,7 @@ def linear_contributions(model: PipelineModel, df: DataFrame, reference: DataFra
     stages = model.stages
     lr = next(s for s in stages if isinstance(s, LogisticRegressionModel))
     ohe = next(s for s in stages if isinstance(s, OneHotEncoderModel))
+    scaler = next(s for s in stages if isinstance(s, StandardScalerModel))
     cats = [c for c in features if c in C.CATEGORICAL_FEATURES]
     nums = [c for c in features if c not in C.CATEGORICAL_FEATURES]
     # design column -> original feature (scaled numerics first, then one-hot blocks)
@@ -53,22 +65,17 @@ def linear_contributions(model: PipelineModel, df: DataFrame, reference: DataFra
     means = design.first()["m"].toArray().tolist()
     base = float(lr.intercept) + sum(w * m for w, m in zip(weights, means))
 
-    # per design column: w_j * (x_j - E[x_j]); each feature owns a contiguous
-    # slice of the design, summed with ``aggregate`` (compact, codegen-friendly)
-    w_arr = F.array(*[F.lit(float(w)) for w in weights])
-    m_arr = F.array(*[F.lit(float(m)) for m in means])
-    scored = (model.transform(df)
-              .withColumn("_x", vector_to_array(F.col(lr.getFeaturesCol())))
-              .withColumn("_c", F.zip_with(F.zip_with("_x", w_arr, lambda x, w: F.struct(x.alias("x"), w.alias("w"))),
-                                           m_arr, lambda xw, m: xw["w"] * (xw["x"] - m))))
-    per_feature = []
-    for f in features:
-        idx = [j for j, o in enumerate(owner) if o == f]
-        if not idx:
-            per_feature.append(F.lit(0.0))
-            continue
-        part = F.slice(F.col("_c"), idx[0] + 1, len(idx))
-        per_feature.append(F.aggregate(part, F.lit(0.0), lambda acc, v: acc + v))
+    # w_j * (x_j - E[x_j]) straight from the scaled numerics; a categorical's sum over its
+    # one-hot columns only depends on its index, so it is looked up (one value per index)
+    values = {f: F.lit(weights[j]) * (F.col("_z")[j] - F.lit(means[j])) for j, f in enumerate(nums)}
+    start = len(nums)
+    for c, idx, size in zip(cats, ohe.getInputCols(), ohe.categorySizes):
+        w, m = weights[start:start + size - 1], means[start:start + size - 1]
+        sums = _sums_by_index(w, m)
+        values[c] = F.element_at(F.array(*[F.lit(v) for v in sums]), F.col(idx).cast("int") + 1)
+        start += size - 1
+    scored = model.transform(df).withColumn("_z", vector_to_array(F.col(scaler.getOutputCol())))
+    per_feature = [values.get(f, F.lit(0.0)) for f in features]
     keep = [c for c in (key, "is_churn") if c in df.columns]
     return scored.select(*keep, _contrib_struct(list(features), per_feature).alias("contributions"),
                          F.lit(base).alias("base_value"))

@@ -78,3 +78,22 @@ def test_search_returns_best_parameters(spark):
     assert len(tried) == 2 and all(0 < ap <= 1 for _, ap in tried)
     assert best == max(tried, key=lambda t: t[1])[0]
     assert all(3 <= p.max_depth <= 9 and 0.01 <= p.step_size <= 0.3 and p.max_iter == 3 for p, _ in tried)
+
+
+def test_linear_contributions_are_looked_up_per_category(spark):
+    rows = [(str(i), i % 2, float(i % 7), None if i % 5 == 0 else "abc"[i % 3], i % 4) for i in range(60)]
+    train = spark.createDataFrame(rows, "msno string, is_churn int, plan_list_price double, gender string, city int")
+    features = ("city", "gender", "plan_list_price")
+    model = ml.linear_pipeline(features=features).fit(train.withColumn("weight", F.lit(1.0)))
+    odd = spark.createDataFrame([("x", 0, 2.5, "unseen", 1), ("y", 1, 9.0, None, 99)], train.schema)
+    both = train.unionByName(odd)
+    contrib = at.linear_contributions(model, both, train, features)
+    plan = contrib._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan                       # no walk over the design columns of each row
+    design = {r["msno"]: r["features"].toArray() for r in model.transform(both).select("msno", "features").collect()}
+    w, mean = model.stages[-1].coefficients.toArray(), sum(design[str(i)] for i in range(60)) / 60
+    n_city = model.stages[2].categorySizes[0] - 1
+    for r in contrib.collect():
+        part = w * (design[r["msno"]] - mean)
+        expect = {"plan_list_price": part[0], "city": part[1:1 + n_city].sum(), "gender": part[1 + n_city:].sum()}
+        assert all(abs(c["contribution"] - expect[c["feature"]]) < 1e-9 for c in r["contributions"])
