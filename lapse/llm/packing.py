@@ -155,9 +155,17 @@ class SquaresPacker:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], FIELDS)
 
 
+# Fixed value: pre-tokens per generation of a worker's cache; words rarer than that are encoded again.
+CACHE_ROOM = 300_000
+
 _CACHES: dict[str, PieceCache] = {}
 
 
+def piece_cache(kit: ByteLevelTokenizer) -> PieceCache:
+    """pre-token -> its ids as bytes."""
+    return PieceCache(lambda p: array("I", kit.encode_piece(p)).tobytes(), room=CACHE_ROOM)
+
+
 def token_bytes(kit: ByteLevelTokenizer, cache: PieceCache, text: str) -> bytes:
     """The ids as unsigned 32-bit little-endian numbers."""
     if kit.needs_library(text):
@@ -174,7 +182,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kit = load(tokenizer)
         if tokenizer not in _CACHES:
-            _CACHES[tokenizer] = PieceCache(lambda p: array("I", kit.encode_piece(p)).tobytes())
+            _CACHES[tokenizer] = piece_cache(kit)
         packer = SquaresPacker(window, TaskContext.get().partitionId() << 33, max_open)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

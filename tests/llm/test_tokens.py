@@ -179,3 +179,18 @@ def test_one_long_pre_token_streams_in_bounded_memory():
         kit.run = before
     assert [i for b in blocks for i in b] == kit.kit.library_ids(f"see {word} end")
     assert longest < 2 * (kit.merges.lookahead + bpe_stream.BLOCK) and max(map(len, blocks)) <= 1 << 16
+
+
+def test_packing_keeps_a_quarter_million_words_at_hand():
+    class Counting:
+        made = 0
+
+        def encode_piece(self, piece):
+            self.made += 1
+            return [7, 8]
+
+    kit = Counting()
+    cache = packing.piece_cache(kit)
+    for _ in range(2):
+        assert all(cache[f"w{i}"] == b"\7\0\0\0\10\0\0\0" for i in range(250_000))
+    assert kit.made == 250_000                       # the second pass encodes nothing again
