@@ -140,8 +140,10 @@ def retention_action_from_text(tier: Column, driver_texts: Column) -> Column:
 
 
 def contributions_long(df: DataFrame, key: str = "msno") -> DataFrame:
-    """Long form (key, feature, contribution)."""
-    return df.select(key, F.inline("contributions")).drop("pos")
+    """Long form (key, feature, contribution).  The outer form, without its rows for empty
+    arrays: a plain ``inline`` puts a filter on the array's size below itself, which works
+    all contributions out twice."""
+    return df.select(key, F.inline_outer("contributions")).where(F.col("pos").isNotNull()).drop("pos")
 
 
 def global_drivers(long_df: DataFrame, top: int | None = 15) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lapse.operators import attribute as at
@@ -97,3 +98,17 @@ def test_linear_contributions_are_looked_up_per_category(spark):
         part = w * (design[r["msno"]] - mean)
         expect = {"plan_list_price": part[0], "city": part[1:1 + n_city].sum(), "gender": part[1 + n_city:].sum()}
         assert all(abs(c["contribution"] - expect[c["feature"]]) < 1e-9 for c in r["contributions"])
+
+
+def test_long_contributions_are_worked_out_once(spark):
+    @F.pandas_udf("array<double>")
+    def values(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: [v, -v])
+
+    df = spark.range(3).select(F.col("id").cast("string").alias("msno"), values(F.col("id").cast("double")).alias("_phi"))
+    parts = [F.struct(F.lit(n).alias("feature"), F.lit(i).alias("pos"), F.col("_phi")[i].alias("contribution")) for i, n in enumerate("ab")]
+    long = at.contributions_long(df.select("msno", F.array(*parts).alias("contributions")))
+    assert long._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, long.collect())) == sorted((str(i), n, s * i) for i in range(3) for n, s in (("a", 1.0), ("b", -1.0)))
+    none = spark.createDataFrame([("x", None), ("y", [])], "msno string, contributions array<struct<feature:string,pos:int,contribution:double>>")
+    assert at.contributions_long(none).columns == ["msno", "feature", "contribution"] and at.contributions_long(none).collect() == []
