@@ -15,13 +15,16 @@ the row's margin minus the cover-weighted expected margin.
 Cost: a row's values at a leaf only depend on its pattern of o, so they are
 worked out once per leaf and pattern: the product over all features is built
 once (k steps) and each feature is divided out of it (k steps each), which makes
-leaves x depth^2 per pattern.  A row block then looks its patterns up, k values
-per leaf.  Tests that several leaves or trees share are evaluated once per block,
-and leaves with the same path (tests and fractions) are one leaf.
+leaves x depth^2 per pattern.  Neighbouring leaves that share most of their tests
+form a group with one table: the values added up over its leaves, per outcome of
+its tests.  The tables are built once per model; a row block then looks the
+outcomes of its rows up, one value per feature of the group.  Tests that several
+groups share are evaluated once per block, and leaves with the same path (tests
+and fractions) are one leaf.
 
 Execution: the fitted tree stage is saved to the shared checkpoint folder and
 its node table (bounded by the model size: trees x 2^depth rows) is read back
-and turned into per-leaf path descriptions, broadcast once.  Rows are scored
+and turned into these groups, broadcast once.  Rows are scored
 by a Pandas UDF over the feature vectors (Arrow batches; numpy vectorised over the rows of each
 batch), so the work is partitioned with the data and nothing per-row passes
 through the driver.  Values are reported on the log-odds scale (Spark's GBT
@@ -46,6 +49,10 @@ from pyspark.sql import functions as F
 from lapse.session import shared_folder
 
 
+# A table has at most 2^8 rows (16 KB with 8 features), all tables of a model 64 MB.
+GROUP_TESTS, TABLE_VALUES = 8, 8_000_000
+
+
 @dataclass
 class Leaf:
     value: float              # leaf prediction x tree weight x scale
@@ -134,38 +141,102 @@ def pattern_values(z: np.ndarray, taken: np.ndarray) -> np.ndarray:
     return out
 
 
-def shap_matrix(X: np.ndarray, leaves: list[Leaf], n_features: int) -> np.ndarray:
-    """Shapley values (rows x features) of the whole ensemble for a batch."""
-    n = X.shape[0]
-    phi = np.zeros((n_features, n))
-    went_left: dict[tuple, np.ndarray] = {}
+def _test(f: int, cond: tuple) -> tuple:
+    is_cat, split, _ = cond
+    return f, is_cat, tuple(split) if is_cat else split
 
-    def left(f: int, is_cat: bool, split) -> np.ndarray:
-        key = (f, is_cat, tuple(split) if is_cat else split)
-        if key not in went_left:
-            went_left[key] = np.isin(X[:, f], split) if is_cat else X[:, f] <= split
-        return went_left[key]
 
+def leaf_groups(leaves: list[Leaf]) -> list[tuple[list[Leaf], list[tuple]]]:
+    """Runs of neighbouring leaves that have at most ``GROUP_TESTS`` different tests between
+    them, and these tests; a leaf with more tests is alone.  A tree's leaves come in the order
+    of its subtrees, so neighbours share most of their path."""
+    groups: list[tuple[list[Leaf], list[tuple]]] = []
     for leaf in leaves:
-        k = len(leaf.features)
-        if not k or not n:
+        own = list(dict.fromkeys(_test(f, c) for f, conds in zip(leaf.features, leaf.conds) for c in conds))
+        if not own:
             continue
-        kind = np.uint16 if k <= 16 else np.int64
-        pattern = np.zeros(n, kind)
+        both = list(dict.fromkeys(groups[-1][1] + own)) if groups else own
+        if groups and len(both) <= GROUP_TESTS:
+            groups[-1] = (groups[-1][0] + [leaf], both)
+        else:
+            groups.append(([leaf], own))
+    return groups
+
+
+def group_values(leaves: list[Leaf], tests: list[tuple], codes: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The features on the paths of ``leaves`` and their values (codes x features), added up over
+    the leaves, for rows that go left at test b where bit b of the code is set."""
+    bit = {test: b for b, test in enumerate(tests)}
+    features = sorted({f for leaf in leaves for f in leaf.features})
+    at = {f: i for i, f in enumerate(features)}
+    out = np.zeros((len(codes), len(features)))
+    for leaf in leaves:
+        taken = np.ones((len(codes), len(leaf.features)), bool)
         for a, (f, conds) in enumerate(zip(leaf.features, leaf.conds)):
-            took = np.ones(n, bool)
-            for is_cat, split, go_left in conds:
-                took &= left(f, is_cat, split) if go_left else ~left(f, is_cat, split)
-            pattern |= took.astype(kind) << kind(a)
-        codes = np.arange(1 << k)
-        if 1 << k > n:                         # deep paths: only the patterns that occur
-            codes, pattern = np.unique(pattern, return_inverse=True)
-        table = leaf.value * pattern_values(leaf.z, (codes.astype(np.int64)[:, None] >> np.arange(k) & 1).astype(bool))
-        for a, f in enumerate(leaf.features):
-            phi[f] += table[:, a][pattern]
+            for cond in conds:
+                taken[:, a] &= (codes >> bit[_test(f, cond)] & 1).astype(bool) == cond[2]
+        patterns, which = np.unique(taken @ (1 << np.arange(len(leaf.features))), return_inverse=True)
+        table = leaf.value * pattern_values(leaf.z, (patterns[:, None] >> np.arange(len(leaf.features)) & 1).astype(bool))
+        out[:, [at[f] for f in leaf.features]] += table[which]
+    return features, out
+
+
+@dataclass
+class Group:
+    tests: list[tuple]
+    features: list[int]
+    values: np.ndarray | None    # 2^tests x features; None without a table: worked out per block
+    leaves: list[Leaf]
+
+
+def grouped(leaves: list[Leaf]) -> list[Group]:
+    """The ensemble as groups of leaves, each with its table of values per outcome of its tests.
+    Groups with too many tests, or beyond the room for tables, keep their leaves."""
+    out, room = [], TABLE_VALUES
+    for members, tests in leaf_groups(leaves):
+        room -= len({f for f, _, _ in tests}) << min(len(tests), GROUP_TESTS)
+        if len(tests) <= GROUP_TESTS and room >= 0:
+            out.append(Group(tests, *group_values(members, tests, np.arange(1 << len(tests))), []))
+        else:
+            out.append(Group(tests, [], None, members))
+    return out
+
+
+def shap_groups(X: np.ndarray, groups: list[Group], n_features: int) -> np.ndarray:
+    """Shapley values (rows x features) of the whole ensemble for a batch."""
+    n = X.shape[0]
+    phi = np.zeros((n_features, n))
+    columns = np.ascontiguousarray(X.T)
+    went_left: dict[tuple, np.ndarray] = {}
+
+    def left(test: tuple) -> np.ndarray:
+        if test not in went_left:
+            f, is_cat, split = test
+            went_left[test] = np.isin(columns[f], split) if is_cat else columns[f] <= split
+        return went_left[test]
+
+    for g in groups if n else ():
+        kind = np.uint16 if len(g.tests) <= 16 else np.int64
+        code = np.zeros(n, kind)
+        for b, test in enumerate(g.tests):
+            code |= left(test).astype(kind) << kind(b)
+        if g.values is None:
+            codes = np.arange(1 << len(g.tests)) if 1 << len(g.tests) <= n else None
+            if codes is None:                  # many tests: only the outcomes that occur
+                codes, code = np.unique(code, return_inverse=True)
+            features, values = group_values(g.leaves, g.tests, codes.astype(np.int64))
+        else:
+            features, values = g.features, g.values
+        for i, f in enumerate(features):
+            phi[f] += values[:, i][code]
     return phi.T
 
 
+def shap_matrix(X: np.ndarray, leaves: list[Leaf], n_features: int) -> np.ndarray:
+    """Shapley values (rows x features) of the leaves for a batch."""
+    return shap_groups(X, grouped(leaves), n_features)
+
+
 def read_tree_model(spark: SparkSession, gbt: GBTClassificationModel, folder: str | None = None):
     """Save the tree stage to the shared folder and read its node table back
     (one row per node; the model size, not the data size)."""
@@ -196,14 +267,14 @@ def with_tree_contributions(model: PipelineModel, df: DataFrame, features_col: s
     spark = df.sparkSession
     nodes, weights = read_tree_model(spark, gbt)
     leaves, base = leaves_from_nodes(nodes, weights, scale=2.0)
-    shared = spark.sparkContext.broadcast(merged_paths(leaves))
+    shared = spark.sparkContext.broadcast(grouped(merged_paths(leaves)))
     m = len(names)
 
     @F.pandas_udf("array<double>")
     def values(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
-        return pd.Series(list(shap_matrix(np.stack(vectors.to_numpy()).astype(float), shared.value, m)))
+        return pd.Series(list(shap_groups(np.stack(vectors.to_numpy()).astype(float), shared.value, m)))
 
     out = model.transform(df).withColumn("_phi", values(vector_to_array(F.col(features_col))))
     contrib = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(i).alias("pos"),

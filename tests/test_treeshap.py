@@ -112,3 +112,40 @@ def test_divided_products_equal_the_definition():
         assert np.allclose(ts.shap_matrix(rows, leaves, 12), want[:len(rows)], atol=1e-9)
         assert np.allclose(ts.shap_matrix(rows, ts.merged_paths(leaves), 12), want[:len(rows)], atol=1e-9)
     assert len(ts.merged_paths(leaves)) == 60
+
+
+def _whole_trees(rng, trees, depth):
+    """Leaves of complete trees in the order of their subtrees."""
+    leaves = []
+    for _ in range(trees):
+        tests = {}
+        for i in range(1 << depth):
+            feats, z = {}, {}
+            for d in range(depth):
+                node = (d, i >> (depth - d))
+                if node not in tests:
+                    f = int(rng.integers(12))
+                    tests[node] = (f, f % 4 == 0, np.array([0.0, 2.0]) if f % 4 == 0 else float(np.round(rng.normal(), 1)), rng.random())
+                f, cat, split, share = tests[node]
+                left = not i >> (depth - d - 1) & 1
+                feats.setdefault(f, []).append((cat, split, left))
+                z[f] = z.get(f, 1.0) * (share if left else 1 - share)
+            leaves.append(ts.Leaf(float(rng.normal()), list(feats), np.array([z[f] for f in feats]), list(feats.values())))
+    return leaves
+
+
+def test_tables_are_built_once_for_neighbouring_leaves(monkeypatch):
+    rng = np.random.default_rng(8)
+    leaves = _whole_trees(rng, 3, 5)
+    X = np.round(rng.normal(size=(40, 12)), 1)
+    X[:, ::4] = rng.integers(0, 4, size=X[:, ::4].shape)
+    want = _slow_matrix(X, leaves, 12)
+    groups = ts.grouped(leaves)
+    assert len(groups) <= len(leaves) // 4 and all(g.values is not None for g in groups)
+    for name, value in (("TABLE_VALUES", 0), ("TABLE_VALUES", 5000), ("GROUP_TESTS", 1), ("GROUP_TESTS", 12)):
+        with monkeypatch.context() as m:        # without tables, with some, leaf by leaf, large groups
+            m.setattr(ts, name, value)
+            assert np.allclose(ts.shap_matrix(X, leaves, 12), want, atol=1e-9)
+    monkeypatch.setattr(ts, "pattern_values", None)            # a block of rows only looks values up
+    for rows in (X, X[:1], X[:0]):
+        assert np.allclose(ts.shap_groups(rows, groups, 12), want[:len(rows)], atol=1e-9)
