@@ -3,6 +3,7 @@
 import math
 
 import pandas as pd
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from lapse.operators import attribute as at
@@ -72,6 +73,62 @@ def test_calibrated_trees_monotone_and_bounded(spark):
         assert preds == sorted(preds)
 
 
+def _made_rows(spark, n=240):
+    rows = [(str(i), (i * 7 % 11 + i % 3) % 2, float(i * 13 % 17), None if i % 5 == 0 else "abc"[i % 3], i % 4, i % 3, 1.0 + i % 2) for i in range(n)]
+    return spark.createDataFrame(rows, "msno string, is_churn int, plan_list_price double, gender string, city int, fold int, weight double").coalesce(2)
+
+
+def _watch_fits(monkeypatch):
+    """The inputs of every tree fit from here on."""
+    seen, fit = [], GBTClassifier.fit
+
+    def watched(self, dataset, params=None):
+        seen.append(dataset)
+        return fit(self, dataset, params)
+
+    monkeypatch.setattr(GBTClassifier, "fit", watched)
+    return seen
+
+
+def _trees(model):
+    return model.toDebugString.split("\n", 1)[1]
+
+
+FEATURES = ("city", "gender", "plan_list_price")
+
+
+def test_fold_fits_read_prepared_rows(spark, monkeypatch):
+    train = materialize(_made_rows(spark))
+
+    def pipeline():
+        return ml.tree_pipeline(ml.TreeParams(max_iter=3, max_depth=3), FEATURES)
+
+    plain = [pipeline().fit(train.filter(F.col("fold") != k)).stages[-1] for k in range(3)]
+    seen = _watch_fits(monkeypatch)
+    ens = ml.fit_calibrated(train, pipeline, folds=3)
+    assert [_trees(base.stages[-1]) for base, _ in ens.members] == [_trees(m) for m in plain]
+    assert len(seen) == 3
+    for df in seen:
+        assert df.columns == ["features", "is_churn", "weight"]
+        assert "UDF" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert pipeline().getStages()[-1].getCheckpointInterval() <= 10    # lineage between checkpoints
+
+
+def test_fit_table_works_the_features_out_once(spark, monkeypatch):
+    from lapse.plans import catalog
+    rows, read = 60, spark.sparkContext.accumulator(0)
+
+    def name(i: int) -> str:
+        read.add(1)
+        return str(i)
+
+    made = spark.range(rows).select(F.udf(name, "string")("id").alias("msno"), (F.col("id") % 2).cast("int").alias("is_churn"))
+    monkeypatch.setattr(catalog, "feature_table", lambda spark, sf_dir: made)
+    found = catalog.fit_table(spark, "")
+    assert found.count() == rows and read.value == rows
+    assert found.exceptAll(ml.stratified_split(made, 0.2, 3, 42)).count() == 0
+
+
 def test_search_returns_best_parameters(spark):
     data = ml.stratified_split(_table(spark), 0.2, 3, 42)
     train = materialize(ml.with_class_weights(data.filter("split = 'train'")))
