@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lapse.operators import attribute as at
 from lapse.operators import ml
+from lapse.operators.evaluate import average_precision
 from lapse.session import materialize
 from lapse.sources import writers
 
@@ -114,6 +115,24 @@ def test_fold_fits_read_prepared_rows(spark, monkeypatch):
     assert pipeline().getStages()[-1].getCheckpointInterval() <= 10    # lineage between checkpoints
 
 
+def test_search_prepares_its_rows_once(spark, monkeypatch):
+    train = materialize(_made_rows(spark).withColumns({c: F.lit(1) for c in ml.MODEL_FEATURES if c not in FEATURES}))
+    base = ml.TreeParams(max_iter=1)
+
+    def judged(p, k):                                  # every fit from the rows themselves
+        marked = train.withColumn("_validation", F.col("fold") == k)
+        pipe = ml.tree_pipeline(p)
+        pipe.getStages()[-1].setValidationIndicatorCol("_validation")
+        return average_precision(ml.score(pipe.fit(marked), marked.filter("_validation"))).first()[0]
+
+    tried = ml.random_search(ml.with_bins(base, train), 2, 42)
+    expect = [(p, sum(judged(p, k) for k in range(3)) / 3) for p in tried]
+    seen = _watch_fits(monkeypatch)
+    _, found = ml.search_tree_params(train, trials=2, folds=3, base=base)
+    assert found == expect
+    assert len(seen) == 6 and all("UDF" not in df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
+
+
 def test_fit_table_works_the_features_out_once(spark, monkeypatch):
     from lapse.plans import catalog
     rows, read = 60, spark.sparkContext.accumulator(0)
